@@ -61,7 +61,7 @@ def screen_feature_columns(t: Column) -> dict[str, Column]:
         "word_count": nw,                                                            # H18
         "unique_char_ratio": F.size(F.array_distinct(sinhala)).cast("double")
         / F.greatest(F.size(sinhala), F.lit(1)).cast("double"),                      # H19
-        "space_ratio": count(t, " ") / n,                                            # H20
+        "space_ratio": (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / n,  # H20
         "has_english": t.rlike(K.LATIN).cast("double"),                              # H21
         "repeat_char_ratio": repeated_chars(t) / n,                                  # H22
     }

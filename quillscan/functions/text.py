@@ -29,7 +29,12 @@ def _c(c: ColumnOrName) -> Column:
 
 def py_strip(c: ColumnOrName) -> Column:
     """``str.strip()``: remove leading/trailing whitespace of every kind."""
-    return F.regexp_replace(_c(c), f"^{K.PY_WS}+|{K.PY_WS}+$", "")
+    return F.btrim(_c(c), F.lit(K.PY_WS_CHARS))
+
+
+def ws_to_space(c: ColumnOrName) -> Column:
+    """Every whitespace character -> one space (same length; a per-character map)."""
+    return F.translate(_c(c), K.PY_WS_CHARS, " " * len(K.PY_WS_CHARS))
 
 
 def collapse_whitespace(c: ColumnOrName) -> Column:
@@ -44,16 +49,16 @@ def normalize_newlines(c: ColumnOrName) -> Column:
 
 def words(c: ColumnOrName) -> Column:
     """H6 ``str.split()``: maximal runs of non-whitespace."""
-    return F.regexp_extract_all(_c(c), F.lit(f"{K.NON_WS}+"), 0)
+    return F.regexp_extract_all(ws_to_space(c), F.lit("[^ ]+"), 0)
 
 
 def word_count(c: ColumnOrName) -> Column:
     """Number of whitespace-separated words (BIGINT), 0 for empty text."""
-    return F.coalesce(F.regexp_count(_c(c), F.lit(f"{K.NON_WS}+")), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(ws_to_space(c), F.lit("[^ ]+")), F.lit(0)).cast("bigint")
 
 
 def whitespace_count(c: ColumnOrName) -> Column:
-    return F.regexp_count(_c(c), F.lit(K.PY_WS)).cast("bigint")
+    return (F.length(_c(c)) - F.length(F.replace(ws_to_space(c), F.lit(" "), F.lit("")))).cast("bigint")
 
 
 # ----------------------------------------------------------------------------
@@ -74,7 +79,8 @@ def split_screening(c: ColumnOrName, min_chars: int = K.MIN_SENTENCE_CHARS,
     """
     kept = F.filter(_split_strip(normalize_newlines(c), K.SCREEN_SPLIT),
                     lambda s: F.length(s) >= min_chars)
-    return chunk_long(kept, long_chars, chunk)
+    # evaluate the split once: the chunk rule reads it up to four times
+    return F.transform(F.array(kept), lambda k: chunk_long(k, long_chars, chunk))[0]
 
 
 def chunk_long(sentences: Column, long_chars: int = K.LONG_SENTENCE_CHARS,

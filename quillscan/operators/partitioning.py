@@ -1,0 +1,20 @@
+"""Parallelism guard for under-split inputs.
+
+A large input arrives in many file splits and already fills the cluster, so no
+repartition is added and text is never shuffled for its own sake. A small input
+stored as one file with one row group arrives as a single split; then (and only
+then) rows are hash-spread on the key so every core works, and the later
+aggregation on the same key reuses that partitioning instead of shuffling again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..operators.partitioning import spread
 
 # ----------------------------------------------------------------------------
 # Transliteration of the test data (36 letters -> Sinhala)
@@ -51,7 +52,7 @@ def transliterate(c: Column) -> Column:
 
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: ``essays(essay_id, text)`` from ``documents`` (transliterated)."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select(F.col("doc_id").alias("essay_id"), transliterate(F.col("text")).alias("text"))
 
 
