@@ -77,8 +77,8 @@ def with_screen_features(df: DataFrame, text_col: str = "text") -> DataFrame:
 # ----------------------------------------------------------------------------
 
 def _bare_ending(word: Column) -> Column:
-    last = F.element_at(tx.sinhala_graphemes(tx.graphemes(word)), -1)
-    return last.rlike(K.CONSONANT) & ~last.rlike(K.VOWEL_SIGN)
+    last = F.try_element_at(tx.sinhala_graphemes(tx.graphemes(word)), F.lit(-1))
+    return F.coalesce(last.rlike(K.CONSONANT) & ~last.rlike(K.VOWEL_SIGN), F.lit(False))
 
 
 def with_structured_features(df: DataFrame, text_col: str = "text",

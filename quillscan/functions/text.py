@@ -105,8 +105,8 @@ def split_pattern(c: ColumnOrName) -> Column:
 
 
 def split_lines(c: ColumnOrName) -> Column:
-    """H5: LF-separated lines that are not blank (kept unstripped)."""
-    return F.filter(F.split(_c(c), "\n"), lambda s: py_strip(s) != "")
+    """H5: LF-separated lines, stripped, blank ones dropped."""
+    return F.filter(F.transform(F.split(_c(c), "\n"), py_strip), lambda s: s != "")
 
 
 # ----------------------------------------------------------------------------

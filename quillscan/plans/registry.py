@@ -13,6 +13,7 @@ from .. import sql_oracle as O
 from ..functions import features as fx
 from ..operators import screening as op
 from ..sources import tables as tb
+from . import profile as prof
 from . import screen as scr
 
 QUERIES: dict = {}
@@ -69,3 +70,23 @@ def screen_features(spark: SparkSession, sf: str) -> DataFrame:
 def sentence_scores(spark: SparkSession, sf: str) -> DataFrame:
     s = scr.scored_sentences(tb.essays(spark, sf))
     return s.select("essay_id", "sent_pos", _r("probability"), "label", "weight")
+
+
+# ---------------------------------------------------------------------------
+# I21 pattern profile (v2)
+# ---------------------------------------------------------------------------
+
+@register("structured_features", f"WITH {O.ESSAYS}, {O.pattern_sentences()}, {O.structured_ctes()} "
+          "SELECT essay_id, sent_pos, " + ", ".join(
+              f"round({c}, {D}) AS {c}" if c.endswith(("ratio", "imbalance", "length", "per_word"))
+              and c != "char_length" else c for c in fx.STRUCTURED_FEATURES) + " FROM sfeat")
+def structured_features(spark: SparkSession, sf: str) -> DataFrame:
+    s = prof.pattern_sentences(tb.essays(spark, sf), keep_empty=False)
+    return s.select("essay_id", "sent_pos", *[
+        _r(c) if c.endswith(("ratio", "imbalance", "length", "per_word")) and c != "char_length"
+        else F.col(c) for c in fx.STRUCTURED_FEATURES])
+
+
+@register("pattern_profile", O.profile_essays(D))
+def pattern_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return prof.profile_essays(tb.essays(spark, sf), digits=D)

@@ -170,3 +170,153 @@ SELECT e.essay_id,
        CAST(borderline_sentences AS BIGINT) AS borderline_sentences,
        CASE WHEN r.essay_id IS NULL THEN {q(K.NO_SENTENCE_ERROR)} END AS error
 FROM essays e LEFT JOIN r ON e.essay_id = r.essay_id"""
+
+
+# ---------------------------------------------------------------------------
+# structured features (H23-H48) and the v2 pattern profile
+# ---------------------------------------------------------------------------
+
+def structured_base(src: str, keep: str = "essay_id, sent_pos, text") -> str:
+    """SELECT with base lists ``w`` (words) and ``g`` (graphemes) and class counts."""
+    return f"""SELECT {keep}, {words('text')} AS w, {graphemes('text')} AS g,
+       {cnt('text', K.VOWEL_SIGN)} AS vd, {cnt('text', K.SHORT_VOWEL)} AS sv,
+       {cnt('text', K.LONG_VOWEL)} AS lv, {cnt('text', K.CONSONANT)} AS cons,
+       {cnt('text', K.VIRAMA)} AS al, {cnt('text', K.CONFUSABLE)} AS conf,
+       {cnt('text', K.INDEPENDENT_VOWEL)} AS iv
+FROM {src}"""
+
+
+def structured_select() -> str:
+    """Feature expressions over a ``structured_base`` row."""
+    nw, nc = "CAST(len(w) AS BIGINT)", "CAST(len(g) AS BIGINT)"
+    ns = f"CAST(len(list_filter(g, lambda x: regexp_matches(x, {q(K.SINHALA)}))) AS BIGINT)"
+    bare_word = (f"list_filter({graphemes('x')}, lambda y: regexp_matches(y, {q(K.SINHALA)}))")
+    bare = (f"CAST(len(list_filter(w, lambda x: coalesce(regexp_matches(({bare_word})[-1], {q(K.CONSONANT)}) "
+            f"AND NOT regexp_matches(({bare_word})[-1], {q(K.VOWEL_SIGN)}), false))) AS BIGINT)")
+    consec = (f"CAST(len(list_filter(range(2, length(text) + 1), lambda i: substring(text, i, 1) = chr(3530) "
+              f"AND substring(text, i - 1, 1) = chr(3530))) AS BIGINT)")
+    return f"""CAST(length(text) AS BIGINT) AS char_length,
+  {nw} AS word_count,
+  {ratio(f'sum_wlen', nw)} AS avg_word_length,
+  {nc} AS grapheme_count,
+  {ns} AS sinhala_grapheme_count,
+  {ratio(ns, nc)} AS sinhala_grapheme_ratio,
+  vd AS vowel_diacritic_count,
+  iv AS independent_vowel_count,
+  {ratio('vd', ns)} AS vowel_diacritic_ratio,
+  sv AS short_vowel_count,
+  lv AS long_vowel_count,
+  {ratio('abs(sv - lv)', 'sv + lv')} AS vowel_length_imbalance,
+  cons AS consonant_count,
+  {ratio('cons', ns)} AS consonant_ratio,
+  conf AS confusable_consonant_count,
+  {ratio('conf', 'cons')} AS confusable_consonant_ratio,
+  al AS al_lakuna_count,
+  {ratio('al', ns)} AS al_lakuna_ratio,
+  {consec} AS consecutive_al_lakuna,
+  {adjacent_list('g')} AS repeated_graphemes,
+  {adjacent_chars('text')} AS repeated_chars,
+  {adjacent_list('w')} AS repeated_words,
+  {bare} AS bare_consonant_endings,
+  {ratio(bare, nw)} AS bare_consonant_ending_ratio,
+  {ratio('vd', nw)} AS vowel_per_word,
+  {ratio('cons', nw)} AS consonant_per_word"""
+
+
+def structured_ctes(src: str = "psent", keep: str = "essay_id, sent_pos, text") -> str:
+    return f"""sbase0 AS ({structured_base(src, keep)}),
+sbase AS (SELECT *, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS sum_wlen FROM sbase0),
+sfeat AS (SELECT {keep}, {structured_select()} FROM sbase)"""
+
+
+def pattern_probs() -> str:
+    """Softmax over the five linear scores (columns p_<label>)."""
+    z = {lab: f"exp({linear(w)})" for lab, w in sc.PATTERN_WEIGHTS.items()}
+    den = " + ".join(f"z_{lab.lower()}" for lab in K.PATTERN_LABELS)
+    zs = ", ".join(f"{z[lab]} AS z_{lab.lower()}" for lab in K.PATTERN_LABELS)
+    ps = ", ".join(f"z_{lab.lower()} / ({den}) AS p_{lab.lower()}" for lab in K.PATTERN_LABELS)
+    return zs, ps
+
+
+def profile_essays(digits: int = 6) -> str:
+    labs = [lab.lower() for lab in K.PATTERN_LABELS]
+    errs = [lab.lower() for lab in K.ERROR_LABELS]
+    zs, ps = pattern_probs()
+    maxp = "greatest(" + ", ".join(f"p_{x}" for x in labs) + ")"
+    best_err = "greatest(" + ", ".join(f"p_{x}" for x in errs) + ")"
+    # arg-max with ties to the first label in alphabetical order
+    top = "CASE " + " ".join(
+        f"WHEN p_{x} = {maxp} THEN {q(lab)}" for x, lab in zip(labs, K.PATTERN_LABELS)) + " END"
+    k = len(labs)
+    weight = (f"CASE WHEN {maxp} - {K.WEIGHT_BASELINE} <= 0 THEN 0.0::DOUBLE ELSE "
+              f"0.65 * least(({maxp} - {K.WEIGHT_BASELINE}) / {1.0 - K.WEIGHT_BASELINE}, 1.0) "
+              f"+ 0.35 * least(word_count / 8.0, 1.0) END")
+    is_dys = (f"CASE WHEN word_count < {K.MIN_WORDS_FOR_RELIABLE} THEN false "
+              f"WHEN ({top}) = 'Normal' AND p_normal > {K.NORMAL_CONFIDENT} THEN false "
+              f"ELSE ({best_err} - {1.0 / k!r} >= {K.RELIABLE_MARGIN} AND {best_err} >= {K.STRONG_PATTERN_THRESHOLD}) END")
+    rel = f"word_count >= {K.MIN_WORDS_FOR_RELIABLE}"
+    agg = [
+        "count(*) AS total_sentence_count",
+        f"count(*) FILTER (WHERE {rel}) AS reliable_sentence_count",
+        f"count(*) FILTER (WHERE {rel} AND is_dys) AS dyslexic_sentence_count",
+        f"coalesce(sum(weight) FILTER (WHERE {rel}), 0) AS tcw",
+        f"coalesce(sum(weight) FILTER (WHERE {rel} AND is_dys), 0) AS wds",
+        "greatest(max(maxp), 0) AS maxp",
+        "coalesce(sum(weight) FILTER (WHERE weight > 0), 0) AS tw",
+    ]
+    for x in labs:
+        agg.append(f"coalesce(sum(p_{x} * weight) FILTER (WHERE weight > 0), 0) AS ws_{x}")
+        agg.append(f"sum(p_{x}) AS us_{x}")
+    for x in errs:
+        agg.append(f"count(*) FILTER (WHERE p_{x} > {K.STRONG_PATTERN_THRESHOLD}) AS count_{x}")
+    raw = ", ".join(f"CASE WHEN tw > 0 THEN ws_{x} ELSE us_{x} END AS r_{x}" for x in labs)
+    rsum = " + ".join(f"r_{x}" for x in labs)
+    dist = ", ".join(f"r_{x} / (CASE WHEN ({rsum}) = 0 THEN 1.0 ELSE ({rsum}) END) AS dist_{x}" for x in labs)
+    ranked = ("list_sort([" + ", ".join(
+        f"{{'s': dist_{x}, 'o': {-i}, 'l': {q(lab)}}}" for i, (x, lab) in enumerate(zip(labs, K.PATTERN_LABELS)))
+        + "], 'DESC')")
+    dens = ", ".join(f"CAST(count_{x} AS DOUBLE) / total_sentence_count * 100.0 AS density_{x}" for x in errs)
+    expl = "CASE top_l " + " ".join(f"WHEN {q(k_)} THEN {q(v)}" for k_, v in K.PATTERN_EXPLANATIONS.items()) + " ELSE '' END"
+    mixed = f"(top_s - sec_s) < {K.MIXED_GAP}"
+    dominant = (f"CASE WHEN {mixed} THEN 'No clear dominant pattern detected. The essay shows overlapping "
+                f"characteristics of ' || top_l || ' and ' || sec_l || ' patterns.' "
+                f"ELSE top_l || ' Pattern Dominant (' || printf('%.2f', top_s) || ')' END")
+    explanation = (f"CASE WHEN {mixed} THEN 'The writing demonstrates mixed indicators, with ' || top_l || ' (' "
+                   f"|| printf('%.2f', top_s) || ') and ' || sec_l || ' (' || printf('%.2f', sec_s) || ') appearing closely.' "
+                   f"ELSE {expl} END")
+    severity = (f"CASE WHEN top_s > {K.SEVERITY_LEVELS[0][0]} THEN {q(K.SEVERITY_LEVELS[0][1])} "
+                f"WHEN top_s > {K.SEVERITY_LEVELS[1][0]} THEN {q(K.SEVERITY_LEVELS[1][1])} ELSE {q(K.SEVERITY_DEFAULT)} END")
+    wratio = "CASE WHEN tcw > 0 THEN wds / tcw ELSE 0.0 END"
+    dratio = "CASE WHEN reliable_sentence_count > 0 THEN CAST(dyslexic_sentence_count AS DOUBLE) / reliable_sentence_count ELSE 0.0 END"
+    pboost = "CASE WHEN top_s > 0.40 THEN (top_s - 0.33) * 40.0 ELSE 0.0 END"
+    sboost = "CASE " + " ".join(f"WHEN maxp > {t} THEN {b}" for t, b in K.SEVERITY_BOOSTS) + " ELSE 0.0 END"
+    strong = " + ".join(f"(CASE WHEN density_{x} > 10 THEN 1 ELSE 0 END)" for x in errs)
+    risk = f"least(({wratio}) * 100.0 + ({pboost}) + ({sboost}) + (CASE WHEN ({strong}) >= 2 THEN 5.0 ELSE 0.0 END), {K.RISK_CAP})"
+    level = "CASE " + " ".join(f"WHEN risk > {t} THEN {q(n)}" for t, n in K.RISK_LEVELS) + f" ELSE {q(K.RISK_DEFAULT)} END"
+    d = digits
+    out = ", ".join([
+        "e.essay_id", "dominant", "severity", "explanation", f"round(risk, {d}) AS risk_score",
+        f"{level} AS risk_level",
+        *[f"round(dist_{x}, {d}) AS dist_{x}" for x in labs],
+        *[f"CAST(count_{x} AS BIGINT) AS count_{x}" for x in errs],
+        *[f"round(density_{x}, {d}) AS density_{x}" for x in errs],
+        f"round({dratio}, {d}) AS dyslexic_ratio", f"round({wratio}, {d}) AS weighted_dyslexic_ratio",
+        "CAST(dyslexic_sentence_count AS BIGINT) AS dyslexic_sentence_count",
+        "CAST(reliable_sentence_count AS BIGINT) AS reliable_sentence_count",
+        "CAST(total_sentence_count AS BIGINT) AS total_sentence_count",
+        f"round(maxp, {d}) AS max_sentence_probability",
+        f"CASE WHEN r3.essay_id IS NULL THEN {q(K.NO_PATTERN_ERROR)} END AS error",
+    ])
+    return f"""WITH {ESSAYS}, {pattern_sentences()},
+{structured_ctes()},
+sz AS (SELECT essay_id, sent_pos, text, word_count, {zs} FROM sfeat),
+sp AS (SELECT essay_id, sent_pos, text, word_count, {ps} FROM sz),
+sw AS (SELECT *, {weight} AS weight, {is_dys} AS is_dys, {maxp} AS maxp FROM sp),
+agg AS (SELECT essay_id, {', '.join(agg)} FROM sw GROUP BY essay_id),
+r1 AS (SELECT *, {raw} FROM agg),
+r2 AS (SELECT *, {dist}, {dens} FROM r1),
+r2b AS (SELECT *, {ranked} AS rk FROM r2),
+r3 AS (SELECT *, rk[1].l AS top_l, rk[1].s AS top_s, rk[2].l AS sec_l, rk[2].s AS sec_s FROM r2b),
+r4 AS (SELECT *, {dominant} AS dominant, {explanation} AS explanation, {severity} AS severity,
+              {risk} AS risk FROM r3)
+SELECT {out} FROM essays e LEFT JOIN r4 r3 ON e.essay_id = r3.essay_id"""
