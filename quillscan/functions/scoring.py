@@ -124,3 +124,15 @@ def is_dyslexic(probs: dict[str, Column], words: Column) -> Column:
     return (F.when(words < K.MIN_WORDS_FOR_RELIABLE, F.lit(False))
             .when(confident_normal, F.lit(False))
             .otherwise((margin >= K.RELIABLE_MARGIN) & (best_err >= K.STRONG_PATTERN_THRESHOLD)))
+
+
+# Rule-profile (v1) weights: pattern -> {surface feature: weight}. Stands in for the
+# learned-weights artifact (not shipped); ``plans.models.learn_weights`` fits one.
+V1_WEIGHTS = {
+    "Orthographic Instability": {"char_omission": 0.1873, "has_omission": 0.4127,
+                                 "has_diacritic_loss": 0.5311, "char_addition": 0.0517},
+    "Phonetic Confusion": {"char_substitution": 0.2291, "has_substitution": 0.3713,
+                           "char_addition": 0.1419, "has_addition": 0.2237},
+    "Word Boundary Confusion": {"word_count_diff": 0.4371, "has_spacing_issue": 0.3517,
+                                "char_omission": 0.0213},
+}

@@ -71,7 +71,7 @@ def _split_strip(c: Column, pattern: str) -> Column:
 
 def split_screening(c: ColumnOrName, min_chars: int = K.MIN_SENTENCE_CHARS,
                     long_chars: int = K.LONG_SENTENCE_CHARS,
-                    chunk: int = K.CHUNK_CHARS) -> Column:
+                    chunk: int = K.CHUNK_CHARS, chunk_lone_long: bool = True) -> Column:
     """H1 + H2: screening sentences of an essay, as an array.
 
     CRLF/CR -> LF, split on runs of ``. ! ? danda LF``, strip, keep >= 4 chars;
@@ -79,6 +79,8 @@ def split_screening(c: ColumnOrName, min_chars: int = K.MIN_SENTENCE_CHARS,
     """
     kept = F.filter(_split_strip(normalize_newlines(c), K.SCREEN_SPLIT),
                     lambda s: F.length(s) >= min_chars)
+    if not chunk_lone_long:
+        return kept
     # evaluate the split once: the chunk rule reads it up to four times
     return F.transform(F.array(kept), lambda k: chunk_long(k, long_chars, chunk))[0]
 
@@ -135,16 +137,26 @@ def sinhala_graphemes(g: ColumnOrName) -> Column:
 
 
 def stabilize_repetition(c: ColumnOrName) -> Column:
-    """Runs of 3+ equal grapheme clusters become exactly 2."""
-    g = graphemes(c)
-    return F.array_join(
-        F.filter(g, lambda x, i: ~((i >= 2) & (x == F.get(g, i - 1)) & (x == F.get(g, i - 2)))),
-        "")
+    """Runs of 3+ equal grapheme clusters become exactly 2.
+
+    The cluster array is bound once as a lambda variable, so the look-back reads
+    an array instead of re-segmenting the text for every element."""
+    def keep(g: Column) -> Column:
+        return F.array_join(
+            F.filter(g, lambda x, i: ~((i >= 2) & (x == F.get(g, i - 1)) & (x == F.get(g, i - 2)))), "")
+    return F.transform(F.array(graphemes(c)), keep)[0]
 
 
 def proxy_reference(c: ColumnOrName) -> Column:
-    """H7 then H10."""
-    return stabilize_repetition(normalize_unicode_and_space(c))
+    """H7 then H10 (the input must not come from a Python UDF; see ``with_proxy``)."""
+    return stabilize_repetition(collapse_whitespace(py_strip(_c(c))))
+
+
+def with_proxy(df, in_col: str, out_col: str = "proxy_reference"):
+    """H11 on a DataFrame: NFC (Arrow UDF) in one projection, then strip, collapse and
+    the grapheme-run rule as built-in expressions in the next."""
+    tmp = df.withColumn("_nfc", nfc(F.col(in_col)))
+    return tmp.withColumn(out_col, proxy_reference("_nfc")).drop("_nfc")
 
 
 def distinct_chars(c: ColumnOrName) -> Column:

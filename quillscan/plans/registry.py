@@ -90,3 +90,74 @@ def structured_features(spark: SparkSession, sf: str) -> DataFrame:
 @register("pattern_profile", O.profile_essays(D))
 def pattern_profile(spark: SparkSession, sf: str) -> DataFrame:
     return prof.profile_essays(tb.essays(spark, sf), digits=D)
+
+
+# ---------------------------------------------------------------------------
+# I22 / I25 rule-based profile (v1)
+# ---------------------------------------------------------------------------
+from ..functions import scoring as sc  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from . import rules as rl  # noqa: E402
+
+_V1_LINE_COLS = ["essay_id", "sent_pos", "raw_sentence", "proxy_reference", "char_addition",
+                 "char_omission", "char_substitution", "has_addition", "has_omission",
+                 "has_substitution", "word_count_diff", "has_spacing_issue", "has_diacritic_loss",
+                 "writing_pattern", "explanation"]
+
+
+@register("proxy_reference", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)} "
+          "SELECT essay_id, sent_pos, raw_sentence, proxy_reference FROM rule_lines")
+def proxy_reference(spark: SparkSession, sf: str) -> DataFrame:
+    s = op.explode_sentences(tb.essays(spark, sf), splitter=tx.split_lines)
+    s = s.select("essay_id", "sent_pos", F.col("text").alias("raw_sentence"))
+    return tx.with_proxy(s, "raw_sentence")
+
+
+@register("rule_sentences_edit_twin", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)} "
+          f"SELECT {', '.join(_V1_LINE_COLS)} FROM rule_lines")
+def rule_sentences_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
+    return rl.rule_sentences(tb.essays(spark, sf), exact=False).select(*_V1_LINE_COLS)
+
+
+@register("rule_profile_edit_twin", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)}, "
+          + O.v1_profile_sql("rule_lines"))
+def rule_profile_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
+    return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf), exact=False))
+
+
+@register("rule_profile")
+def rule_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """I22 with the exact character diff (rows-only check)."""
+    return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf), exact=True))
+
+
+_PAIR_COLS = ["pair_id", "clean_sentence", "dyslexic_sentence", "error_type"]
+
+
+@register("pairs", f"WITH {O.pairs_ctes()} SELECT {', '.join(_PAIR_COLS)} FROM pairs")
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return tb.pairs(spark, sf)
+
+
+@register("pair_patterns_edit_twin", f"WITH {O.pair_patterns_ctes(sc.V1_WEIGHTS)} "
+          "SELECT pair_id, error_type, char_addition, char_omission, char_substitution, has_addition, "
+          "has_omission, has_substitution, word_count_diff, has_spacing_issue, has_diacritic_loss, "
+          "writing_pattern, explanation FROM pair_patterns")
+def pair_patterns_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
+    return rl.pair_patterns(tb.pairs(spark, sf), exact=False).select(
+        "pair_id", "error_type", "char_addition", "char_omission", "char_substitution", "has_addition",
+        "has_omission", "has_substitution", "word_count_diff", "has_spacing_issue", "has_diacritic_loss",
+        "writing_pattern", "explanation")
+
+
+@register("pair_patterns")
+def pair_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """I25 with the exact matching-block diff (rows-only check)."""
+    return rl.pair_patterns(tb.pairs(spark, sf), exact=True).drop("clean_sentence", "dyslexic_sentence")
+
+
+@register("pseudo_essay_profile", f"WITH {O.pair_patterns_ctes(sc.V1_WEIGHTS)}, "
+          "blocks AS (SELECT CAST((row_number() OVER (ORDER BY pair_id) - 1) // 5 AS BIGINT) AS essay_id, "
+          "writing_pattern FROM pair_patterns), " + O.v1_profile_sql("blocks"))
+def pseudo_essay_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return rl.flat_profile(rl.pseudo_essay_profile(rl.pair_patterns(tb.pairs(spark, sf), exact=False)))

@@ -63,8 +63,10 @@ def read_essays(spark: SparkSession, path: str) -> DataFrame:
 
 def pairs_from_essays(ess: DataFrame, per_essay: int = PAIRS_PER_ESSAY) -> DataFrame:
     """Paired corpus derived by rule from the first screening sentences of each essay."""
-    first = ess.select("essay_id", F.slice(tx.split_screening("text"), 1, per_essay).alias("s"))
-    sent = first.select("essay_id", F.posexplode("s").alias("pos", "clean"))
+    first = ess.select("essay_id", F.slice(tx.split_screening("text", chunk_lone_long=False), 1, per_essay)
+                       .alias("s"))
+    sent = first.select("essay_id", F.posexplode_outer("s").alias("pos", "clean")) \
+        .where(F.col("pos").isNotNull())
     k = F.substring(F.md5(F.col("clean")), 1, 1)
     t = F.col("clean")
     swapped = F.concat(F.substring(t, 2, 1), F.substring(t, 1, 1), F.expr("substring(clean, 3)"))

@@ -320,3 +320,119 @@ r3 AS (SELECT *, rk[1].l AS top_l, rk[1].s AS top_s, rk[2].l AS sec_l, rk[2].s A
 r4 AS (SELECT *, {dominant} AS dominant, {explanation} AS explanation, {severity} AS severity,
               {risk} AS risk FROM r3)
 SELECT {out} FROM essays e LEFT JOIN r4 r3 ON e.essay_id = r3.essay_id"""
+
+
+# ---------------------------------------------------------------------------
+# pairs view, rule-based (v1) flows with the edit twin
+# ---------------------------------------------------------------------------
+
+def pairs_cte() -> str:
+    """CTE ``pairs(pair_id, clean_sentence, dyslexic_sentence, error_type)`` (needs sent_arr)."""
+    ph_src = "".join(chr(c) for c in [0x0D9A, 0x0D9C, 0x0DA0, 0x0DAD, 0x0DB6, 0x0DC0, 0x0DC3])
+    ph_dst = "".join(chr(c) for c in [0x0D9B, 0x0D9D, 0x0DA1, 0x0DAE, 0x0DB8, 0x0DC2, 0x0DC4])
+    return f"""
+pair_src AS (SELECT essay_id, list_slice(k, 1, {tb.PAIRS_PER_ESSAY}) AS s FROM sent_kept),
+pair_rows AS (SELECT essay_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS pos, unnest(s) AS clean FROM pair_src),
+pair_k AS (SELECT *, substring(md5(clean), 1, 1) AS k FROM pair_rows),
+pairs AS (
+  SELECT CAST(essay_id * 1000 + pos AS BIGINT) AS pair_id, clean AS clean_sentence,
+    CASE WHEN k IN ('0','1','2','3') THEN replace(clean, chr(3530), '')
+         WHEN k IN ('4','5','6','7') THEN translate(clean, {q(ph_src)}, {q(ph_dst)})
+         WHEN k IN ('8','9','a') THEN substring(clean, 2, 1) || substring(clean, 1, 1) || substring(clean, 3)
+         WHEN k IN ('b','c') THEN substring(clean, 1, length(clean) - 1)
+         WHEN k = 'd' THEN replace(clean, ' ', '')
+         ELSE clean END AS dyslexic_sentence,
+    CASE WHEN k IN ('0','1','2','3') THEN 'Spelling' WHEN k IN ('4','5','6','7') THEN 'phonetic_confusion'
+         WHEN k IN ('8','9','a') THEN 'Visual Scrambling' WHEN k IN ('b','c') THEN 'tense_error'
+         WHEN k = 'd' THEN 'Spoken_case' WHEN k = 'e' THEN 'other' END AS error_type
+  FROM pair_k)"""
+
+
+def pairs_ctes() -> str:
+    return ESSAYS + "," + screening_sentences() + "," + pairs_cte()
+
+
+def twin_features(a: str, b: str, loss_sql: str) -> str:
+    common = f"least(length({a}), length({b}))"
+    sub = (f"CAST(len(list_filter(range(1, {common} + 1), lambda i: substring({a}, i, 1) <> "
+           f"substring({b}, i, 1))) AS BIGINT)")
+    add = f"CAST(greatest(length({b}) - length({a}), 0) AS BIGINT)"
+    omi = f"CAST(greatest(length({a}) - length({b}), 0) AS BIGINT)"
+    wd = f"CAST(abs({nwords(a)} - {nwords(b)}) AS BIGINT)"
+    return (f"{add} AS char_addition, {omi} AS char_omission, {sub} AS char_substitution, "
+            f"{add} > 0 AS has_addition, {omi} > 0 AS has_omission, {sub} > 0 AS has_substitution, "
+            f"{wd} AS word_count_diff, {wd} > 0 AS has_spacing_issue, {loss_sql} AS has_diacritic_loss")
+
+
+def v1_scores_and_label(weights: dict) -> tuple[str, str, str]:
+    """(score columns, pattern expression, explanation expression) over a features row."""
+    pats = sorted(weights)
+    score_cols = ", ".join(
+        f"(0.0::DOUBLE" + "".join(f" + CAST({f} AS BIGINT) * {dbl(w)}" for f, w in weights[p].items())
+        + f") AS s{i}" for i, p in enumerate(pats))
+    ranked = "list_sort([" + ", ".join(
+        f"{{'s': s{i}, 'o': {-i}, 'l': {q(p)}}}" for i, p in enumerate(pats)) + "], 'DESC')"
+    pattern = (f"CASE WHEN rk[1].s < {K.V1_MIN_SCORE} THEN 'No Dominant Pattern' "
+               f"WHEN rk[1].s - rk[2].s >= {K.V1_DOMINANCE_MARGIN} THEN rk[1].l ELSE 'Mixed Dyslexic Pattern' END")
+    base = "CASE writing_pattern " + " ".join(
+        f"WHEN {q(k_)} THEN {q(v)}" for k_, v in K.V1_EXPLANATIONS.items()) + " ELSE '' END"
+    contrib = "list_slice(list_transform(list_filter(rk, lambda e: e.s > 0), lambda e: e.l), 1, 2)"
+    expl = (f"{base} || CASE WHEN writing_pattern = 'Mixed Dyslexic Pattern' AND len({contrib}) > 0 "
+            f"THEN {q(K.MIXED_SUFFIX)} || array_to_string({contrib}, ', ') || '.' ELSE '' END")
+    return score_cols + f", {ranked} AS rk", pattern, expl
+
+
+def v1_profile_sql(src: str, id_col: str = "essay_id", digits: int = 6) -> str:
+    pats = K.V1_PATTERNS
+    cols = [p.lower().replace(" ", "_") for p in pats]
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE writing_pattern = {q(p)}) AS BIGINT) AS {c}"
+                       for p, c in zip(pats, cols))
+    mx = "greatest(" + ", ".join(cols) + ")"
+    dominant = "CASE " + " ".join(f"WHEN {c} = {mx} THEN {q(p)}" for p, c in zip(pats, cols)) + " END"
+    strength = (f"CASE WHEN confidence >= {K.DOMINANCE_LEVELS[0][0]} THEN {q(K.DOMINANCE_LEVELS[0][1])} "
+                f"WHEN confidence >= {K.DOMINANCE_LEVELS[1][0]} THEN {q(K.DOMINANCE_LEVELS[1][1])} "
+                f"ELSE {q(K.DOMINANCE_DEFAULT)} END")
+    pct = "CAST(round_even(confidence * 100, 0) AS BIGINT)"
+    level = (f"CASE WHEN {pct} >= {K.CONFIDENCE_LEVELS[0][0]} THEN {q(K.CONFIDENCE_LEVELS[0][1])} "
+             f"WHEN {pct} >= {K.CONFIDENCE_LEVELS[1][0]} THEN {q(K.CONFIDENCE_LEVELS[1][1])} "
+             f"ELSE {q(K.CONFIDENCE_DEFAULT)} END")
+    return f"""pc AS (SELECT {id_col}, {counts} FROM {src} GROUP BY {id_col}),
+pd AS (SELECT *, {dominant} AS dominant_pattern, {mx} AS max_count, {' + '.join(cols)} AS total_sentences FROM pc),
+pe AS (SELECT *, CAST(max_count AS DOUBLE) / total_sentences AS confidence FROM pd)
+SELECT {id_col}, {', '.join(cols)}, dominant_pattern, max_count, total_sentences,
+       {strength} AS dominance_strength, round(confidence, {digits}) AS confidence,
+       {pct} AS confidence_percent, {level} AS confidence_level
+FROM pe"""
+
+
+def rule_lines_ctes(weights: dict) -> str:
+    ws = K.PY_WS
+    scores, pattern, expl = v1_scores_and_label(weights)
+    loss = f"{cnt('raw_sentence', K.RUNTIME_DIACRITIC)} < {cnt('proxy_reference', K.RUNTIME_DIACRITIC)}"
+    return f"""{ESSAYS},
+la AS (SELECT essay_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {strip('s')}),
+                                    lambda s: s <> '') AS s FROM essays),
+lines AS (SELECT essay_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_pos, unnest(s) AS raw_sentence FROM la),
+ln AS (SELECT *, regexp_replace({strip('nfc_normalize(raw_sentence)')}, {q(ws + '+')}, ' ', 'g') AS n1 FROM lines),
+lg AS (SELECT *, {graphemes('n1')} AS g FROM ln),
+lp AS (SELECT essay_id, sent_pos, raw_sentence,
+              array_to_string(list_filter(g, lambda x, i: NOT (i >= 3 AND x = g[i - 1] AND x = g[i - 2])), '')
+              AS proxy_reference FROM lg),
+lf AS (SELECT *, {twin_features('raw_sentence', 'proxy_reference', loss)} FROM lp),
+ls AS (SELECT *, {scores} FROM lf),
+lw AS (SELECT *, {pattern} AS writing_pattern FROM ls),
+rule_lines AS (SELECT *, {expl} AS explanation FROM lw)"""
+
+
+def pair_patterns_ctes(weights: dict) -> str:
+    scores, pattern, expl = v1_scores_and_label(weights)
+    cls = K.char_class(K.PAIR_DIACRITICS_NB)
+    loss = f"{cnt('clean_sentence', cls)} > {cnt('dyslexic_sentence', cls)}"
+    valid = lambda c: f"({c} IS NOT NULL AND length({c}) >= 3 AND NOT regexp_matches({c}, '[{{}}]'))"
+    return f"""{pairs_ctes()},
+pv AS (SELECT * FROM pairs WHERE {valid('clean_sentence')} AND {valid('dyslexic_sentence')}),
+pf AS (SELECT pair_id, clean_sentence, dyslexic_sentence, error_type,
+              {twin_features('clean_sentence', 'dyslexic_sentence', loss)} FROM pv),
+ps AS (SELECT *, {scores} FROM pf),
+pw AS (SELECT *, {pattern} AS writing_pattern FROM ps),
+pair_patterns AS (SELECT *, {expl} AS explanation FROM pw)"""
