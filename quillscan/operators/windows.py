@@ -140,3 +140,25 @@ def share_of_total(df: DataFrame, value_col: str, group_cols: list[str], out: st
     """Value / sum(value) within the group (group totals joined back, no global window)."""
     t = attach_group_totals(df, group_cols, [F.sum(value_col).alias("_tot")])
     return t.withColumn(out, F.col(value_col) / F.col("_tot")).drop("_tot")
+
+
+def prefix_sum(df: DataFrame, order_cols: list[str], value_col: str, out: str = "cum_before",
+               partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value_col`` in ``order_cols`` order, without a global window.
+
+    Range-partition on the order, run a window inside each range partition, and add
+    the totals of the earlier partitions (a table of one row per partition).
+    ``order_cols`` must be unique.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
+    local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    with_local = ranged.withColumn("_loc", F.coalesce(F.sum(value_col).over(local), F.lit(0)))
+    totals = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
+    return with_local.join(F.broadcast(offsets), "_pid") \
+        .select(*df.columns, (F.col("_off") + F.col("_loc")).alias(out))

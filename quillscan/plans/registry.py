@@ -161,3 +161,108 @@ def pair_patterns(spark: SparkSession, sf: str) -> DataFrame:
           "writing_pattern FROM pair_patterns), " + O.v1_profile_sql("blocks"))
 def pseudo_essay_profile(spark: SparkSession, sf: str) -> DataFrame:
     return rl.flat_profile(rl.pseudo_essay_profile(rl.pair_patterns(tb.pairs(spark, sf), exact=False)))
+
+
+# ---------------------------------------------------------------------------
+# I23 / I24 corpus builds, D14 / D17 / D26 counts
+# ---------------------------------------------------------------------------
+from ..operators import corpus as co  # noqa: E402
+from ..operators import evaluate as ev  # noqa: E402
+from ..operators import windows as win  # noqa: E402
+from . import corpus_builds as cb  # noqa: E402
+
+
+def _binary(spark, sf):
+    return cb.binary_corpus([tb.pairs(spark, sf)], cb.extra_clean(spark))
+
+
+def _pattern(spark, sf):
+    return cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))])
+
+
+@register("binary_corpus", O.binary_corpus(co.EXTRA_CLEAN, co.EXTRA_TIMES))
+def binary_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return _binary(spark, sf)
+
+
+@register("binary_corpus_label_counts", "WITH b AS (" + O.binary_corpus(co.EXTRA_CLEAN, co.EXTRA_TIMES)
+          + ") SELECT label, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share "
+            "FROM b GROUP BY label")
+def binary_corpus_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return co.value_counts(_binary(spark, sf), "label", normalize=True).withColumn("share", _r("share"))
+
+
+@register("pattern_corpus", O.pattern_corpus(cb.NORMAL_CAP))
+def pattern_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return _pattern(spark, sf)
+
+
+@register("pattern_corpus_label_counts", "WITH p AS (" + O.pattern_corpus(cb.NORMAL_CAP)
+          + ") SELECT macro_label, count(*) AS count FROM p GROUP BY macro_label")
+def pattern_corpus_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return co.value_counts(_pattern(spark, sf), "macro_label")
+
+
+@register("duplicate_count", f"WITH {O.pairs_ctes()} SELECT CAST(count(*) - count(DISTINCT "
+          "coalesce(dyslexic_sentence, chr(0))) AS BIGINT) AS duplicates_removed, "
+          "count(*) AS rows_before FROM pairs")
+def duplicate_count(spark: SparkSession, sf: str) -> DataFrame:
+    return win.duplicate_count(tb.pairs(spark, sf), ["dyslexic_sentence"])
+
+
+@register("macro_labels", f"WITH {O.pairs_ctes()} SELECT pair_id, error_type, "
+          f"{O.normalize_label('error_type')} AS macro_label FROM pairs")
+def macro_labels(spark: SparkSession, sf: str) -> DataFrame:
+    p = tb.pairs(spark, sf)
+    return p.select("pair_id", "error_type", co.normalize_label(F.col("error_type")).alias("macro_label"))
+
+
+@register("v1_label_map", f"WITH {O.pairs_ctes()} SELECT pair_id, error_type, CASE error_type "
+          + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in __import__(
+              'quillscan.constants', fromlist=['x']).V1_LABEL_MAP.items())
+          + " END AS label FROM pairs WHERE error_type IN ("
+          + ", ".join(O.q(k) for k in __import__('quillscan.constants', fromlist=['x']).V1_LABEL_MAP) + ")")
+def v1_label_map(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import rules_v1 as rv
+    m = rv.map_labels(tb.pairs(spark, sf).select("pair_id", "error_type"))
+    return m.na.drop(subset=["label"])
+
+
+@register("junk_filter", "WITH u AS (SELECT CAST(doc_id AS BIGINT) AS id, 'doc' AS kind, text FROM documents "
+          "UNION ALL SELECT page_id, 'page', html FROM pages) SELECT id, kind FROM u WHERE NOT coalesce("
+          f"regexp_matches(text, {O.q(__import__('quillscan.constants', fromlist=['x']).JUNK)}), false)")
+def junk_filter(spark: SparkSession, sf: str) -> DataFrame:
+    d = tb.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("doc").alias("kind"),
+                                                     "text")
+    pg = tb.read_table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"),
+                                                  F.col("html").alias("text"))
+    return co.drop_junk(co.union_all([d, pg]), "text").select("id", "kind")
+
+
+# ---------------------------------------------------------------------------
+# D18-D20 evaluation: labels.quality vs the essay composite score
+# ---------------------------------------------------------------------------
+
+def _eval_rows(spark, sf, threshold: float = 0.5):
+    s = scr.screen_essays(tb.essays(spark, sf), digits=None).where(F.col("composite_score").isNotNull())
+    lab = tb.read_table(spark, sf, "labels")
+    j = lab.join(s, lab.doc_id == s.essay_id)
+    return j.select(F.col("quality").cast("int").alias("label"),
+                    (F.col("composite_score") >= threshold).cast("int").alias("prediction"),
+                    F.col("composite_score").alias("probability"))
+
+
+@register("confusion_matrix", f"WITH {O.eval_rows()} SELECT label, "
+          "CAST(count(*) FILTER (WHERE prediction = 0) AS BIGINT) AS pred_0, "
+          "CAST(count(*) FILTER (WHERE prediction = 1) AS BIGINT) AS pred_1 FROM ev GROUP BY label")
+def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.confusion_matrix(_eval_rows(spark, sf))
+
+
+@register("roc_auc", f"WITH {O.eval_rows()}, s AS (SELECT probability AS score, "
+          "count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM ev GROUP BY 1), "
+          "c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+          "AS neg_below FROM s) SELECT round(sum(pos * (neg_below + neg * 0.5)) / (sum(pos) * sum(neg)), 6) AS roc_auc, "
+          "CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c")
+def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.roc_auc(_eval_rows(spark, sf)).withColumn("roc_auc", _r("roc_auc"))

@@ -436,3 +436,62 @@ pf AS (SELECT pair_id, clean_sentence, dyslexic_sentence, error_type,
 ps AS (SELECT *, {scores} FROM pf),
 pw AS (SELECT *, {pattern} AS writing_pattern FROM ps),
 pair_patterns AS (SELECT *, {expl} AS explanation FROM pw)"""
+
+
+# ---------------------------------------------------------------------------
+# corpus builds (I23, I24) and evaluation
+# ---------------------------------------------------------------------------
+
+def binary_corpus(extra: list[str], times: int) -> str:
+    vals = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(extra))
+    return f"""WITH {pairs_ctes()},
+ex AS (SELECT * FROM (VALUES {vals}) t(idx, text)),
+exr AS (SELECT idx, text, unnest(range({times})) AS rep FROM ex),
+u AS (
+  SELECT dyslexic_sentence AS text, 1 AS label, 0 AS side, 0 AS rep, pair_id AS pos FROM pairs
+  UNION ALL SELECT clean_sentence, 0, 1, 0, pair_id FROM pairs
+  UNION ALL SELECT text, 0, 2, rep, idx FROM exr),
+f AS (SELECT * FROM u WHERE length(text) >= {K.MIN_SENTENCE_CHARS}),
+k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY side, rep, pos) AS rn FROM f)
+SELECT text, CAST(label AS INTEGER) AS label FROM k WHERE rn = 1"""
+
+
+def normalize_label(c: str) -> str:
+    x = f"lower(trim(coalesce({c}, 'None'), {q(K.PY_WS_CHARS)}))"
+    parts = []
+    for words_, label in K.MACRO_RULES:
+        cond = " OR ".join(f"contains({x}, {q(w)})" for w in words_)
+        parts.append(f"WHEN {cond} THEN {q(label)}")
+    return "CASE " + " ".join(parts) + f" ELSE {q(K.MACRO_DEFAULT)} END"
+
+
+def pattern_corpus(cap: int) -> str:
+    return f"""WITH {pairs_ctes()},
+pg AS (SELECT page_id AS pair_id, CAST(NULL AS VARCHAR) AS clean_sentence, html AS dyslexic_sentence,
+              CAST(NULL AS VARCHAR) AS error_type, 1 AS corpus FROM pages),
+u AS (SELECT pair_id, clean_sentence, dyslexic_sentence, error_type, 0 AS corpus FROM pairs
+      UNION ALL SELECT * FROM pg),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dyslexic_sentence ORDER BY corpus, pair_id) AS rn
+                     FROM u) WHERE rn = 1),
+j AS (SELECT * FROM d WHERE NOT coalesce(regexp_matches(dyslexic_sentence, {q(K.JUNK)}), false)),
+l AS (SELECT *, {normalize_label('error_type')} AS macro_label FROM j),
+n AS (SELECT clean_sentence AS dyslexic_sentence, 'Normal' AS macro_label FROM l
+      WHERE clean_sentence IS NOT NULL AND length(clean_sentence) > 5
+      ORDER BY md5(clean_sentence), clean_sentence LIMIT {cap}),
+y AS (SELECT dyslexic_sentence, macro_label FROM l WHERE macro_label <> {q(K.MACRO_DEFAULT)})
+SELECT * FROM y WHERE dyslexic_sentence IS NOT NULL UNION ALL SELECT * FROM n"""
+
+
+def eval_rows(threshold: float = 0.5) -> str:
+    """CTE ``ev(label, prediction, probability)``: labels.quality vs the essay composite score."""
+    return f"""{screen_essays_cte()},
+ev AS (SELECT CAST(l.quality AS INTEGER) AS label,
+              CAST(s.composite_score >= {threshold} AS INTEGER) AS prediction,
+              s.composite_score AS probability
+       FROM labels l JOIN sres s ON l.doc_id = s.essay_id WHERE s.composite_score IS NOT NULL)"""
+
+
+def screen_essays_cte() -> str:
+    body = screen_essays(digits=15)
+    return body.replace("WITH ", "", 1).rsplit("SELECT e.essay_id", 1)[0].rstrip() + \
+        ",\nsres AS (SELECT essay_id, composite_score FROM r)"
