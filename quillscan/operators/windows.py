@@ -54,7 +54,7 @@ def pseudo_essay_id(df: DataFrame, order_cols: list[str], size: int = 5,
                     group_col: str | None = None, out: str = "essay_id") -> DataFrame:
     """Consecutive rows in blocks of ``size`` (``index // size``)."""
     idx = consecutive_index(df, order_cols, group_col, out="_idx")
-    return idx.withColumn(out, F.floor(F.col("_idx") / size).cast("bigint"))
+    return idx.withColumn(out, F.floor(F.col("_idx") / size).cast("bigint")).drop("_idx")
 
 
 def concat_sentences(df: DataFrame, id_col: str, pos_col: str, text_col: str,

@@ -266,3 +266,93 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
           "CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c")
 def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     return ev.roc_auc(_eval_rows(spark, sf)).withColumn("roc_auc", _r("roc_auc"))
+
+
+@register("classification_report", f"""WITH {O.eval_rows()},
+cls AS (SELECT DISTINCT label AS c FROM ev UNION SELECT DISTINCT prediction FROM ev),
+per AS (SELECT c, count(*) FILTER (WHERE label = c AND prediction = c) AS tp,
+               count(*) FILTER (WHERE prediction = c) AS pp, count(*) FILTER (WHERE label = c) AS support
+        FROM cls, ev GROUP BY c),
+m AS (SELECT c, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
+             CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support, tp FROM per),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m),
+s AS (SELECT sum(tp) / sum(support) AS acc, sum(support) AS n, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+             sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+             sum(f1 * support) / sum(support) AS wf FROM f)
+SELECT CAST(c AS VARCHAR) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 6), CAST(n AS BIGINT) FROM s
+UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM s
+UNION ALL SELECT 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), CAST(n AS BIGINT) FROM s""")
+def classification_report(spark: SparkSession, sf: str) -> DataFrame:
+    r = ev.classification_report(_eval_rows(spark, sf))
+    return r.select("class", _r("precision"), _r("recall"), _r("f1_score"), "support")
+
+
+@register("describe_composite", f"""WITH {O.eval_rows()}
+SELECT CAST(count(probability) AS BIGINT) AS count, round(avg(probability), 6) AS mean,
+       round(stddev_samp(probability), 6) AS std, round(min(probability), 6) AS min,
+       round(quantile_cont(probability, 0.25), 6) AS p25, round(quantile_cont(probability, 0.5), 6) AS p50,
+       round(quantile_cont(probability, 0.75), 6) AS p75, round(max(probability), 6) AS max FROM ev""")
+def describe_composite(spark: SparkSession, sf: str) -> DataFrame:
+    d = ev.describe(_eval_rows(spark, sf), "probability")
+    return d.select("count", *[_r(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+
+
+@register("stratified_split", "WITH bc AS (" + O.binary_corpus(co.EXTRA_CLEAN, co.EXTRA_TIMES) + """),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(text), text) - 1 AS li,
+             count(*) OVER (PARTITION BY label) AS n FROM bc)
+SELECT text, label, li < ceil(n * 0.2) AS is_test FROM r""")
+def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    return win.stratified_split(_binary(spark, sf), "label", "text", 0.2)
+
+
+@register("label_folds", f"""WITH {O.pairs_ctes()},
+pc AS (SELECT pair_id, {O.normalize_label('error_type')} AS macro_label FROM pairs)
+SELECT pair_id, macro_label, CAST((row_number() OVER (PARTITION BY macro_label ORDER BY md5(CAST(pair_id AS VARCHAR)), pair_id) - 1) % 5 AS INTEGER) AS fold FROM pc""")
+def label_folds(spark: SparkSession, sf: str) -> DataFrame:
+    p = tb.pairs(spark, sf).select("pair_id", co.normalize_label(F.col("error_type")).alias("macro_label"))
+    return win.folds(p, "macro_label", "pair_id", 5)
+
+
+@register("class_weights", f"""WITH {O.pairs_ctes()},
+pc AS (SELECT pair_id, {O.normalize_label('error_type')} AS macro_label FROM pairs),
+c AS (SELECT macro_label, count(*) AS nc FROM pc GROUP BY 1)
+SELECT macro_label, round((SELECT sum(nc) FROM c) / ((SELECT count(*) FROM c) * nc), 6) AS class_weight, nc AS count FROM c""")
+def class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    p = tb.pairs(spark, sf).select(co.normalize_label(F.col("error_type")).alias("macro_label"))
+    w = co.class_weights(p, "macro_label")
+    return w.groupBy("macro_label").agg(F.round(F.first("class_weight"), D).alias("class_weight"),
+                                        F.count(F.lit(1)).alias("count"))
+
+
+@register("pseudo_essays", """SELECT CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // 5 AS BIGINT) AS essay_id,
+  conv_id, turn FROM conversations""")
+def pseudo_essays(spark: SparkSession, sf: str) -> DataFrame:
+    c = tb.read_table(spark, sf, "conversations").select("conv_id", "turn")
+    return win.pseudo_essay_id(c, ["conv_id", "turn"], 5)
+
+
+@register("pseudo_essay_texts", f"""WITH b AS (SELECT CAST((row_number() OVER (ORDER BY conv_id, turn) - 1) // 5 AS BIGINT) AS essay_id,
+  row_number() OVER (ORDER BY conv_id, turn) AS pos, text FROM conversations)
+SELECT essay_id, string_agg(text, '. ' ORDER BY pos) AS text, count(*) AS n_sentences FROM b GROUP BY essay_id""")
+def pseudo_essay_texts(spark: SparkSession, sf: str) -> DataFrame:
+    c = tb.read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    b = win.consecutive_index(c, ["conv_id", "turn"], out="pos")
+    b = b.withColumn("essay_id", F.floor(F.col("pos") / 5).cast("bigint"))
+    return win.concat_sentences(b, "essay_id", "pos", "text")
+
+
+@register("screen_essays_any_sentence", f"""WITH {O.ESSAYS},
+sb AS (SELECT essay_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: {O.strip('s')}),
+                                    lambda s: s <> '') AS s FROM essays),
+st AS (SELECT essay_id, unnest(s) AS text FROM sb),
+f AS (SELECT essay_id, text, {O.screen_feature_select()} FROM st),
+p AS (SELECT essay_id, {O.screen_probability()} AS probability FROM f)
+SELECT essay_id, CASE WHEN max(probability) >= 0.65 THEN 'DYSLEXIC ESSAY' ELSE 'NORMAL ESSAY' END AS essay_label,
+       round(avg(probability), 6) AS confidence, count(*) AS total_sentences,
+       count(*) FILTER (WHERE probability >= 0.65) AS flagged_sentences FROM p GROUP BY essay_id""")
+def screen_essays_any_sentence(spark: SparkSession, sf: str) -> DataFrame:
+    s = op.explode_sentences(tb.essays(spark, sf), splitter=tx.split_basic)
+    r = op.essay_label_any(op.score_sentences(s))
+    return r.withColumn("confidence", _r("confidence"))
