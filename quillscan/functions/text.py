@@ -82,7 +82,7 @@ def split_screening(c: ColumnOrName, min_chars: int = K.MIN_SENTENCE_CHARS,
     if not chunk_lone_long:
         return kept
     # evaluate the split once: the chunk rule reads it up to four times
-    return F.transform(F.array(kept), lambda k: chunk_long(k, long_chars, chunk))[0]
+    return bind(kept, lambda k: chunk_long(k, long_chars, chunk))
 
 
 def chunk_long(sentences: Column, long_chars: int = K.LONG_SENTENCE_CHARS,
@@ -144,7 +144,7 @@ def stabilize_repetition(c: ColumnOrName) -> Column:
     def keep(g: Column) -> Column:
         return F.array_join(
             F.filter(g, lambda x, i: ~((i >= 2) & (x == F.get(g, i - 1)) & (x == F.get(g, i - 2)))), "")
-    return F.transform(F.array(graphemes(c)), keep)[0]
+    return bind(graphemes(c), keep)
 
 
 def proxy_reference(c: ColumnOrName) -> Column:
@@ -179,6 +179,12 @@ def analyzer_preprocess(c: ColumnOrName) -> Column:
     return F.regexp_replace(F.lower(_c(c)), f"{K.PY_WS}{K.PY_WS}+", " ")
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable (lambda bodies
+    otherwise re-evaluate a captured expression for every array element)."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _windows(t: Column, lo: int, hi: int) -> Column:
     n = F.length(t)
     top = F.least(F.lit(hi), n)
@@ -191,7 +197,7 @@ def _windows(t: Column, lo: int, hi: int) -> Column:
 
 def char_ngrams(c: ColumnOrName, lo: int, hi: int) -> Column:
     """Character n-grams (analyzer ``char``) for n in [lo, hi]."""
-    return _windows(analyzer_preprocess(c), lo, hi)
+    return bind(analyzer_preprocess(c), lambda t: _windows(t, lo, hi))
 
 
 def char_wb_ngrams(c: ColumnOrName, lo: int, hi: int) -> Column:
@@ -205,7 +211,11 @@ WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 def word_ngrams(c: ColumnOrName, lo: int = 1, hi: int = 2) -> Column:
     """Word uni/bigrams of tokens matching ``\\w\\w+`` (analyzer ``word``)."""
-    toks = F.regexp_extract_all(F.lower(_c(c)), F.lit(WORD_TOKEN), 0)
+    return bind(F.regexp_extract_all(F.lower(_c(c)), F.lit(WORD_TOKEN), 0),
+                lambda toks: _word_grams(toks, lo, hi))
+
+
+def _word_grams(toks: Column, lo: int, hi: int) -> Column:
     parts = []
     for k in range(lo, hi + 1):
         if k == 1:

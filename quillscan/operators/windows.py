@@ -130,10 +130,12 @@ def folds(df: DataFrame, label_col: str, key_col: str, k: int = 5, out: str = "f
     return _label_index(df, label_col, key_col).withColumn(out, (F.col("_li") % k).cast("int")).drop("_li")
 
 
-def cap_class(df: DataFrame, n: int, key_col: str) -> DataFrame:
-    """E5: at most ``n`` rows, the first in md5(key) order (deterministic seeded-sample stand-in)."""
+def cap_class(df: DataFrame, n: int, key_col: str, tiebreak: list[str] | None = None) -> DataFrame:
+    """E5: at most ``n`` rows, the first in md5(key) order (deterministic seeded-sample stand-in).
+
+    A bounded top-k: each task keeps its best ``n`` rows, only those are merged."""
     h = F.md5(F.col(key_col).cast("string"))
-    return df.orderBy(h, F.col(key_col)).limit(n)
+    return df.orderBy(h, F.col(key_col), *[F.col(c) for c in (tiebreak or [])]).limit(n)
 
 
 def share_of_total(df: DataFrame, value_col: str, group_cols: list[str], out: str = "share") -> DataFrame:

@@ -46,7 +46,8 @@ def binary_corpus(corpora: list[DataFrame], extra: DataFrame | None = None,
     return win.keep_first(u, ["text"], ["src"]).select("text", "label")
 
 
-def pattern_corpus(corpora: list[DataFrame], normal_cap: int = NORMAL_CAP) -> DataFrame:
+def pattern_corpus(corpora: list[DataFrame], normal_cap: int = NORMAL_CAP,
+                   keep_key: bool = False) -> DataFrame:
     """B1 + G1 + D16 + B5 + H57 + B2 + E5 + B8 + B6: ``(dyslexic_sentence, macro_label)``."""
     parts = [co.select_shared(c, PAIR_COLUMNS + ["pair_id"]).withColumn("_corpus", F.lit(i))
              for i, c in enumerate(corpora)]
@@ -58,12 +59,16 @@ def pattern_corpus(corpora: list[DataFrame], normal_cap: int = NORMAL_CAP) -> Da
     dedup = win.keep_first(u.select(*PAIR_COLUMNS, "_order"), ["dyslexic_sentence"], ["_order"])
     clean = co.drop_junk(dedup, "dyslexic_sentence")
     labelled = clean.withColumn("macro_label", co.normalize_label(F.col("error_type")))
+    key = lambda kind: F.concat_ws(":", F.lit(kind), F.col("_order._corpus").cast("string"),
+                                   F.col("_order.pair_id").cast("string")).alias("row_key")
     normal = labelled.select(F.col("clean_sentence").alias("dyslexic_sentence"),
-                             F.lit("Normal").alias("macro_label")) \
+                             F.lit("Normal").alias("macro_label"), key("n")) \
         .where(F.col("dyslexic_sentence").isNotNull() & co.min_length("dyslexic_sentence", 5, strict=True))
-    normal = win.cap_class(normal, normal_cap, "dyslexic_sentence")
-    dys = labelled.where(F.col("macro_label") != K.MACRO_DEFAULT).select("dyslexic_sentence", "macro_label")
-    return co.union_all([dys, normal]).na.drop(subset=["dyslexic_sentence"])
+    normal = win.cap_class(normal, normal_cap, "dyslexic_sentence", ["row_key"])
+    dys = labelled.where(F.col("macro_label") != K.MACRO_DEFAULT).select("dyslexic_sentence", "macro_label",
+                                                                         key("d"))
+    out = co.union_all([dys, normal]).na.drop(subset=["dyslexic_sentence"])
+    return out if keep_key else out.drop("row_key")
 
 
 def pages_as_pairs(pages: DataFrame) -> DataFrame:

@@ -356,3 +356,71 @@ def screen_essays_any_sentence(spark: SparkSession, sf: str) -> DataFrame:
     s = op.explode_sentences(tb.essays(spark, sf), splitter=tx.split_basic)
     r = op.essay_label_any(op.score_sentences(s))
     return r.withColumn("confidence", _r("confidence"))
+
+
+# ---------------------------------------------------------------------------
+# I1-I4 TF-IDF (long form), D22 / B14 / F4 vocabulary, C7 join
+# ---------------------------------------------------------------------------
+from ..operators import vectorize as vz  # noqa: E402
+
+_BIN_TRAIN_SQL = ("SELECT text AS doc_id, text FROM (WITH bc AS (" + O.binary_corpus(co.EXTRA_CLEAN, co.EXTRA_TIMES)
+                  + "), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(text), text) - 1 AS li, "
+                  "count(*) OVER (PARTITION BY label) AS n FROM bc) SELECT text FROM r WHERE NOT (li < ceil(n * 0.2)))")
+_PAT_SQL = "SELECT row_key AS doc_id, dyslexic_sentence AS text FROM (" + O.pattern_corpus(cb.NORMAL_CAP, True) + ")"
+
+TFIDF_SPECS = {
+    # name: (docs, counts(spark col), grams(sql template), min_df, max_features, sublinear)
+    "char_tfidf_2_4": ("binary", lambda c: vz.ngram_counts(c, "char", 2, 4), O.char_grams("{t}", 2, 4), 1, None, False),
+    "char_wb_tfidf_2_5": ("binary", lambda c: vz.ngram_counts(c, "char_wb", 2, 5), O.char_wb_grams("{t}", 2, 5),
+                          2, 60000, True),
+    "word_tfidf_1_2": ("binary", lambda c: vz.ngram_counts(c, "word", 1, 2), O.word_grams("{t}"), 2, 20000, True),
+    "char_tfidf_2_5": ("pattern", lambda c: vz.ngram_counts(c, "char", 2, 5), O.char_grams("{t}", 2, 5), 2, 30000,
+                       True),
+}
+
+
+def _tfidf_docs(spark, sf, kind):
+    if kind == "binary":
+        d = win.stratified_split(_binary(spark, sf), "label", "text", 0.2).where(~F.col("is_test"))
+        return d.select(F.col("text").alias("doc_id"), "text")
+    p = cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))],
+                          keep_key=True)
+    return p.select(F.col("row_key").alias("doc_id"), F.col("dyslexic_sentence").alias("text"))
+
+
+def _tfidf(spark, sf, name):
+    """Docs are checkpointed once (they feed the count, the fit and the transform) and
+    carry a numeric surrogate id; text keys are joined back only on the summary."""
+    kind, counts, _, min_df, cap, sub = TFIDF_SPECS[name]
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    docs = _tfidf_docs(spark, sf, kind).withColumnRenamed("doc_id", "doc_key") \
+        .withColumn("doc_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tf = vz.term_counts(docs, "doc_id", counts(F.col("text")))
+    vocab = vz.fit_vocabulary(tf, min_df, cap, n_docs=docs.count())
+    return tf, vocab, sub, cap, docs
+
+
+def _make_tfidf(name):
+    kind, _, gsql, min_df, cap, sub = TFIDF_SPECS[name]
+    docs_sql = _BIN_TRAIN_SQL if kind == "binary" else _PAT_SQL
+    ctes = O.tfidf_ctes(docs_sql, gsql, min_df, cap, sub)
+
+    def vocab_q(spark, sf):
+        vocab = _tfidf(spark, sf, name)[1]
+        return vocab.select("term", F.col("df").cast("bigint"), F.col("total_tf").cast("bigint"),
+                            _r("idf"), F.col("index").cast("bigint"))
+
+    def summary_q(spark, sf):
+        tf, vocab, s, c, docs = _tfidf(spark, sf, name)
+        summ = vz.doc_summary(vz.transform(tf, vocab, sublinear=s, bounded=c is not None))
+        summ = summ.join(docs.select("doc_id", "doc_key"), "doc_id").drop("doc_id") \
+            .withColumnRenamed("doc_key", "doc_id")
+        return summ.select("doc_id", F.col("n_terms").cast("bigint"), _r("sum_tfidf"), _r("max_tfidf"))
+
+    register(name.replace("tfidf", "vocabulary"), f"WITH {ctes} {O.vocabulary_select()}")(vocab_q)
+    register(name, f"WITH {ctes} {O.summary_select()}")(summary_q)
+
+
+for _n in TFIDF_SPECS:
+    _make_tfidf(_n)

@@ -465,7 +465,7 @@ def normalize_label(c: str) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {q(K.MACRO_DEFAULT)} END"
 
 
-def pattern_corpus(cap: int) -> str:
+def pattern_corpus(cap: int, keep_key: bool = False) -> str:
     return f"""WITH {pairs_ctes()},
 pg AS (SELECT page_id AS pair_id, CAST(NULL AS VARCHAR) AS clean_sentence, html AS dyslexic_sentence,
               CAST(NULL AS VARCHAR) AS error_type, 1 AS corpus FROM pages),
@@ -475,11 +475,15 @@ d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dyslexic_sentence
                      FROM u) WHERE rn = 1),
 j AS (SELECT * FROM d WHERE NOT coalesce(regexp_matches(dyslexic_sentence, {q(K.JUNK)}), false)),
 l AS (SELECT *, {normalize_label('error_type')} AS macro_label FROM j),
-n AS (SELECT clean_sentence AS dyslexic_sentence, 'Normal' AS macro_label FROM l
+n AS (SELECT clean_sentence AS dyslexic_sentence, 'Normal' AS macro_label,
+             concat_ws(':', 'n', CAST(corpus AS VARCHAR), CAST(pair_id AS VARCHAR)) AS row_key FROM l
       WHERE clean_sentence IS NOT NULL AND length(clean_sentence) > 5
-      ORDER BY md5(clean_sentence), clean_sentence LIMIT {cap}),
-y AS (SELECT dyslexic_sentence, macro_label FROM l WHERE macro_label <> {q(K.MACRO_DEFAULT)})
-SELECT * FROM y WHERE dyslexic_sentence IS NOT NULL UNION ALL SELECT * FROM n"""
+      ORDER BY md5(clean_sentence), clean_sentence, row_key LIMIT {cap}),
+y AS (SELECT dyslexic_sentence, macro_label,
+             concat_ws(':', 'd', CAST(corpus AS VARCHAR), CAST(pair_id AS VARCHAR)) AS row_key
+      FROM l WHERE macro_label <> {q(K.MACRO_DEFAULT)}),
+pcorp AS (SELECT * FROM y WHERE dyslexic_sentence IS NOT NULL UNION ALL SELECT * FROM n)
+SELECT {'*' if keep_key else 'dyslexic_sentence, macro_label'} FROM pcorp"""
 
 
 def eval_rows(threshold: float = 0.5) -> str:
@@ -495,3 +499,54 @@ def screen_essays_cte() -> str:
     body = screen_essays(digits=15)
     return body.replace("WITH ", "", 1).rsplit("SELECT e.essay_id", 1)[0].rstrip() + \
         ",\nsres AS (SELECT essay_id, composite_score FROM r)"
+
+
+# ---------------------------------------------------------------------------
+# TF-IDF (I1-I4)
+# ---------------------------------------------------------------------------
+
+def _windows_sql(t: str, lo: int, hi: int) -> str:
+    return (f"flatten(list_transform(range({lo}, least({hi}, length({t})) + 1), lambda n: "
+            f"list_transform(range(1, length({t}) - n + 2), lambda i: substring({t}, i, n))))")
+
+
+def char_grams(t: str, lo: int, hi: int) -> str:
+    p = f"regexp_replace(lower({t}), {q(K.PY_WS + K.PY_WS + '+')}, ' ', 'g')"
+    return _windows_sql(p, lo, hi)
+
+
+def char_wb_grams(t: str, lo: int, hi: int) -> str:
+    w = f"list_transform(regexp_extract_all(lower({t}), {q(K.NON_WS + '+')}), lambda x: ' ' || x || ' ')"
+    return f"flatten(list_transform({w}, lambda ww: {_windows_sql('ww', lo, hi)}))"
+
+
+def word_grams(t: str) -> str:
+    toks = f"regexp_extract_all(lower({t}), {q(r'[\p{L}\p{N}_]{2,}')})"
+    bi = (f"list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1])")
+    return f"list_concat({toks}, {bi})"
+
+
+def tfidf_ctes(docs_sql: str, grams: str, min_df: int, max_features: int | None, sublinear: bool) -> str:
+    limit = f"ORDER BY total_tf DESC, term ASC LIMIT {max_features}" if max_features else ""
+    w = "(1 + ln(tf))" if sublinear else "CAST(tf AS DOUBLE)"
+    return f"""docs AS ({docs_sql}),
+gr AS (SELECT doc_id, unnest({grams.replace('{t}', 'text')}) AS term FROM docs),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM gr GROUP BY doc_id, term),
+st AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM tf GROUP BY term HAVING count(*) >= {min_df}),
+vc AS (SELECT * FROM st {limit}),
+vocab AS (SELECT term, df, total_tf, ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + df)) + 1.0 AS idf,
+                 row_number() OVER (ORDER BY term) - 1 AS index FROM vc),
+wt AS (SELECT tf.doc_id, tf.term, {w} * v.idf AS w FROM tf JOIN vocab v ON tf.term = v.term),
+nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY doc_id),
+vec AS (SELECT wt.doc_id, wt.term, CASE WHEN norm > 0 THEN w / norm ELSE 0.0 END AS tfidf
+        FROM wt JOIN nm ON wt.doc_id = nm.doc_id)"""
+
+
+def vocabulary_select() -> str:
+    return ("SELECT term, CAST(df AS BIGINT) AS df, CAST(total_tf AS BIGINT) AS total_tf, round(idf, 6) AS idf, "
+            "CAST(index AS BIGINT) AS index FROM vocab")
+
+
+def summary_select() -> str:
+    return ("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(sum(tfidf), 6) AS sum_tfidf, "
+            "round(max(tfidf), 6) AS max_tfidf FROM vec GROUP BY doc_id")
