@@ -424,3 +424,60 @@ def _make_tfidf(name):
 
 for _n in TFIDF_SPECS:
     _make_tfidf(_n)
+
+
+# ---------------------------------------------------------------------------
+# Models (rows-only checks): I9/I10/I11/I18 binary, I13/I19 pattern, I16 weights
+# ---------------------------------------------------------------------------
+
+def _split_binary(spark, sf):
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    return win.stratified_split(_binary(spark, sf), "label", "text", 0.2).checkpoint(eager=True)
+
+
+@register("binary_model_eval")
+def binary_model_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit LR and linear SVM on the train split, soft-vote (H73), report on the test split."""
+    from . import models as md
+    data = _split_binary(spark, sf)
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    m1, m2 = md.fit_binary(train), md.fit_binary(train, svc=True)
+    scored = md.score_binary([m1, m2], test.select("text", "label"))
+    pred = scored.select("label", (F.col("probability") >= 0.5).cast("int").alias("prediction"), "probability")
+    return ev.classification_report(pred)
+
+
+@register("pattern_model_profile")
+def pattern_model_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """I13 fitted on the pattern corpus, then I21 with model probabilities."""
+    from . import models as md
+    model = md.fit_pattern(_pattern(spark, sf))
+    sents = prof.pattern_sentences(tb.essays(spark, sf), keep_empty=True)
+    probs = md.pattern_probabilities(model, sents.select("essay_id", "sent_pos", "text"))
+    cols = {lab: F.col(f"p_{lab.lower()}") for lab in prof.LABELS}
+    joined = sents.join(probs, ["essay_id", "sent_pos", "text"], "left")
+    return _profile_from(joined, cols)
+
+
+def _profile_from(feats: DataFrame, cols) -> DataFrame:
+    from ..functions import scoring as scx
+    s = feats.select("essay_id", "sent_pos", "text", "word_count", *[c.alias(scx.prob_col(l)) for l, c in cols.items()])
+    pc = {lab: F.col(scx.prob_col(lab)) for lab in prof.LABELS}
+    wc = F.col("word_count")
+    sp = s.select("*", scx.confidence_weight(list(pc.values()), wc).alias("weight"),
+                  scx.is_dyslexic(pc, wc).alias("is_dyslexic"), scx.max_prob(list(pc.values())).alias("max_prob"),
+                  scx.argmax_label(pc).alias("top_label"))
+    return prof.finish_profile(prof.profile_rollup(sp), digits=D)
+
+
+@register("learned_weights")
+def learned_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """I16: LR coefficients per v1 pattern x surface feature, from C1-labelled pairs."""
+    from ..functions import diff as dfx
+    from ..operators import rules_v1 as rv
+    from . import models as md
+    p = rv.map_labels(tb.pairs(spark, sf)).na.drop(subset=["label"])
+    c, d = F.col("clean_sentence"), F.col("dyslexic_sentence")
+    feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d, exact=True))
+    return md.learn_weights(spark, feats)
