@@ -481,3 +481,35 @@ def learned_weights(spark: SparkSession, sf: str) -> DataFrame:
     c, d = F.col("clean_sentence"), F.col("dyslexic_sentence")
     feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d, exact=True))
     return md.learn_weights(spark, feats)
+
+
+# ---------------------------------------------------------------------------
+# C5 / C6 combined, J1 streaming
+# ---------------------------------------------------------------------------
+from . import combined as cmb  # noqa: E402
+
+
+@register("full_analysis", f"""WITH b AS ({O.screen_essays(D)}), p AS ({O.profile_essays(D)})
+SELECT b.essay_id, b.essay_label, b.composite_score, b.error AS binary_error, p.risk_score, p.risk_level,
+       p.dominant, p.error AS pattern_error FROM b JOIN p ON b.essay_id = p.essay_id""")
+def full_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    r = cmb.full_analysis(tb.essays(spark, sf), digits=D)
+    return r.select("essay_id", "binary.essay_label", "binary.composite_score",
+                    F.col("binary.error").alias("binary_error"), "patterns.risk_score", "patterns.risk_level",
+                    "patterns.dominant", F.col("patterns.error").alias("pattern_error"))
+
+
+@register("gated_analysis", f"""WITH b AS ({O.screen_essays(D)}), p AS ({O.profile_essays(D)})
+SELECT b.*, CASE WHEN b.essay_label <> 'NORMAL ESSAY' THEN p.risk_score END AS risk_score,
+       CASE WHEN b.essay_label <> 'NORMAL ESSAY' THEN p.risk_level END AS risk_level,
+       CASE WHEN b.essay_label <> 'NORMAL ESSAY' THEN p.dominant END AS dominant
+FROM b LEFT JOIN p ON b.essay_id = p.essay_id""")
+def gated_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    return cmb.gated_analysis(tb.essays(spark, sf), digits=D)
+
+
+@register("stream_screen_essays", O.screen_essays(D))
+def stream_screen_essays(spark: SparkSession, sf: str) -> DataFrame:
+    """The screening flow over the essays table read as a stream (must equal batch)."""
+    from ..streaming.score_stream import stream_equals_batch_input
+    return stream_equals_batch_input(spark, tb.essays(spark, sf), "screen")
