@@ -216,13 +216,13 @@ def word_ngrams(c: ColumnOrName, lo: int = 1, hi: int = 2) -> Column:
 
 
 def _word_grams(toks: Column, lo: int, hi: int) -> Column:
+    def join_k(k: int):
+        return lambda i: F.array_join(F.slice(toks, i + 1, k), " ")   # one-argument lambda
     parts = []
     for k in range(lo, hi + 1):
         if k == 1:
             parts.append(toks)
         else:
-            parts.append(F.when(F.size(toks) >= k, F.transform(
-                F.sequence(F.lit(0), F.size(toks) - k),
-                lambda i, k=k: F.array_join(F.slice(toks, i + 1, k), " ")))
-                .otherwise(F.array().cast("array<string>")))
+            parts.append(F.when(F.size(toks) >= k, F.transform(F.sequence(F.lit(0), F.size(toks) - k), join_k(k)))
+                         .otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts))
