@@ -513,3 +513,23 @@ def stream_screen_essays(spark: SparkSession, sf: str) -> DataFrame:
     """The screening flow over the essays table read as a stream (must equal batch)."""
     from ..streaming.score_stream import stream_equals_batch_input
     return stream_equals_batch_input(spark, tb.essays(spark, sf), "screen")
+
+
+@register("sentence_ngram_counts", f"""WITH {O.ESSAYS}, {O.screening_sentences()}
+SELECT essay_id, sent_pos,
+  CAST(len({O.char_grams('text', 2, 4)}) AS BIGINT) AS n_char_2_4,
+  CAST(len(list_distinct({O.char_wb_grams('text', 2, 5)})) AS BIGINT) AS n_char_wb_2_5_distinct,
+  CAST(len({O.word_grams('text')}) AS BIGINT) AS n_word_1_2,
+  CAST(len(list_distinct(regexp_extract_all(text, {O.q(__import__('quillscan.constants', fromlist=['x']).SINHALA)}))) AS BIGINT) AS n_distinct_sinhala
+FROM sentences""")
+def sentence_ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """H12-H14 + G3 as pure JVM expressions over every screening sentence."""
+    s = op.explode_sentences(tb.essays(spark, sf))
+    from ..functions import features as fxx
+    return s.select("essay_id", "sent_pos",
+                    F.size(tx.char_ngrams(F.col("text"), 2, 4)).cast("bigint").alias("n_char_2_4"),
+                    F.size(F.array_distinct(tx.char_wb_ngrams(F.col("text"), 2, 5))).cast("bigint")
+                    .alias("n_char_wb_2_5_distinct"),
+                    F.size(tx.word_ngrams(F.col("text"), 1, 2)).cast("bigint").alias("n_word_1_2"),
+                    F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(fxx.K.SINHALA), 0)))
+                    .cast("bigint").alias("n_distinct_sinhala"))
