@@ -533,3 +533,31 @@ def sentence_ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
                     F.size(tx.word_ngrams(F.col("text"), 1, 2)).cast("bigint").alias("n_word_1_2"),
                     F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(fxx.K.SINHALA), 0)))
                     .cast("bigint").alias("n_distinct_sinhala"))
+
+
+@register("error_types_outside_vocabulary", f"""WITH {O.pairs_ctes()}
+SELECT pair_id, error_type FROM pairs WHERE error_type IS NOT NULL AND error_type NOT IN ("""
+          + ", ".join(O.q(t) for t in __import__('quillscan.constants', fromlist=['x']).ERROR_TAGS) + ")")
+def error_types_outside_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose error tag is outside the closed tag vocabulary."""
+    from .. import constants as KK
+    tags = spark.createDataFrame([(t,) for t in KK.ERROR_TAGS], "tag string")
+    return co.check_vocabulary(tb.pairs(spark, sf).select("pair_id", "error_type"), "error_type", tags)
+
+
+@register("binary_corpus_stage_counts", f"""WITH {O.pairs_ctes()},
+u AS (SELECT dyslexic_sentence AS text FROM pairs UNION ALL SELECT clean_sentence FROM pairs
+      UNION ALL SELECT t FROM (SELECT unnest(range({co.EXTRA_TIMES})) AS r), (VALUES """
+          + ", ".join(f"({O.q(t)})" for t in co.EXTRA_CLEAN) + f""") v(t)),
+f AS (SELECT text FROM u WHERE length(text) >= 4)
+SELECT 'union' AS stage, CAST(count(*) AS BIGINT) AS rows FROM u
+UNION ALL SELECT 'min_length', CAST(count(*) AS BIGINT) FROM f
+UNION ALL SELECT 'dedup', CAST(count(DISTINCT text) AS BIGINT) FROM f""")
+def binary_corpus_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Row counts after union (G1+G2), the length filter (B3) and keep-first."""
+    p = tb.pairs(spark, sf)
+    extra = co.augment(cb.extra_clean(spark)).select("text")
+    u = co.union_all([p.select(F.col("dyslexic_sentence").alias("text")),
+                      p.select(F.col("clean_sentence").alias("text")), extra])
+    f = u.where(co.min_length("text", 4))
+    return co.stage_counts([("union", u), ("min_length", f), ("dedup", _binary(spark, sf))])
