@@ -166,8 +166,8 @@ def distinct_chars(c: ColumnOrName) -> Column:
 
 def adjacent_equal(arr: ColumnOrName) -> Column:
     """Count of positions i >= 1 with ``arr[i] == arr[i-1]`` (BIGINT)."""
-    a = _c(arr)
-    return F.size(F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1)))).cast("bigint")
+    return bind(_c(arr), lambda a: F.size(F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1))))) \
+        .cast("bigint")
 
 
 # ----------------------------------------------------------------------------
