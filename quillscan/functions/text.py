@@ -186,13 +186,16 @@ def bind(value: Column, fn) -> Column:
 
 
 def _windows(t: Column, lo: int, hi: int) -> Column:
-    n = F.length(t)
-    top = F.least(F.lit(hi), n)
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(lo), F.greatest(top, F.lit(lo))),
-        lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                              lambda i: F.substring(t, i, k))))
-    return F.when(n >= lo, grams).otherwise(F.array().cast("array<string>"))
+    """All substrings of length lo..hi; windows are array slices of the code points
+    (string positions in UTF-8 would be found by a scan from the start each time)."""
+    def grams(ch: Column) -> Column:
+        n = F.size(ch)
+        top = F.least(F.lit(hi), n)
+        return F.flatten(F.transform(
+            F.sequence(F.lit(lo), F.greatest(top, F.lit(lo))),
+            lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+                                  lambda i: F.array_join(F.slice(ch, i, k), ""))))
+    return F.when(F.length(t) >= lo, bind(F.split(t, ""), grams)).otherwise(F.array().cast("array<string>"))
 
 
 def char_ngrams(c: ColumnOrName, lo: int, hi: int) -> Column:
