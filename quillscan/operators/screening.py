@@ -73,7 +73,7 @@ def essay_label(composite: Column, ratio: Column) -> Column:
 
 
 def essay_label_notebook(composite: Column, ratio: Column, mean: Column) -> Column:
-    """D3 (notebook rule): composite >= 0.55 or (ratio >= 0.2 and mean >= 0.5); >= 0.45."""
+    """D3 (notebook rule): composite >= 0.55 or (ratio >= 0.2 and weighted mean >= 0.5); >= 0.45."""
     return (F.when((composite >= K.NB_DYSLEXIC_COMPOSITE)
                    | ((ratio >= K.NB_RATIO) & (mean >= K.NB_MEAN)), "DYSLEXIC ESSAY")
             .when(composite >= K.NB_BORDERLINE_COMPOSITE, "BORDERLINE ESSAY")

@@ -561,3 +561,39 @@ def binary_corpus_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
                       p.select(F.col("clean_sentence").alias("text")), extra])
     f = u.where(co.min_length("text", 4))
     return co.stage_counts([("union", u), ("min_length", f), ("dedup", _binary(spark, sf))])
+
+
+# ---------------------------------------------------------------------------
+# D21 synthetic-essay accuracy: 5 test sentences -> essay -> notebook rule
+# ---------------------------------------------------------------------------
+_SYNTH_SRC = ("synth_in AS (WITH bc AS (" + O.binary_corpus(co.EXTRA_CLEAN, co.EXTRA_TIMES) + "), "
+              "r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(text), text) - 1 AS li, "
+              "count(*) OVER (PARTITION BY label) AS n FROM bc), "
+              "t AS (SELECT text, label FROM r WHERE li < ceil(n * 0.2)), "
+              "o AS (SELECT *, row_number() OVER (ORDER BY md5(text), text) - 1 AS pos, count(*) OVER () AS nt FROM t) "
+              "SELECT CAST(pos // 5 AS BIGINT) AS essay_id, pos, text, label FROM o WHERE (pos // 5) * 5 < nt - 5), "
+              "synth AS (SELECT essay_id, string_agg(text, '. ' ORDER BY pos) AS text, "
+              "avg(label) >= 0.5 AS truth FROM synth_in GROUP BY essay_id)")
+
+
+@register("synthetic_essay_accuracy", "WITH v AS (" + O.screen_essays(D, "notebook", _SYNTH_SRC, "synth") + ") "
+          "SELECT CAST(count(*) AS BIGINT) AS essays, round(avg(CASE WHEN (coalesce(v.essay_label, '') = "
+          "'DYSLEXIC ESSAY') = (SELECT truth FROM (" + "WITH " + _SYNTH_SRC + " SELECT * FROM synth) s "
+          "WHERE s.essay_id = v.essay_id) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM v")
+def synthetic_essay_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of 5 test sentences (all full groups before the last 5 rows), rebuilt
+    as '. '-joined essays (D25), screened with the notebook rule (D3), compared with the
+    majority label; BORDERLINE counts as not dyslexic."""
+    test = win.stratified_split(_binary(spark, sf), "label", "text", 0.2).where(F.col("is_test")) \
+        .select("text", "label").withColumn("_h", F.md5("text"))
+    n = test.count()
+    idx = win.consecutive_index(test, ["_h", "text"], out="pos")
+    grp = idx.withColumn("essay_id", F.floor(F.col("pos") / 5).cast("bigint")).where(F.col("essay_id") * 5 < n - 5)
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    synth = grp.groupBy("essay_id").agg(F.concat_ws(". ", F.transform(parts, lambda x: x["text"])).alias("text"),
+                                        (F.avg("label") >= 0.5).alias("truth"))
+    v = scr.screen_essays(synth.select("essay_id", "text"), rule="notebook", digits=None)
+    j = v.join(synth.select("essay_id", "truth"), "essay_id")
+    hit = (F.coalesce(F.col("essay_label"), F.lit("")) == "DYSLEXIC ESSAY") == F.col("truth")
+    return j.agg(F.count(F.lit(1)).cast("bigint").alias("essays"),
+                 F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), D).alias("accuracy"))

@@ -27,7 +27,7 @@ def _finish(r: DataFrame, rule: str, digits: int | None, keep: list[str]) -> Dat
     if rule == "production":
         label = op.essay_label(comp, ratio)
     elif rule == "notebook":
-        label = op.essay_label_notebook(comp, ratio, F.col("mean_prob"))
+        label = op.essay_label_notebook(comp, ratio, F.col("weighted_mean_prob"))
     else:
         raise ValueError(f"unknown rule {rule!r}")
     ok = F.col("total_sentences") > 0

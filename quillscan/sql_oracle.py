@@ -125,8 +125,8 @@ def screen_probability() -> str:
     return f"1.0::DOUBLE / (1.0::DOUBLE + exp(-({linear(sc.SCREEN_WEIGHTS)})))"
 
 
-def scored_sentences_ctes() -> str:
-    return ESSAYS + "," + screening_sentences() + f""",
+def scored_sentences_ctes(src_cte: str = ESSAYS, src: str = "essays") -> str:
+    return src_cte + "," + screening_sentences(src) + f""",
 feats AS (SELECT essay_id, sent_pos, text, {screen_feature_select()} FROM sentences),
 scored AS (SELECT essay_id, sent_pos, text, {screen_probability()} AS probability,
                   word_count AS weight FROM feats)"""
@@ -137,7 +137,8 @@ def sentence_label(p: str, t: float = K.SENTENCE_THRESHOLD) -> str:
             f"THEN 'BORDERLINE' ELSE 'NORMAL' END")
 
 
-def screen_essays(digits: int = 6, rule: str = "production") -> str:
+def screen_essays(digits: int = 6, rule: str = "production", src_cte: str = ESSAYS,
+                  src: str = "essays") -> str:
     t = K.SENTENCE_THRESHOLD
     if rule == "production":
         label = (f"CASE WHEN composite_score IS NULL THEN NULL WHEN composite_score >= {K.ESSAY_DYSLEXIC_COMPOSITE} AND dyslexic_ratio >= "
@@ -145,9 +146,9 @@ def screen_essays(digits: int = 6, rule: str = "production") -> str:
                  f"{K.ESSAY_BORDERLINE_COMPOSITE} THEN 'BORDERLINE ESSAY' ELSE 'NORMAL ESSAY' END")
     else:
         label = (f"CASE WHEN composite_score IS NULL THEN NULL WHEN composite_score >= {K.NB_DYSLEXIC_COMPOSITE} OR (dyslexic_ratio >= "
-                 f"{K.NB_RATIO} AND mean_prob >= {K.NB_MEAN}) THEN 'DYSLEXIC ESSAY' WHEN composite_score >= "
+                 f"{K.NB_RATIO} AND weighted_mean_prob >= {K.NB_MEAN}) THEN 'DYSLEXIC ESSAY' WHEN composite_score >= "
                  f"{K.NB_BORDERLINE_COMPOSITE} THEN 'BORDERLINE ESSAY' ELSE 'NORMAL ESSAY' END")
-    return f"""WITH {scored_sentences_ctes()},
+    return f"""WITH {scored_sentences_ctes(src_cte, src)},
 agg AS (
   SELECT essay_id, count(*) AS total_sentences,
          count(*) FILTER (WHERE probability >= {t}) AS dyslexic_sentences,
@@ -169,7 +170,7 @@ SELECT e.essay_id,
        CAST(dyslexic_sentences AS BIGINT) AS dyslexic_sentences,
        CAST(borderline_sentences AS BIGINT) AS borderline_sentences,
        CASE WHEN r.essay_id IS NULL THEN {q(K.NO_SENTENCE_ERROR)} END AS error
-FROM essays e LEFT JOIN r ON e.essay_id = r.essay_id"""
+FROM {src} e LEFT JOIN r ON e.essay_id = r.essay_id"""
 
 
 # ---------------------------------------------------------------------------
