@@ -50,9 +50,16 @@ def binary_pipeline(max_char: int = 60000, max_word: int = 20000, min_df: int =
     return Pipeline(stages=stages)
 
 
-def fit_binary(train: DataFrame, svc: bool = False) -> PipelineModel:
-    """Featurised rows are persisted for the fit's passes (vocabulary, IDF, solver)."""
-    feats = _text_features(train).persist()
+def featurize(df: DataFrame) -> DataFrame:
+    """n-gram arrays + dense features, persisted: every fit pass (vocabulary, IDF,
+    solver iterations, calibration folds) reads them instead of recomputing."""
+    return _text_features(df).persist()
+
+
+def fit_binary(train: DataFrame, svc: bool = False, featurized: bool = False) -> PipelineModel:
+    if featurized:
+        return binary_pipeline(svc=svc).fit(train)
+    feats = featurize(train)
     try:
         return binary_pipeline(svc=svc).fit(feats)
     finally:
@@ -65,20 +72,46 @@ def platt(margin_df: DataFrame, margin_col: str = "margin", label_col: str = "la
     return LogisticRegression(labelCol=label_col, featuresCol="_m", regParam=0.0).fit(va.transform(margin_df))
 
 
-def score_binary(models: list[PipelineModel], df: DataFrame) -> DataFrame:
-    """Mean of the models' class-1 probabilities (H73 soft vote for two models)."""
-    feats = _text_features(df)
+def fit_calibrated(train: DataFrame, svc: bool = False, folds: int = 5) -> tuple[PipelineModel, tuple]:
+    """The linear model plus a sigmoid (Platt) map of its margin, fitted on
+    held-out margins (each fold's rows are scored by a model fitted without them).
+    ``train`` must already be featurised (see ``featurize``)."""
+    from ..operators import windows as win
+    keyed = win.folds(train, "label", "text", folds).persist()
+    margins = []
+    for k in range(folds):
+        m = fit_binary(keyed.where(F.col("fold") != k), svc, featurized=True)
+        held = m.transform(keyed.where(F.col("fold") == k))
+        margins.append(held.select("label", vector_to_array("rawPrediction")[1].alias("margin")))
+    allm = margins[0]
+    for x in margins[1:]:
+        allm = allm.unionByName(x)
+    cal = platt(allm)
+    keyed.unpersist()
+    return fit_binary(train, svc, featurized=True), (float(cal.coefficients[0]), float(cal.intercept))
+
+
+def score_binary(models: list, df: DataFrame) -> DataFrame:
+    """Mean of the models' class-1 probabilities (H73 soft vote for two models).
+
+    ``models`` holds fitted pipelines or ``(pipeline, (a, b))`` pairs with a Platt map;
+    ``df`` may be raw (``text``) or already featurised."""
+    feats = df if "_cwb" in df.columns else _text_features(df)
     probs = []
-    for i, m in enumerate(models):
+    for i, entry in enumerate(models):
+        m, cal = entry if isinstance(entry, tuple) else (entry, None)
         out = m.transform(feats)
-        if "probability" in out.columns:
+        margin = vector_to_array("rawPrediction")[1]
+        if cal is not None:
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(cal[0]) * margin + F.lit(cal[1]))))
+        elif "probability" in out.columns:
             p = vector_to_array("probability")[1]
-        else:  # margin model: squash the raw margin
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction")[1]))
+        else:  # margin model without calibration: squash the raw margin
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
         feats = out.select(*feats.columns, p.alias(f"_p{i}"))
         probs.append(F.col(f"_p{i}"))
     avg = sum(probs[1:], probs[0]) / F.lit(float(len(probs)))
-    return feats.select(*[c for c in df.columns], avg.alias("probability"))
+    return feats.select(*[c for c in df.columns if not c.startswith("_")], avg.alias("probability"))
 
 
 # ---------------------------------------------------------------------------

@@ -440,10 +440,11 @@ def _split_binary(spark, sf):
 def binary_model_eval(spark: SparkSession, sf: str) -> DataFrame:
     """Fit LR and linear SVM on the train split, soft-vote (H73), report on the test split."""
     from . import models as md
-    data = _split_binary(spark, sf)
-    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    m1, m2 = md.fit_binary(train), md.fit_binary(train, svc=True)
-    scored = md.score_binary([m1, m2], test.select("text", "label"))
+    feats = md.featurize(_split_binary(spark, sf))
+    train, test = feats.where(~F.col("is_test")), feats.where(F.col("is_test"))
+    m1 = md.fit_binary(train, featurized=True)
+    m2 = md.fit_calibrated(train, svc=True, folds=3)
+    scored = md.score_binary([m1, m2], test)
     pred = scored.select("label", (F.col("probability") >= 0.5).cast("int").alias("prediction"), "probability")
     return ev.classification_report(pred)
 
