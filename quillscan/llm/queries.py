@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, simhash
-from .common import table
+from . import ann, knn, langid, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
+from .common import shared_path, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -37,6 +37,23 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@register("op2_voronoi")
+def op2_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, 1024)
+
+
+@register("op3_collisions")
+def op3_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@register("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
 @register("op5_language")
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -48,7 +65,60 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+CALLS_SQL = """
+WITH calls AS (SELECT conv_id, 'call-' || turn AS call_id, min(turn) AS position, min(CASE role WHEN 'user' THEN 'respond' ELSE 'instruct' END) AS tool,
+                      min(text) AS text, count(*) AS copies FROM conversations WHERE role IN ('user', 'system') GROUP BY ALL),
+results AS (SELECT conv_id AS r_conv, 'call-' || (turn - 1) AS r_call, min(turn) AS r_position, min(text) AS content
+            FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+both_ AS (SELECT *, CASE WHEN tool = 'respond' AND length(text) < 1 THEN '$.chars: range' WHEN tool = 'respond' AND length(text) < 20 THEN '$.prompt: length'
+                        WHEN tool = 'instruct' AND length(text) < 1 THEN '$.prompt: length' END AS fault
+          FROM calls FULL JOIN results ON conv_id = r_conv AND call_id = r_call)
+SELECT coalesce(conv_id, r_conv) AS conv_id, coalesce(call_id, r_call) AS call_id, CAST(0 AS BIGINT) AS level, coalesce(position, r_position) AS position, tool,
+       CASE WHEN copies IS NULL THEN 'orphan' WHEN fault IS NOT NULL THEN 'invalid' WHEN r_conv IS NULL THEN 'no_result' ELSE 'ok' END AS status, fault,
+       CAST(coalesce(copies, 0) AS BIGINT) AS copies,
+       '{' || CASE WHEN copies IS NULL THEN '' WHEN fault IS NULL THEN '"arguments":{"chars":' || length(text) || ',"prompt":' || to_json(text) || '},'
+                   ELSE '"arguments":' || to_json('{"prompt":' || to_json(text) || ',"chars":' || length(text) || '}') || ',' END
+           || '"conv_id":' || to_json(CAST(coalesce(conv_id, r_conv) AS VARCHAR)) || ',"id":' || to_json(coalesce(call_id, r_call))
+           || CASE WHEN r_conv IS NULL THEN '' ELSE ',"result":' || to_json(content) END
+           || CASE WHEN copies IS NULL THEN '' ELSE ',"tool":' || to_json(tool) || ',"valid":' || CASE WHEN fault IS NULL THEN 'true' ELSE 'false' END END
+           || '}' AS json FROM both_"""
+
+
+@register("op7_tool_calls", CALLS_SQL)
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.from_turns(table(spark, sf_dir, "conversations")), toolcalls.SCHEMAS)
+
+
+#: (verdict, host, path prefix)
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+URL_SQL = f"""
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+rules(verdict, h, p) AS (VALUES {_RULE_ROWS}),
+judged AS (SELECT page_id, host, path,
+    (SELECT max(struct_pack(n := length(h || p), rule := h || p, verdict := verdict)) FROM rules
+     WHERE host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM parts)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged"""
+
+
+@register("op8_url_rules", URL_SQL)
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 @register("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    rows = spwfst.encode_table(table(spark, sf_dir, "documents"), model)
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                       spwfst.round_trip(F.col("ids"), F.col("text"), model).alias("round_trip"))
