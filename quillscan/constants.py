@@ -62,7 +62,7 @@ LONG_VOWEL = char_class([b for _, b in SHORT_LONG_PAIRS])
 SCREEN_SPLIT = r"[.!?\x{0964}\n]+"     # screening splitter: runs of . ! ? danda LF
 PATTERN_SPLIT = r"[.\n\x{0964}]+"      # pattern splitter: runs of . LF danda
 BASIC_SPLIT = r"[.!?]"                 # baseline splitter: single . ! ?
-JUNK = r"<.*?>|\{.*?\}"                # HTML / JSON looking spans
+JUNK = r"<[^\n]*?>|\{[^\n]*?\}"        # HTML / JSON looking spans within a line
 
 # --------------------------------------------------------------------------
 # Screening thresholds
@@ -109,6 +109,11 @@ PATTERN_EXPLANATIONS = {
                 "and agreement errors."),
 }
 
+# Texts of a verdict, around the labels and scores.
+MIXED_DOMINANT = ["No clear dominant pattern detected. The essay shows overlapping characteristics of ", " and ", " patterns."]
+CLEAR_DOMINANT = [" Pattern Dominant (", ")"]
+MIXED_EXPLANATION = ["The writing demonstrates mixed indicators, with ", " (", ") and ", " (", ") appearing closely."]
+
 SEVERITY_LEVELS = [(0.45, "High Pattern Dominance"), (0.35, "Moderate Pattern Presence")]
 SEVERITY_DEFAULT = "Mild Pattern Indicators"
 SEVERITY_BOOSTS = [(0.85, 8.0), (0.75, 4.0), (0.65, 2.0)]

@@ -83,16 +83,6 @@ def sentence_label_binary(p: Column, threshold: float = K.SENTENCE_THRESHOLD) ->
     return F.when(p >= threshold, "DYSLEXIC").otherwise("NORMAL")
 
 
-def soft_vote(p1: Column, p2: Column) -> Column:
-    """Mean of two calibrated probabilities."""
-    return (p1 + p2) / F.lit(2.0)
-
-
-def sentence_weight(words: Column) -> Column:
-    """max(words, 1)."""
-    return F.greatest(words, F.lit(1)).cast("double")
-
-
 def max_prob(probs: list[Column]) -> Column:
     return F.greatest(*probs)
 

@@ -1,8 +1,9 @@
 """Text splitting and normalising as Column expressions (operators H1-H14, G3).
 
-Everything here compiles to built-in Spark expressions (regex, array and
-higher-order functions) so it runs inside whole-stage code generation on the
-executors; only Unicode NFC has no built-in and is an Arrow-batched pandas UDF.
+Everything here is built-in Spark expressions (regex, array and higher-order
+functions) and runs in the JVM; functions with a lambda fall back from generated code
+to interpreted evaluation. Only Unicode NFC has no built-in and is an Arrow-batched
+pandas UDF.
 """
 
 from __future__ import annotations
@@ -121,11 +122,6 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else x)
 
 
-def normalize_unicode_and_space(c: ColumnOrName) -> Column:
-    """H7: NFC, strip, collapse whitespace runs to one space."""
-    return collapse_whitespace(py_strip(nfc(_c(c))))
-
-
 def graphemes(c: ColumnOrName) -> Column:
     """H8: extended grapheme clusters (Java regex ``\\X``)."""
     return F.regexp_extract_all(_c(c), F.lit(r"\X"), 0)
@@ -148,7 +144,7 @@ def stabilize_repetition(c: ColumnOrName) -> Column:
 
 
 def proxy_reference(c: ColumnOrName) -> Column:
-    """H7 then H10 (the input must not come from a Python UDF; see ``with_proxy``)."""
+    """H7 (but NFC) then H10 (the input must not come from a Python UDF; see ``with_proxy``)."""
     return stabilize_repetition(collapse_whitespace(py_strip(_c(c))))
 
 
@@ -159,11 +155,6 @@ def with_proxy(df, in_col: str, out_col: str = "proxy_reference"):
     return tmp.withColumn(out_col, proxy_reference("_nfc")).drop("_nfc")
 
 
-def distinct_chars(c: ColumnOrName) -> Column:
-    """Number of distinct characters."""
-    return F.size(F.array_distinct(F.split(_c(c), ""))).cast("bigint")
-
-
 def adjacent_equal(arr: ColumnOrName) -> Column:
     """Count of positions i >= 1 with ``arr[i] == arr[i-1]`` (BIGINT)."""
     return bind(_c(arr), lambda a: F.size(F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1))))) \

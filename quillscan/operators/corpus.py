@@ -46,11 +46,9 @@ def select_shared(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def to_labelled(df: DataFrame, col: str, label, order: int) -> DataFrame:
-    """B2: one column as ``text`` with a constant label; ``src`` carries source order."""
-    return df.select(F.col(col).alias("text"), F.lit(label).alias("label"),
-                     F.struct(F.lit(order).alias("corpus"), *[F.col(c) for c in ("pair_id",) if c in df.columns])
-                     .alias("src"))
+def to_labelled(df: DataFrame, col: str, label, out: str = "label") -> DataFrame:
+    """B2: one column as ``text`` with a constant label."""
+    return df.select(F.col(col).alias("text"), F.lit(label).alias(out))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -94,18 +92,23 @@ def class_weights(df: DataFrame, label_col: str, out: str = "class_weight") -> D
     """Balanced weight n / (k * n_c) per row, via joined group totals (no global window)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     totals = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = counts.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one") \
-        .select(label_col, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label_col, "left")   # one row per class: bounded
+    w = counts.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one") \
+        .select(F.col(label_col).alias("_class"), (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    return df.join(w, F.col(label_col).eqNullSafe(F.col("_class")), "left").drop("_class")
 
 
 def check_vocabulary(df: DataFrame, col: str, tags: DataFrame) -> DataFrame:
-    """Rows whose tag is outside the closed vocabulary (left anti join; tags are tiny)."""
-    return df.where(F.col(col).isNotNull()).join(F.broadcast(tags.select(F.col("tag").alias(col))), col,
-                                                  "left_anti")
+    """Rows whose tag is outside the closed vocabulary (left anti join)."""
+    return df.where(F.col(col).isNotNull()).join(tags.select(F.col("tag").alias(col)), col, "left_anti")
 
 
-def stage_counts(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Row count after each corpus step, as one table."""
-    return union_all([df.agg(F.count(F.lit(1)).cast("bigint").alias("rows")).select(
-        F.lit(name).alias("stage"), "rows") for name, df in stages])
+def stage_counts(df: DataFrame, key: str, stages: dict[str, Column], dedup: str) -> DataFrame:
+    """Rows that pass each stage's condition, then the distinct keys of the last one.
+
+    One pass: rows are counted per key first, so the distinct count is a count of groups.
+    """
+    names = list(stages)
+    per = df.groupBy(key).agg(*[F.count(F.when(c, 1)).alias(n) for n, c in stages.items()])
+    one = per.agg(*[F.sum(n).alias(n) for n in names], F.count(F.when(F.col(names[-1]) > 0, 1)).alias(dedup))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias("rows"))
+                                          for n in [*names, dedup]])).alias("s")).select("s.stage", "s.rows")

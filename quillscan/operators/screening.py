@@ -15,18 +15,15 @@ from .. import constants as K
 from ..functions import features as fx
 from ..functions import scoring as sc
 from ..functions import text as tx
-from .partitioning import spread
 
 
 def explode_sentences(essays: DataFrame, splitter=tx.split_screening, keep_empty: bool = False,
                       text_col: str = "text", id_col: str = "essay_id") -> DataFrame:
     """``sentences(essay_id, sent_pos, text)``; ``keep_empty`` keeps essays with no sentence
     as one row with null position and text (so rollups can report them without a join)."""
-    arr = spread(essays, id_col).select(F.col(id_col).alias("essay_id"),
-                                        splitter(F.col(text_col)).alias("_sents"))
+    arr = essays.select(F.col(id_col).alias("essay_id"), splitter(F.col(text_col)).alias("_sents"))
     # Always the outer generator: for a plain one the optimizer infers a
-    # "size(array) > 0" filter and pushes it below the exchange, which would
-    # evaluate the whole splitter twice (once before the shuffle).
+    # "size(array) > 0" filter, which would evaluate the whole splitter twice.
     out = arr.select("essay_id", F.posexplode_outer("_sents").alias("sent_pos", "text"))
     return out if keep_empty else out.where(F.col("sent_pos").isNotNull())
 

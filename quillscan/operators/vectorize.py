@@ -1,10 +1,11 @@
-"""TF-IDF in long form (operators D22, D23, B14, F4, C7, I1-I4, I6).
+"""TF-IDF (operators D22, D23, B14, F4, C7, I1-I4, I6).
 
-Documents become ``(doc_id, term, tf)`` rows by exploding n-grams and counting
-per (doc, term) -- a partial aggregate, so a very common term is pre-counted on
-the map side and never lands whole in one task. The vocabulary is an aggregate
-over terms; it is capped (``max_features``) by a top-k, and joined back broadcast
-only when its size is bounded (capped) or checked.
+A document is a row ``(doc_id, counts)`` with ``counts`` an array of its distinct terms
+and their numbers, made by built-in functions inside the task that holds the document: no
+(document, term) row is shuffled. The vocabulary is an aggregate over terms with a
+map-side step, capped (``max_features``) by a top-k. ``transform`` explodes the counts,
+joins the vocabulary and folds a document's terms again in one aggregate, whose partial
+step leaves one row for each document and task.
 
 Formulas follow the usual vectoriser defaults: smooth idf ``ln((1+N)/(1+df)) + 1``,
 optional sublinear tf ``1 + ln(tf)``, L2-normalised rows.
@@ -12,111 +13,49 @@ optional sublinear tf ``1 + ln(tf)``, L2-normalised rows.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import text as tx
 from . import windows as win
 
-BROADCAST_TERMS = 200_000
-
-# Analyzer definitions (vectoriser defaults: lowercase, whitespace runs collapsed).
-_WS_RUN = re.compile(r"\s\s+")
-_TOKEN = re.compile(r"(?u)\b\w\w+\b")
-
-
-def _grams(text: str, kind: str, lo: int, hi: int) -> list[str]:
-    t = text.lower()
-    if kind == "char":
-        t = _WS_RUN.sub(" ", t)
-        return [t[i:i + n] for n in range(lo, hi + 1) for i in range(len(t) - n + 1)]
-    if kind == "char_wb":
-        out: list[str] = []
-        for w in t.split():
-            w = " " + w + " "
-            for n in range(lo, min(hi, len(w)) + 1):
-                out.extend(w[i:i + n] for i in range(len(w) - n + 1))
-        return out
-    toks = _TOKEN.findall(t)
-    out = list(toks) if lo <= 1 else []
-    for n in range(max(lo, 2), hi + 1):
-        out.extend(" ".join(toks[i:i + n]) for i in range(len(toks) - n + 1))
-    return out
-
-
-def ngram_counts(text: Column, kind: str, lo: int, hi: int) -> Column:
-    """Per-document n-gram counts as ``map<term, count>`` (Arrow-batched helper).
-
-    Counting inside the task that holds the document removes the (doc, term)
-    shuffle entirely; only the vocabulary aggregate shuffles (pre-combined).
-    ``functions.text.char_ngrams`` & co. are the pure-JVM equivalents.
-    """
-    @F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
-    def count(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: dict(Counter(_grams(x, kind, lo, hi))) if isinstance(x, str) else None)
-    return count(text)
 
+def term_counts(grams: Column) -> Column:
+    """array<struct<term, tf>> of an n-gram array: run lengths of the sorted array."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return tx.bind(F.struct(s.alias("s"), starts.alias("b")), lambda x: F.transform(x["b"], lambda i, j: F.struct(
+            F.get(x["s"], i).alias("term"), (F.coalesce(F.get(x["b"], j + 1), F.size(x["s"])) - i).cast("bigint").alias("tf"))))
 
-def term_counts(docs: DataFrame, id_col: str, counts: Column) -> DataFrame:
-    """``(doc_id, term, tf)`` from a per-document ``map<term, count>`` column."""
-    g = docs.select(F.col(id_col).alias("doc_id"), counts.alias("_m"))
-    return g.select("doc_id", F.explode("_m").alias("term", "tf"))
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return tx.bind(F.sort_array(F.coalesce(grams, F.array().cast("array<string>"))),
+                   lambda s: F.when(F.size(s) == 0, empty).otherwise(runs(s)))
 
 
-def term_counts_from_array(docs: DataFrame, id_col: str, grams: Column) -> DataFrame:
-    """``(doc_id, term, tf)`` from an n-gram array (JVM path: explode + partial aggregate)."""
-    g = docs.select(F.col(id_col).alias("doc_id"), grams.alias("_g"))
-    t = g.select("doc_id", F.explode_outer("_g").alias("term")).where(F.col("term").isNotNull())
-    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def fit_vocabulary(tf: DataFrame, min_df: int = 1, max_features: int | None = None,
-                   n_docs: int | Column | None = None) -> DataFrame:
+def fit_vocabulary(counts: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
     """D22 + B14 + F4: ``(term, df, total_tf, idf, index)``; index in term order."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
-    stats = stats.where(F.col("df") >= min_df)
+    stats = (counts.select(F.explode("counts").alias("e")).groupBy(F.col("e.term").alias("term"))
+             .agg(F.count(F.lit(1)).alias("df"), F.sum("e.tf").alias("total_tf")).where(F.col("df") >= min_df))
     if max_features is not None:
         stats = stats.orderBy(F.desc("total_tf"), F.asc("term")).limit(max_features)
-    n = n_docs if n_docs is not None else tf.select("doc_id").distinct().count()
-    nlit = n if isinstance(n, Column) else F.lit(float(n))
-    stats = stats.withColumn("idf", F.log((F.lit(1.0) + nlit) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+    n = F.lit(float(counts.count()))
+    stats = stats.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     return win.consecutive_index(stats, ["term"], out="index")
 
 
-def transform(tf: DataFrame, vocab: DataFrame, sublinear: bool = True,
-              bounded: bool = False) -> DataFrame:
-    """C7 + I1-I4: ``(doc_id, term, index, tfidf)`` with L2-normalised rows."""
-    v = vocab.select("term", "index", "idf")
-    if bounded or v.count() <= BROADCAST_TERMS:
-        v = F.broadcast(v)
-    j = tf.join(v, "term")
-    w = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
-    j = j.withColumn("_w", w * F.col("idf"))
-    j = j.withColumn("_norm", F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id"))))
-    return j.select(
-        "doc_id", "term", "index",
-        F.when(F.col("_norm") > 0, F.col("_w") / F.col("_norm")).otherwise(F.lit(0.0)).alias("tfidf"))
-
+def weighted(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """``(doc_id, index, w)``, the weights before normalising."""
+    e = counts.select("doc_id", F.explode("counts").alias("e")).select("doc_id", "e.term", "e.tf")
+    tf = (F.lit(1.0) + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
+    return e.join(vocab.select("term", "index", "idf"), "term").select("doc_id", "index", (tf * F.col("idf")).alias("w"))
 
-def doc_summary(vec: DataFrame) -> DataFrame:
-    """Per-document digest of a TF-IDF table: terms, sum and max weight."""
-    return vec.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tfidf").alias("sum_tfidf"),
-                                     F.max("tfidf").alias("max_tfidf"))
 
-
-def to_sparse(vec: DataFrame, size: int) -> DataFrame:
-    """Long form -> one ``SparseVector`` per document (for Spark ML)."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401 (keeps ML import lazy)
-    from pyspark.ml.linalg import VectorUDT, Vectors  # noqa: F401
-    grouped = vec.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "tfidf"))).alias("_e"))
-    return grouped.select("doc_id", F.struct(
-        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
-        F.transform("_e", lambda e: e["index"].cast("int")).alias("indices"),
-        F.transform("_e", lambda e: e["tfidf"]).alias("values")).cast(VectorUDT().sqlType()).alias("features"))
+def doc_summary(counts: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
+    """Per-document digest of the L2-normalised TF-IDF rows: terms, sum and max weight."""
+    per = weighted(counts, vocab, sublinear).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("w").alias("_sum"), F.max("w").alias("_max"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    over = lambda c: F.when(F.col("_norm") > 0, F.col(c) / F.col("_norm")).otherwise(F.lit(0.0))
+    return per.select("doc_id", "n_terms", over("_sum").alias("sum_tfidf"), over("_max").alias("max_tfidf"))
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -124,10 +63,3 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[x for c in cols for x in (
         F.avg(c).alias(f"{c}__mean"),
         F.when(F.stddev_pop(c) == 0, F.lit(1.0)).otherwise(F.stddev_pop(c)).alias(f"{c}__std"))])
-
-
-def scale(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
-    """``(x - mean) / std`` with the one-row statistics table broadcast."""
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
-    return j.select(*[c for c in df.columns if c not in cols],
-                    *[((F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std")).alias(c) for c in cols])

@@ -7,7 +7,7 @@ whole group into one task: rows are range-partitioned on (group, key) -- the
 range partitioner splits even a hot group over many tasks -- and numbered inside
 each partition by the JVM's record counter; a small table of per-(partition,
 group) counts gives the offsets. Only that table (bounded by partitions + groups)
-is windowed, and it is broadcast only behind a size check.
+is windowed; whether to broadcast it is left to the adaptive planner.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-BROADCAST_ROWS = 1_000_000
-
 
 def consecutive_index(df: DataFrame, order_cols: list[str], group_col: str | None = None,
                       out: str = "row_index", partitions: int | None = None) -> DataFrame:
@@ -43,10 +41,8 @@ def consecutive_index(df: DataFrame, order_cols: list[str], group_col: str | Non
     w = Window.partitionBy("_grp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_pid", "_grp", "_first",
                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    n_off = offsets.count()
-    if n_off <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
-    joined = tagged.join(offsets, ["_pid", "_grp"])
+    offsets = offsets.withColumnsRenamed({"_pid": "_opid", "_grp": "_ogrp"})
+    joined = tagged.join(offsets, (F.col("_pid") == F.col("_opid")) & F.col("_grp").eqNullSafe(F.col("_ogrp")))
     return joined.select(*df.columns, (F.col("_off") + F.col("_rec") - F.col("_first")).alias(out))
 
 
@@ -100,14 +96,13 @@ def _label_index(df: DataFrame, label_col: str, key_col: str) -> DataFrame:
 
 
 def attach_group_totals(df: DataFrame, group_cols: list[str], aggs: list[Column]) -> DataFrame:
-    """Join per-group aggregates back to the rows (broadcast only when the group table is small)."""
+    """Join per-group aggregates back to the rows; null groups are groups like any other."""
     if not group_cols:
         tot = df.agg(*aggs).withColumn("_one", F.lit(1))
         return df.withColumn("_one", F.lit(1)).join(F.broadcast(tot), "_one").drop("_one")
-    tot = df.groupBy(*group_cols).agg(*aggs)
-    if tot.count() <= BROADCAST_ROWS:
-        tot = F.broadcast(tot)
-    return df.join(tot, group_cols)
+    tot = df.groupBy(*[F.col(c).alias(f"_group_{c}") for c in group_cols]).agg(*aggs)
+    same = [F.col(c).eqNullSafe(F.col(f"_group_{c}")) for c in group_cols]
+    return df.join(tot, same).drop(*[f"_group_{c}" for c in group_cols])
 
 
 def stratified_split(df: DataFrame, label_col: str, key_col: str, test_fraction: float = 0.2,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from . import profile as prof
 from . import screen as scr
 
@@ -24,7 +25,8 @@ def full_analysis(essays: DataFrame, digits: int | None = 6) -> DataFrame:
 
 def gated_analysis(essays: DataFrame, digits: int | None = 6) -> DataFrame:
     """NORMAL essays stop after screening; flagged ones also get a pattern profile."""
-    b = scr.screen_essays(essays, digits=digits)
+    checkpoint_dir(essays.sparkSession)
+    b = scr.screen_essays(essays, digits=digits).checkpoint(eager=True)  # a row per essay; screened once
     flagged = b.where(F.col("essay_label").isNotNull() & (F.col("essay_label") != "NORMAL ESSAY"))
     stage2 = essays.join(flagged.select(F.col("essay_id")), "essay_id", "left_semi")
     p = prof.profile_essays(stage2, digits=digits)

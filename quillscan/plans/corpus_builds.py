@@ -6,6 +6,7 @@ before the added clean list), so a text present on both sides keeps label 1.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..operators import corpus as co
 from ..operators import windows as win
 
 PAIR_COLUMNS = ["clean_sentence", "dyslexic_sentence", "error_type"]
+KEY = ["essay_id", "pos"]
+#: Documented parameter: the original draws at most this many normal rows (E5); it bounds
+#: the labelled rows of ``pattern_corpus`` and of what is fitted on it.
 NORMAL_CAP = 3000
 
 
@@ -25,42 +29,42 @@ def extra_clean(spark: SparkSession) -> DataFrame:
 def binary_corpus(corpora: list[DataFrame], extra: DataFrame | None = None,
                   times: int = co.EXTRA_TIMES) -> DataFrame:
     """G1 + G2 + B3 + D16: ``(text, label)``; dyslexic side 1, clean side and extra list 0."""
-    dys = [c.select(F.col("dyslexic_sentence").alias("text"), F.lit(1).alias("label"),
-                    F.struct(F.lit(0).alias("side"), F.lit(i).alias("corpus"),
-                             F.col("pair_id").alias("pos"), F.lit(0).alias("rep")).alias("src"))
-           for i, c in enumerate(corpora)]
-    clean = [c.select(F.col("clean_sentence").alias("text"), F.lit(0).alias("label"),
-                      F.struct(F.lit(1).alias("side"), F.lit(i).alias("corpus"),
-                               F.col("pair_id").alias("pos"), F.lit(0).alias("rep")).alias("src"))
-             for i, c in enumerate(corpora)]
-    parts = dys + clean
+    # the first row of a text has its label, and that follows from the side alone
+    u = binary_union(corpora, extra, times).where(co.min_length("text", K.MIN_SENTENCE_CHARS))
+    first = u.groupBy("text").agg(F.min("side").alias("side"))
+    return first.select("text", F.when(F.col("side") == 0, 1).otherwise(0).alias("label"))
+
+
+def binary_union(corpora: list[DataFrame], extra: DataFrame | None = None, times: int = co.EXTRA_TIMES) -> DataFrame:
+    """G1 + G2: ``(text, side)``, side 0 dyslexic, 1 clean, 2 the added clean list."""
+    parts = [co.to_labelled(c, "dyslexic_sentence", 0, "side") for c in corpora]
+    parts += [co.to_labelled(c, "clean_sentence", 1, "side") for c in corpora]
     if extra is not None:
-        aug = co.augment(extra, times)
-        parts.append(aug.select("text", F.lit(0).alias("label"),
-                                F.struct(F.lit(2).alias("side"), F.lit(0).alias("corpus"),
-                                         F.col("idx").cast("bigint").alias("pos"),
-                                         F.col("_rep").alias("rep")).alias("src")))
-    u = co.union_all(parts).where(co.min_length("text", K.MIN_SENTENCE_CHARS))
-    # list replication order: rep-major (the list is repeated as a whole)
-    u = u.withColumn("src", F.struct(u.src.side, u.src.corpus, u.src.rep, u.src.pos))
-    return win.keep_first(u, ["text"], ["src"]).select("text", "label")
+        parts.append(co.to_labelled(co.augment(extra, times), "text", 2, "side"))
+    return co.union_all(parts)
+
+
+def binary_stage_counts(corpora: list[DataFrame], extra: DataFrame | None = None, times: int = co.EXTRA_TIMES) -> DataFrame:
+    """Rows after union, length filter and keep-first, in one pass over the union."""
+    return co.stage_counts(binary_union(corpora, extra, times), "text",
+                           {"union": F.lit(True), "min_length": co.min_length("text", K.MIN_SENTENCE_CHARS)}, "dedup")
 
 
 def pattern_corpus(corpora: list[DataFrame], normal_cap: int = NORMAL_CAP,
                    keep_key: bool = False) -> DataFrame:
     """B1 + G1 + D16 + B5 + H57 + B2 + E5 + B8 + B6: ``(dyslexic_sentence, macro_label)``."""
-    parts = [co.select_shared(c, PAIR_COLUMNS + ["pair_id"]).withColumn("_corpus", F.lit(i))
+    parts = [co.select_shared(c, PAIR_COLUMNS + KEY).withColumn("_corpus", F.lit(i))
              for i, c in enumerate(corpora)]
     u = co.union_all(parts)
     for c in PAIR_COLUMNS:
         if c not in u.columns:
             u = u.withColumn(c, F.lit(None).cast("string"))
-    u = u.withColumn("_order", F.struct("_corpus", "pair_id"))
+    u = u.withColumn("_order", F.struct("_corpus", *KEY))
     dedup = win.keep_first(u.select(*PAIR_COLUMNS, "_order"), ["dyslexic_sentence"], ["_order"])
     clean = co.drop_junk(dedup, "dyslexic_sentence")
     labelled = clean.withColumn("macro_label", co.normalize_label(F.col("error_type")))
-    key = lambda kind: F.concat_ws(":", F.lit(kind), F.col("_order._corpus").cast("string"),
-                                   F.col("_order.pair_id").cast("string")).alias("row_key")
+    key = lambda kind: F.concat_ws(":", F.lit(kind), *[F.col(f"_order.{c}").cast("string")
+                                                       for c in ["_corpus", *KEY]]).alias("row_key")
     normal = labelled.select(F.col("clean_sentence").alias("dyslexic_sentence"),
                              F.lit("Normal").alias("macro_label"), key("n")) \
         .where(F.col("dyslexic_sentence").isNotNull() & co.min_length("dyslexic_sentence", 5, strict=True))
@@ -72,17 +76,25 @@ def pattern_corpus(corpora: list[DataFrame], normal_cap: int = NORMAL_CAP,
 
 
 def pages_as_pairs(pages: DataFrame) -> DataFrame:
-    """Second corpus for the junk filter: raw page HTML as dyslexic text (no clean side)."""
-    return pages.select(F.col("page_id").alias("pair_id"), F.col("html").alias("dyslexic_sentence"))
+    """Second corpus: raw page HTML, which the junk filter removes, and page titles, most of
+    which survive it; both as dyslexic text without a clean side."""
+    html = pages.select(F.col("page_id").alias("essay_id"), F.lit(0).alias("pos"), F.col("html").alias("dyslexic_sentence"),
+                        F.lit(None).cast("string").alias("error_type"))
+    title = pages.select(F.col("page_id").alias("essay_id"), F.lit(1).alias("pos"),
+                         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("dyslexic_sentence"),
+                         F.lit("Grammar").alias("error_type"))
+    return html.unionByName(title.where("dyslexic_sentence <> ''"))
 
 
 def cached_dataset(spark: SparkSession, path: str, build) -> DataFrame:
     """A3: read-through Parquet cache of a prepared corpus (written once, no index column)."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
-        build().write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    build().write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def snapshot(df: DataFrame, path: str) -> None:

@@ -1,168 +1,260 @@
-"""Model fitting and scoring with Spark ML (operators I5, I7-I11, I13, I14, I16-I19, A6, A7).
+"""Model fitting and scoring with Spark ML (operators I5-I7, I9-I11, I13, I14, I16-I19, A6, A7).
 
-Feature construction is Spark-native: n-gram arrays from ``functions.text``,
-``CountVectorizer`` (vocabulary cap + min document frequency), ``IDF``, the script
-features and ``VectorAssembler``; solvers are MLlib's (distributed gradient steps
-via tree aggregation). Probabilities are turned into the same per-sentence
-columns the fixed-weight scorers produce, so the essay rollups are shared.
+Text is vectorised once: vocabulary and idf are fitted on the training rows, weights are
+sublinear tf times smooth idf with L2 rows, and a row's terms and dense features are
+folded into one sparse vector by one aggregate. The vectors are written to the shared
+folder as a table, and all fits and folds read that. Solvers are MLlib's; the penalty is
+1 / (C n), as in a linear model with penalty strength C.
+
+``MAX_ROWS`` is the documented bound on labelled rows of a fit: beyond it, rows are drawn
+by a hash of their key. Everything else covers all rows.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, StringIndexer, VectorAssembler
+import uuid
+
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import features as fx
 from ..functions import text as tx
 from ..operators import corpus as co
+from ..operators import vectorize as vz
+from ..operators import windows as win
+from ..session import checkpoint_dir
 
-SCREEN_DENSE = [c for c in fx.SCREEN_FEATURES]
-PATTERN_DENSE = fx.STRUCTURED_FEATURES
-
-
-def _text_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """n-gram arrays + the 8 screening features (all built-in expressions)."""
-    f = fx.with_screen_features(df, text_col)
-    return f.withColumn("_cwb", tx.char_wb_ngrams(F.col(text_col), 2, 5)) \
-            .withColumn("_wrd", tx.word_ngrams(F.col(text_col), 1, 2))
-
-
-def binary_pipeline(max_char: int = 60000, max_word: int = 20000, min_df: int = 2,
-                    reg: float = 1e-4, svc: bool = False) -> Pipeline:
-    """I2 + I3 + I5 + I9/I10 (or I11): dual TF-IDF + dense features -> linear model."""
-    stages = [
-        CountVectorizer(inputCol="_cwb", outputCol="_cwb_tf", vocabSize=max_char, minDF=min_df),
-        IDF(inputCol="_cwb_tf", outputCol="_cwb_tfidf"),
-        CountVectorizer(inputCol="_wrd", outputCol="_wrd_tf", vocabSize=max_word, minDF=min_df),
-        IDF(inputCol="_wrd_tf", outputCol="_wrd_tfidf"),
-        VectorAssembler(inputCols=["_cwb_tfidf", "_wrd_tfidf"] + SCREEN_DENSE, outputCol="features"),
-    ]
-    if svc:
-        stages.append(LinearSVC(labelCol="label", featuresCol="features", regParam=reg, maxIter=50))
-    else:
-        stages.append(LogisticRegression(labelCol="label", featuresCol="features", regParam=reg,
-                                         elasticNetParam=0.0, maxIter=50, standardization=False))
-    return Pipeline(stages=stages)
-
-
-def featurize(df: DataFrame) -> DataFrame:
-    """n-gram arrays + dense features, persisted: every fit pass (vocabulary, IDF,
-    solver iterations, calibration folds) reads them instead of recomputing."""
-    return _text_features(df).persist()
-
-
-def fit_binary(train: DataFrame, svc: bool = False, featurized: bool = False) -> PipelineModel:
-    if featurized:
-        return binary_pipeline(svc=svc).fit(train)
-    feats = featurize(train)
-    try:
-        return binary_pipeline(svc=svc).fit(feats)
-    finally:
-        feats.unpersist()
+MAX_ROWS = 20_000
+FOLDS, PATTERN_FOLDS = 5, 3
+LR_C, LR_ITER = 1.0, 1000
+SVC_C, SVC_ITER = 0.5, 2000
+PATTERN_C, PATTERN_ITER = 1.0, 5000
+TOLERANCE = 1e-4
 
 
-def platt(margin_df: DataFrame, margin_col: str = "margin", label_col: str = "label") -> LogisticRegression:
-    """I10/I11 calibration: a one-feature logistic fit on the model margin (Platt)."""
-    va = VectorAssembler(inputCols=[margin_col], outputCol="_m")
-    return LogisticRegression(labelCol=label_col, featuresCol="_m", regParam=0.0).fit(va.transform(margin_df))
+def bounded(df: DataFrame, key: str, rows: int = MAX_ROWS) -> DataFrame:
+    """All rows, or about ``rows`` of them by a hash of ``key``."""
+    n = df.count()
+    return df if n <= rows else df.where(win.hash_unit(F.concat(F.col(key), F.lit("#fit"))) < rows / n)
 
 
-def fit_calibrated(train: DataFrame, svc: bool = False, folds: int = 5) -> tuple[PipelineModel, tuple]:
-    """The linear model plus a sigmoid (Platt) map of its margin, fitted on
-    held-out margins (each fold's rows are scored by a model fitted without them).
-    ``train`` must already be featurised (see ``featurize``)."""
-    from ..operators import windows as win
-    keyed = win.folds(train, "label", "text", folds).persist()
-    margins = []
-    for k in range(folds):
-        m = fit_binary(keyed.where(F.col("fold") != k), svc, featurized=True)
-        held = m.transform(keyed.where(F.col("fold") == k))
-        margins.append(held.select("label", vector_to_array("rawPrediction")[1].alias("margin")))
-    allm = margins[0]
-    for x in margins[1:]:
-        allm = allm.unionByName(x)
-    cal = platt(allm)
-    keyed.unpersist()
-    return fit_binary(train, svc, featurized=True), (float(cal.coefficients[0]), float(cal.intercept))
-
-
-def score_binary(models: list, df: DataFrame) -> DataFrame:
-    """Mean of the models' class-1 probabilities (H73 soft vote for two models).
-
-    ``models`` holds fitted pipelines or ``(pipeline, (a, b))`` pairs with a Platt map;
-    ``df`` may be raw (``text``) or already featurised."""
-    feats = df if "_cwb" in df.columns else _text_features(df)
-    probs = []
-    for i, entry in enumerate(models):
-        m, cal = entry if isinstance(entry, tuple) else (entry, None)
-        out = m.transform(feats)
-        margin = vector_to_array("rawPrediction")[1]
-        if cal is not None:
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(cal[0]) * margin + F.lit(cal[1]))))
-        elif "probability" in out.columns:
-            p = vector_to_array("probability")[1]
-        else:  # margin model without calibration: squash the raw margin
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-        feats = out.select(*feats.columns, p.alias(f"_p{i}"))
-        probs.append(F.col(f"_p{i}"))
-    avg = sum(probs[1:], probs[0]) / F.lit(float(len(probs)))
-    return feats.select(*[c for c in df.columns if not c.startswith("_")], avg.alias("probability"))
+# ---------------------------------------------------------------------------
+# vectors
+# ---------------------------------------------------------------------------
+
+class Analyzer:
+    """One TF-IDF block: n-grams, vocabulary cap and least document frequency."""
+
+    def __init__(self, grams, max_features: int, min_df: int = 2):
+        self.grams, self.max_features, self.min_df = grams, max_features, min_df
+
+    def fit(self, docs: DataFrame, text_col: str) -> DataFrame:
+        counts = docs.select(F.lit(0).alias("doc_id"), vz.term_counts(self.grams(F.col(text_col))).alias("counts"))
+        return store(vz.fit_vocabulary(counts, self.min_df, self.max_features).select("term", "index", "idf"), "vocabulary")
+
+
+BINARY = [Analyzer(lambda c: tx.char_wb_ngrams(c, 2, 5), 60_000), Analyzer(lambda c: tx.word_ngrams(c, 1, 2), 20_000)]
+PATTERN = [Analyzer(lambda c: tx.char_ngrams(c, 2, 5), 30_000)]
+
+
+def store(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read back (with ``schema``, if given)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def vectorise(rows: DataFrame, key: list[str], text_col: str, analyzers: list[Analyzer], vocabularies: list[DataFrame],
+              dense: list[str], scaler: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """``rows`` with ``features``: the L2-normalised TF-IDF blocks, then the dense columns.
+
+    One aggregate per ``key``; the columns of ``rows`` ride along.
+    """
+    offsets, size, table = [], 0, None
+    for b, v in enumerate(vocabularies):
+        offsets.append(size)
+        part = v.select(F.lit(b).alias("b"), "term", (F.col("index") + size).cast("int").alias("index"), "idf")
+        table = part if table is None else table.unionByName(part)
+        size += v.agg(F.coalesce(F.max("index") + 1, F.lit(0)).alias("n")).first().n
+    terms = F.concat(*[F.transform(vz.term_counts(a.grams(F.col(text_col))), _tag(b)) for b, a in enumerate(analyzers)])
+    carried = [c for c in rows.columns if c not in key]
+    e = rows.select(*key, F.struct(*carried).alias("_row"), F.explode_outer(terms).alias("e")).select(*key, "_row", "e.b", "e.term", "e.tf")
+    e = e.join(table, ["b", "term"], "left").withColumn("w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
+    norms = [F.sqrt(F.sum(F.when(F.col("b") == b, F.col("w") * F.col("w")))).alias(f"_n{b}") for b in range(len(analyzers))]
+    got = e.groupBy(*key).agg(F.first("_row").alias("_row"), F.collect_list(F.when(F.col("w").isNotNull(), F.struct("index", "b", "w"))).alias("_e"), *norms)
+    norm = F.array(*[F.coalesce(F.col(f"_n{b}"), F.lit(0.0)) for b in range(len(analyzers))])
+    got = got.select(*key, *[F.col(f"_row.{c}").alias(c) for c in carried], F.array_sort("_e").alias("_e"), norm.alias("_norm"))
+
+    def scaled(c: str) -> Column:
+        mean, std = (scaler or {}).get(c, (0.0, 1.0))
+        return (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
+
+    indices = F.concat(F.transform("_e", lambda x: x["index"]), F.array(*[F.lit(size + i) for i in range(len(dense))]))
+    values = F.concat(F.transform("_e", lambda x: x["w"] / F.get(F.col("_norm"), x["b"])), F.array(*map(scaled, dense)))
+    out = got.withColumn("features", F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + len(dense)).cast("int").alias("size"),
+                                              indices.alias("indices"), values.alias("values"))).drop("_e", "_norm")
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in out.schema])
+    return store(out, "vectors", schema)
+
+
+def _tag(b: int):
+    return lambda x: F.struct(F.lit(b).alias("b"), x["term"].alias("term"), x["tf"].alias("tf"))
 
 
 # ---------------------------------------------------------------------------
-# pattern model (I4 + I6 + I7 + I13 + I17 + I19)
+# binary model (I2 + I3 + I5 + I9-I11, I18, H73)
 # ---------------------------------------------------------------------------
 
-def pattern_pipeline(max_char: int = 30000, min_df: int = 2, reg: float = 1e-3) -> Pipeline:
-    return Pipeline(stages=[
-        StringIndexer(inputCol="macro_label", outputCol="label", stringOrderType="alphabetAsc"),   # I7
-        CountVectorizer(inputCol="_chr", outputCol="_chr_tf", vocabSize=max_char, minDF=min_df),
-        IDF(inputCol="_chr_tf", outputCol="_chr_tfidf"),
-        VectorAssembler(inputCols=["_chr_tfidf"] + PATTERN_DENSE, outputCol="features"),
-        LogisticRegression(family="multinomial", labelCol="label", featuresCol="features",
-                           weightCol="class_weight", regParam=reg, maxIter=50),
-    ])
+def binary_rows(split: DataFrame) -> DataFrame:
+    """(text, label, is_test) with the 8 screening features."""
+    return fx.with_screen_features(split, "text")
 
 
-def _pattern_features(df: DataFrame, text_col: str) -> DataFrame:
-    f = fx.with_structured_features(df, text_col)
-    return f.withColumn("_chr", tx.char_ngrams(F.col(text_col), 2, 5))
+def platt(margins: DataFrame) -> tuple[float, float]:
+    """A one-feature logistic fit of ``label`` on ``margin``."""
+    m = LogisticRegression(labelCol="label", featuresCol="_m", regParam=0.0).fit(
+        VectorAssembler(inputCols=["margin"], outputCol="_m").transform(margins))
+    return float(m.coefficients[0]), float(m.intercept)
 
 
-def fit_pattern(corpus: DataFrame) -> PipelineModel:
-    """I13 with balanced class weights (I17) on the pattern corpus."""
-    weighted = co.class_weights(corpus, "macro_label")
-    feats = _pattern_features(weighted, "dyslexic_sentence").persist()
+def fit_calibrated(train: DataFrame, svc: bool = False, folds: int = FOLDS, max_iter: int | None = None) -> list[tuple]:
+    """Per fold, a linear model of the other folds and a sigmoid of its held-out margin.
+
+    ``train`` has ``features``, ``label`` and ``fold``. The ensemble's probability is the
+    mean over the folds.
+    """
+    out = []
+    for k in range(folds):
+        part = train.where(F.col("fold") != k)
+        c, iterations = (SVC_C, SVC_ITER) if svc else (LR_C, LR_ITER)
+        make = LinearSVC if svc else LogisticRegression
+        model = make(labelCol="label", featuresCol="features", regParam=1.0 / (c * max(1, part.count())), maxIter=max_iter or iterations,
+                     tol=TOLERANCE, standardization=False).fit(part)
+        held = model.transform(train.where(F.col("fold") == k))
+        out.append((model, *platt(held.select("label", vector_to_array("rawPrediction")[1].alias("margin")))))
+    return out
+
+
+def soft_vote(df: DataFrame, ensembles: list[list[tuple]]) -> DataFrame:
+    """I18 + H73: the mean of the ensembles' probabilities, each the mean of its folds."""
+    keep, votes = df.columns, []
+    for i, members in enumerate(ensembles):
+        parts = []
+        for j, (model, a, b) in enumerate(members):
+            got = model.transform(df)
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * vector_to_array("rawPrediction")[1] + F.lit(b))))
+            df = got.select(*df.columns, p.alias(f"_p{i}_{j}"))
+            parts.append(F.col(f"_p{i}_{j}"))
+        votes.append(sum(parts[1:], parts[0]) / F.lit(float(len(parts))))
+    return df.select(*keep, (sum(votes[1:], votes[0]) / F.lit(float(len(votes)))).alias("probability"))
+
+
+def fit_binary(split: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS, max_iter: int | None = None) -> tuple[DataFrame, list[list[tuple]]]:
+    """(vectors with label, is_test and fold; the two calibrated ensembles)."""
+    rows = win.folds(bounded(split, "text", max_rows), "label", "text", folds)
+    rows = store(binary_rows(rows), "binary-rows")
+    vocabularies = [a.fit(rows.where(~F.col("is_test")), "text") for a in BINARY]
+    vectors = vectorise(rows.withColumn("doc", F.col("text")), ["doc"], "text", BINARY, vocabularies, fx.SCREEN_FEATURES).drop("doc")
+    train = vectors.where(~F.col("is_test")).select("features", "label", "fold").persist()
     try:
-        return pattern_pipeline().fit(feats)
+        return vectors, [fit_calibrated(train, svc, folds, max_iter) for svc in (False, True)]
     finally:
-        feats.unpersist()
+        train.unpersist()
+
 
+# ---------------------------------------------------------------------------
+# pattern model (I4 + I6 + I7 + I13 + I14 + I17 + I19)
+# ---------------------------------------------------------------------------
 
-def pattern_probabilities(model: PipelineModel, sentences: DataFrame, text_col: str = "text") -> DataFrame:
-    """One probability column per label (model label order is alphabetical)."""
-    labels = model.stages[0].labels
-    out = model.transform(_pattern_features(sentences, text_col))
-    arr = vector_to_array("probability")
-    return out.select(*sentences.columns, *[arr[i].alias("p_" + lab.lower()) for i, lab in enumerate(labels)])
+class PatternModel:
+    """Vocabulary, scaler, label order and the calibrated folds."""
+
+    def __init__(self, vocabularies: list[DataFrame], scaler: dict, labels: list[str], members: list[tuple]):
+        self.vocabularies, self.scaler, self.labels, self.members = vocabularies, scaler, labels, members
+
+    def probabilities(self, rows: DataFrame, key: list[str], text_col: str) -> DataFrame:
+        """``rows`` (with the structured features) with ``p_<label>`` for every label the fit knew."""
+        return self.score(vectorise(rows, key, text_col, PATTERN, self.vocabularies, fx.STRUCTURED_FEATURES, self.scaler))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        keep, sums = [c for c in df.columns if c != "features"], None
+        for f, (model, maps) in enumerate(self.members):
+            raw = vector_to_array("rawPrediction")
+            df = model.transform(df).select(*df.columns, raw.alias("_raw"))
+            step = [_step(F.col("_raw")[i], *m) for i, m in enumerate(maps)]
+            total = sum(step[1:], step[0])
+            share = [F.when(total > 0, s / total).otherwise(F.lit(1.0 / len(maps))) for s in step]
+            df = df.select(*[c for c in df.columns if c != "_raw"], F.array(*share).alias(f"_p{f}"))
+            sums = F.col(f"_p{f}") if sums is None else F.zip_with(sums, F.col(f"_p{f}"), lambda a, b: a + b)
+        mean = F.transform(sums, lambda x: x / F.lit(float(len(self.members))))
+        df = df.withColumn("_mean", mean)
+        return df.select(*keep, *[F.col("_mean")[i].alias("p_" + lab.lower()) for i, lab in enumerate(self.labels)])
+
+
+def _step(x: Column, bounds: list[float], values: list[float]) -> Column:
+    """Piecewise linear isotonic map, constant outside its bounds."""
+    if not bounds:
+        return F.lit(0.0)
+    b, v = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, values))
+    at = F.size(F.filter(b, lambda e: e <= x))  # bounds up to x
+    low, high = F.get(b, at - 1), F.get(b, at)
+    inside = F.get(v, at - 1) + (F.get(v, at) - F.get(v, at - 1)) * (x - low) / (high - low)
+    return F.when(at == 0, F.lit(values[0])).when(at >= len(bounds), F.lit(values[-1])).otherwise(inside)
+
+
+def fit_pattern(corpus: DataFrame, folds: int = PATTERN_FOLDS, max_rows: int = MAX_ROWS,
+                max_iter: int = PATTERN_ITER) -> tuple[DataFrame, PatternModel]:
+    """I13 with balanced weights (I17) and 3-fold isotonic calibration.
+
+    Returns the test rows' vectors (``label`` as index, ``macro_label``) and the model.
+    Vocabulary, idf and scaling come from all rows of the bounded corpus, the linear
+    models from the 80 % training part.
+    """
+    rows = bounded(corpus.withColumnRenamed("dyslexic_sentence", "text"), "row_key", max_rows)
+    rows = win.folds(win.stratified_split(rows, "macro_label", "row_key", 0.2), "macro_label", "row_key", folds)
+    index = StringIndexer(inputCol="macro_label", outputCol="label", stringOrderType="alphabetAsc").fit(rows)         # I7
+    rows = store(fx.with_structured_features(index.transform(rows), "text"), "pattern-rows")
+    vocabularies = [a.fit(rows, "text") for a in PATTERN]
+    stats = vz.fit_scaler(rows, fx.STRUCTURED_FEATURES).first()                                                       # D23
+    scaler = {c: (stats[f"{c}__mean"], stats[f"{c}__std"]) for c in fx.STRUCTURED_FEATURES}
+    vectors = vectorise(rows, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, scaler)             # I6
+    train = vectors.where(~F.col("is_test")).select("features", "label", "macro_label", "fold").persist()
+    members = []
+    for k in range(folds):
+        part = co.class_weights(train.where(F.col("fold") != k), "macro_label")
+        model = LogisticRegression(family="multinomial", labelCol="label", featuresCol="features", weightCol="class_weight",
+                                   regParam=1.0 / (PATTERN_C * max(1, part.count())), maxIter=max_iter, tol=TOLERANCE,
+                                   standardization=False).fit(part)
+        held = model.transform(train.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw")).persist()
+        maps = []
+        for i in range(len(index.labels)):
+            m = IsotonicRegression().fit(held.select((F.col("label") == i).cast("double").alias("label"), F.col("raw")[i].alias("features")))
+            maps.append((list(map(float, m.boundaries)), list(map(float, m.predictions))))
+        held.unpersist()
+        members.append((model, maps))
+    train.unpersist()
+    return vectors.where("is_test"), PatternModel(vocabularies, scaler, index.labels, members)
 
 
 # ---------------------------------------------------------------------------
 # learned v1 weights
 # ---------------------------------------------------------------------------
 
-def learn_weights(spark: SparkSession, features: DataFrame, label_col: str = "label") -> DataFrame:
+def learn_weights(spark: SparkSession, features: DataFrame, label_col: str = "label", max_iter: int = 1000) -> DataFrame:
     """I16: multinomial LR coefficients per pattern x surface feature as a long table."""
     data = features.select(label_col, *[F.col(c).cast("double").alias(c) for c in K.SURFACE_FEATURES]) \
         .na.fill(0)
     idx = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc").fit(data)
     va = VectorAssembler(inputCols=K.SURFACE_FEATURES, outputCol="_x")
-    lr = LogisticRegression(family="multinomial", labelCol="_y", featuresCol="_x", maxIter=200,
+    lr = LogisticRegression(family="multinomial", labelCol="_y", featuresCol="_x", maxIter=max_iter,
                             regParam=1.0 / max(1, data.count()))
     m = lr.fit(va.transform(idx.transform(data)))
     coef = m.coefficientMatrix.toArray()
@@ -180,10 +272,19 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("pattern string, feature string, weight double").json(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline."""
-    model.write().overwrite().save(path)
+def save_ensembles(ensembles: list[list[tuple]], spark: SparkSession, path: str) -> None:
+    """The fitted linear models and their sigmoids."""
+    rows = []
+    for i, members in enumerate(ensembles):
+        for j, (model, a, b) in enumerate(members):
+            model.write().overwrite().save(f"{path}/model-{i}-{j}")
+            rows.append((i, j, type(model).__name__, a, b))
+    spark.createDataFrame(rows, "ensemble int, fold int, kind string, a double, b double").write.mode("overwrite").parquet(f"{path}/sigmoids")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_ensembles(spark: SparkSession, path: str) -> list[list[tuple]]:
+    kinds = {"LinearSVCModel": LinearSVCModel, "LogisticRegressionModel": LogisticRegressionModel}
+    out: dict[int, list[tuple]] = {}
+    for r in spark.read.parquet(f"{path}/sigmoids").orderBy("ensemble", "fold").collect():
+        out.setdefault(r.ensemble, []).append((kinds[r.kind].load(f"{path}/model-{r.ensemble}-{r.fold}"), r.a, r.b))
+    return list(out.values())

@@ -116,22 +116,16 @@ def proxy_reference(spark: SparkSession, sf: str) -> DataFrame:
 @register("rule_sentences_edit_twin", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)} "
           f"SELECT {', '.join(_V1_LINE_COLS)} FROM rule_lines")
 def rule_sentences_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.rule_sentences(tb.essays(spark, sf), exact=False).select(*_V1_LINE_COLS)
+    return rl.rule_sentences(tb.essays(spark, sf)).select(*_V1_LINE_COLS)
 
 
 @register("rule_profile_edit_twin", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)}, "
           + O.v1_profile_sql("rule_lines"))
 def rule_profile_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf), exact=False))
+    return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf)))
 
 
-@register("rule_profile")
-def rule_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """I22 with the exact character diff (rows-only check)."""
-    return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf), exact=True))
-
-
-_PAIR_COLS = ["pair_id", "clean_sentence", "dyslexic_sentence", "error_type"]
+_PAIR_COLS = ["essay_id", "pos", "clean_sentence", "dyslexic_sentence", "error_type"]
 
 
 @register("pairs", f"WITH {O.pairs_ctes()} SELECT {', '.join(_PAIR_COLS)} FROM pairs")
@@ -140,27 +134,21 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("pair_patterns_edit_twin", f"WITH {O.pair_patterns_ctes(sc.V1_WEIGHTS)} "
-          "SELECT pair_id, error_type, char_addition, char_omission, char_substitution, has_addition, "
+          "SELECT essay_id, pos, error_type, char_addition, char_omission, char_substitution, has_addition, "
           "has_omission, has_substitution, word_count_diff, has_spacing_issue, has_diacritic_loss, "
           "writing_pattern, explanation FROM pair_patterns")
 def pair_patterns_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.pair_patterns(tb.pairs(spark, sf), exact=False).select(
-        "pair_id", "error_type", "char_addition", "char_omission", "char_substitution", "has_addition",
+    return rl.pair_patterns(tb.pairs(spark, sf)).select(
+        "essay_id", "pos", "error_type", "char_addition", "char_omission", "char_substitution", "has_addition",
         "has_omission", "has_substitution", "word_count_diff", "has_spacing_issue", "has_diacritic_loss",
         "writing_pattern", "explanation")
 
 
-@register("pair_patterns")
-def pair_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """I25 with the exact matching-block diff (rows-only check)."""
-    return rl.pair_patterns(tb.pairs(spark, sf), exact=True).drop("clean_sentence", "dyslexic_sentence")
-
-
 @register("pseudo_essay_profile", f"WITH {O.pair_patterns_ctes(sc.V1_WEIGHTS)}, "
-          "blocks AS (SELECT CAST((row_number() OVER (ORDER BY pair_id) - 1) // 5 AS BIGINT) AS essay_id, "
+          "blocks AS (SELECT CAST((row_number() OVER (ORDER BY essay_id, pos) - 1) // 5 AS BIGINT) AS essay_id, "
           "writing_pattern FROM pair_patterns), " + O.v1_profile_sql("blocks"))
 def pseudo_essay_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.flat_profile(rl.pseudo_essay_profile(rl.pair_patterns(tb.pairs(spark, sf), exact=False)))
+    return rl.flat_profile(rl.pseudo_essay_profile(rl.pair_patterns(tb.pairs(spark, sf))))
 
 
 # ---------------------------------------------------------------------------
@@ -210,21 +198,21 @@ def duplicate_count(spark: SparkSession, sf: str) -> DataFrame:
     return win.duplicate_count(tb.pairs(spark, sf), ["dyslexic_sentence"])
 
 
-@register("macro_labels", f"WITH {O.pairs_ctes()} SELECT pair_id, error_type, "
+@register("macro_labels", f"WITH {O.pairs_ctes()} SELECT essay_id, pos, error_type, "
           f"{O.normalize_label('error_type')} AS macro_label FROM pairs")
 def macro_labels(spark: SparkSession, sf: str) -> DataFrame:
     p = tb.pairs(spark, sf)
-    return p.select("pair_id", "error_type", co.normalize_label(F.col("error_type")).alias("macro_label"))
+    return p.select("essay_id", "pos", "error_type", co.normalize_label(F.col("error_type")).alias("macro_label"))
 
 
-@register("v1_label_map", f"WITH {O.pairs_ctes()} SELECT pair_id, error_type, CASE error_type "
+@register("v1_label_map", f"WITH {O.pairs_ctes()} SELECT essay_id, pos, error_type, CASE error_type "
           + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in __import__(
               'quillscan.constants', fromlist=['x']).V1_LABEL_MAP.items())
           + " END AS label FROM pairs WHERE error_type IN ("
           + ", ".join(O.q(k) for k in __import__('quillscan.constants', fromlist=['x']).V1_LABEL_MAP) + ")")
 def v1_label_map(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import rules_v1 as rv
-    m = rv.map_labels(tb.pairs(spark, sf).select("pair_id", "error_type"))
+    m = rv.map_labels(tb.pairs(spark, sf).select("essay_id", "pos", "error_type"))
     return m.na.drop(subset=["label"])
 
 
@@ -308,15 +296,16 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("label_folds", f"""WITH {O.pairs_ctes()},
-pc AS (SELECT pair_id, {O.normalize_label('error_type')} AS macro_label FROM pairs)
-SELECT pair_id, macro_label, CAST((row_number() OVER (PARTITION BY macro_label ORDER BY md5(CAST(pair_id AS VARCHAR)), pair_id) - 1) % 5 AS INTEGER) AS fold FROM pc""")
+pc AS (SELECT CAST(essay_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS pair, {O.normalize_label('error_type')} AS macro_label FROM pairs)
+SELECT pair, macro_label, CAST((row_number() OVER (PARTITION BY macro_label ORDER BY md5(pair), pair) - 1) % 5 AS INTEGER) AS fold FROM pc""")
 def label_folds(spark: SparkSession, sf: str) -> DataFrame:
-    p = tb.pairs(spark, sf).select("pair_id", co.normalize_label(F.col("error_type")).alias("macro_label"))
-    return win.folds(p, "macro_label", "pair_id", 5)
+    pair = F.concat_ws(":", F.col("essay_id").cast("string"), F.col("pos").cast("string"))
+    p = tb.pairs(spark, sf).select(pair.alias("pair"), co.normalize_label(F.col("error_type")).alias("macro_label"))
+    return win.folds(p, "macro_label", "pair", 5)
 
 
 @register("class_weights", f"""WITH {O.pairs_ctes()},
-pc AS (SELECT pair_id, {O.normalize_label('error_type')} AS macro_label FROM pairs),
+pc AS (SELECT {O.normalize_label('error_type')} AS macro_label FROM pairs),
 c AS (SELECT macro_label, count(*) AS nc FROM pc GROUP BY 1)
 SELECT macro_label, round((SELECT sum(nc) FROM c) / ((SELECT count(*) FROM c) * nc), 6) AS class_weight, nc AS count FROM c""")
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -362,6 +351,7 @@ def screen_essays_any_sentence(spark: SparkSession, sf: str) -> DataFrame:
 # I1-I4 TF-IDF (long form), D22 / B14 / F4 vocabulary, C7 join
 # ---------------------------------------------------------------------------
 from ..operators import vectorize as vz  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
 
 _BIN_TRAIN_SQL = ("SELECT text AS doc_id, text FROM (WITH bc AS (" + O.binary_corpus(co.EXTRA_CLEAN, co.EXTRA_TIMES)
                   + "), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(text), text) - 1 AS li, "
@@ -369,13 +359,11 @@ _BIN_TRAIN_SQL = ("SELECT text AS doc_id, text FROM (WITH bc AS (" + O.binary_co
 _PAT_SQL = "SELECT row_key AS doc_id, dyslexic_sentence AS text FROM (" + O.pattern_corpus(cb.NORMAL_CAP, True) + ")"
 
 TFIDF_SPECS = {
-    # name: (docs, counts(spark col), grams(sql template), min_df, max_features, sublinear)
-    "char_tfidf_2_4": ("binary", lambda c: vz.ngram_counts(c, "char", 2, 4), O.char_grams("{t}", 2, 4), 1, None, False),
-    "char_wb_tfidf_2_5": ("binary", lambda c: vz.ngram_counts(c, "char_wb", 2, 5), O.char_wb_grams("{t}", 2, 5),
-                          2, 60000, True),
-    "word_tfidf_1_2": ("binary", lambda c: vz.ngram_counts(c, "word", 1, 2), O.word_grams("{t}"), 2, 20000, True),
-    "char_tfidf_2_5": ("pattern", lambda c: vz.ngram_counts(c, "char", 2, 5), O.char_grams("{t}", 2, 5), 2, 30000,
-                       True),
+    # name: (docs, n-grams, oracle's source list, oracle's n-grams, min_df, max_features, sublinear)
+    "char_tfidf_2_4": ("binary", lambda c: tx.char_ngrams(c, 2, 4), O.char_source("text"), O.char_grams(2, 4), 1, None, False),
+    "char_wb_tfidf_2_5": ("binary", lambda c: tx.char_wb_ngrams(c, 2, 5), O.char_wb_source("text"), O.char_wb_grams(2, 5), 2, 60000, True),
+    "word_tfidf_1_2": ("binary", lambda c: tx.word_ngrams(c, 1, 2), O.word_source("text"), O.word_grams(), 2, 20000, True),
+    "char_tfidf_2_5": ("pattern", lambda c: tx.char_ngrams(c, 2, 5), O.char_source("text"), O.char_grams(2, 5), 2, 30000, True),
 }
 
 
@@ -389,22 +377,18 @@ def _tfidf_docs(spark, sf, kind):
 
 
 def _tfidf(spark, sf, name):
-    """Docs are checkpointed once (they feed the count, the fit and the transform) and
-    carry a numeric surrogate id; text keys are joined back only on the summary."""
-    kind, counts, _, min_df, cap, sub = TFIDF_SPECS[name]
-    from ..session import checkpoint_dir
+    """(counts, vocabulary): documents with their term counts are checkpointed once, for fit and transform."""
+    kind, grams, _, _, min_df, cap, _ = TFIDF_SPECS[name]
     checkpoint_dir(spark)
-    docs = _tfidf_docs(spark, sf, kind).withColumnRenamed("doc_id", "doc_key") \
-        .withColumn("doc_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-    tf = vz.term_counts(docs, "doc_id", counts(F.col("text")))
-    vocab = vz.fit_vocabulary(tf, min_df, cap, n_docs=docs.count())
-    return tf, vocab, sub, cap, docs
+    docs = _tfidf_docs(spark, sf, kind)
+    counts = docs.select("doc_id", vz.term_counts(grams(F.col("text"))).alias("counts")).checkpoint(eager=True)
+    return counts, vz.fit_vocabulary(counts, min_df, cap)
 
 
 def _make_tfidf(name):
-    kind, _, gsql, min_df, cap, sub = TFIDF_SPECS[name]
+    kind, _, source, gsql, min_df, cap, sub = TFIDF_SPECS[name]
     docs_sql = _BIN_TRAIN_SQL if kind == "binary" else _PAT_SQL
-    ctes = O.tfidf_ctes(docs_sql, gsql, min_df, cap, sub)
+    ctes = O.tfidf_ctes(docs_sql, source, gsql, min_df, cap, sub)
 
     def vocab_q(spark, sf):
         vocab = _tfidf(spark, sf, name)[1]
@@ -412,10 +396,8 @@ def _make_tfidf(name):
                             _r("idf"), F.col("index").cast("bigint"))
 
     def summary_q(spark, sf):
-        tf, vocab, s, c, docs = _tfidf(spark, sf, name)
-        summ = vz.doc_summary(vz.transform(tf, vocab, sublinear=s, bounded=c is not None))
-        summ = summ.join(docs.select("doc_id", "doc_key"), "doc_id").drop("doc_id") \
-            .withColumnRenamed("doc_key", "doc_id")
+        counts, vocab = _tfidf(spark, sf, name)
+        summ = vz.doc_summary(counts, vocab, sublinear=sub)
         return summ.select("doc_id", F.col("n_terms").cast("bigint"), _r("sum_tfidf"), _r("max_tfidf"))
 
     register(name.replace("tfidf", "vocabulary"), f"WITH {ctes} {O.vocabulary_select()}")(vocab_q)
@@ -430,35 +412,41 @@ for _n in TFIDF_SPECS:
 # Models (rows-only checks): I9/I10/I11/I18 binary, I13/I19 pattern, I16 weights
 # ---------------------------------------------------------------------------
 
-def _split_binary(spark, sf):
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    return win.stratified_split(_binary(spark, sf), "label", "text", 0.2).checkpoint(eager=True)
-
-
 @register("binary_model_eval")
 def binary_model_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit LR and linear SVM on the train split, soft-vote (H73), report on the test split."""
+    """Calibrated LR and linear SVM, soft vote, report on the test split."""
     from . import models as md
-    feats = md.featurize(_split_binary(spark, sf))
-    train, test = feats.where(~F.col("is_test")), feats.where(F.col("is_test"))
-    m1 = md.fit_binary(train, featurized=True)
-    m2 = md.fit_calibrated(train, svc=True, folds=3)
-    scored = md.score_binary([m1, m2], test)
-    pred = scored.select("label", (F.col("probability") >= 0.5).cast("int").alias("prediction"), "probability")
+    split = win.stratified_split(_binary(spark, sf), "label", "text", 0.2)
+    vectors, ensembles = md.fit_binary(split)
+    scored = md.soft_vote(vectors.where("is_test").select("label", "features"), ensembles)
+    pred = scored.select("label", (F.col("probability") >= 0.5).cast("int").alias("prediction"))
     return ev.classification_report(pred)
 
 
+def _fit_pattern(spark, sf):
+    from . import models as md
+    return md.fit_pattern(cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))], keep_key=True))
+
+
+@register("pattern_model_eval")
+def pattern_model_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """I13 + I14: report of the calibrated pattern model on its test split (H75 by the largest probability)."""
+    test, model = _fit_pattern(spark, sf)
+    p = model.score(test.select("macro_label", "features"))
+    best = F.array_max(F.array(*[F.struct(F.col("p_" + lab.lower()).alias("p"), F.lit(-i).alias("o"), F.lit(lab).alias("l"))
+                                 for i, lab in enumerate(model.labels)]))
+    return ev.classification_report(p.select(F.col("macro_label").alias("label"), best["l"].alias("prediction")))
+
+
 @register("pattern_model_profile")
 def pattern_model_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """I13 fitted on the pattern corpus, then I21 with model probabilities."""
-    from . import models as md
-    model = md.fit_pattern(_pattern(spark, sf))
+    """I13 + I14 fitted on the pattern corpus, then I21 with the model's probabilities."""
+    _, model = _fit_pattern(spark, sf)
     sents = prof.pattern_sentences(tb.essays(spark, sf), keep_empty=True)
-    probs = md.pattern_probabilities(model, sents.select("essay_id", "sent_pos", "text"))
-    cols = {lab: F.col(f"p_{lab.lower()}") for lab in prof.LABELS}
-    joined = sents.join(probs, ["essay_id", "sent_pos", "text"], "left")
-    return _profile_from(joined, cols)
+    probs = model.probabilities(sents, ["essay_id", "sent_pos"], "text")
+    known = {lab: f"p_{lab.lower()}" for lab in model.labels}
+    cols = {lab: F.when(F.col("text").isNotNull(), F.col(known[lab]) if lab in known else F.lit(0.0)) for lab in prof.LABELS}
+    return _profile_from(probs, cols)
 
 
 def _profile_from(feats: DataFrame, cols) -> DataFrame:
@@ -480,10 +468,57 @@ def learned_weights(spark: SparkSession, sf: str) -> DataFrame:
     from . import models as md
     p = rv.map_labels(tb.pairs(spark, sf)).na.drop(subset=["label"])
     c, d = F.col("clean_sentence"), F.col("dyslexic_sentence")
-    feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d, exact=True))
+    feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d))
     return md.learn_weights(spark, feats)
 
 
+# ---------------------------------------------------------------------------
+# A8 nested results through JSON, H51, H58, H60
+# ---------------------------------------------------------------------------
+
+@register("screen_results_json", f"WITH {O.scored_sentences_ctes()} SELECT essay_id, CAST(sent_pos AS INTEGER) AS place, text, "
+          f"round(probability, 3) AS probability, {O.sentence_label('probability')} AS label FROM scored")
+def screen_results_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested results as JSON documents, read back and laid out by sentence."""
+    docs = scr.results_json(scr.screen_results_nested(tb.essays(spark, sf)))
+    back = F.from_json("json", "sentences array<struct<text:string,probability:double,label:string>>")
+    return docs.select("essay_id", F.posexplode(back["sentences"]).alias("place", "s")).select(
+        "essay_id", "place", "s.text", "s.probability", "s.label")
+
+
+@register("sentence_labels_binary", f"WITH {O.scored_sentences_ctes()} SELECT essay_id, sent_pos, "
+          "CASE WHEN probability >= 0.65 THEN 'DYSLEXIC' ELSE 'NORMAL' END AS label FROM scored")
+def sentence_labels_binary(spark: SparkSession, sf: str) -> DataFrame:
+    s = scr.scored_sentences(tb.essays(spark, sf))
+    return s.select("essay_id", "sent_pos", sc.sentence_label_binary(F.col("probability")).alias("label"))
+
+
+@register("dominant_merged_counts", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)}, p AS (WITH {O.v1_profile_sql('rule_lines')}), "
+          "m AS (SELECT CASE WHEN dominant_pattern IN ('Word Boundary Confusion', 'Mixed Essay Pattern') THEN 'Mixed Dyslexic Pattern' "
+          "ELSE dominant_pattern END AS dominant_pattern FROM p) SELECT dominant_pattern, count(*) AS count FROM m GROUP BY 1")
+def dominant_merged_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """H58 over the rule-based profile, counted."""
+    from ..operators import rules_v1 as rv
+    p = rl.rule_profile(tb.essays(spark, sf))
+    return co.value_counts(p.select(rv.merge_rare(F.col("dominant_pattern")).alias("dominant_pattern")), "dominant_pattern")
+
+
+def _loss_sql(points):
+    cls = O.K.char_class(points)
+    return f"{O.cnt('clean_sentence', cls)} > {O.cnt('dyslexic_sentence', cls)}"
+
+
+@register("pair_diacritic_loss", f"WITH {O.pairs_ctes()} SELECT essay_id, pos, {_loss_sql(O.K.PAIR_DIACRITICS)} AS loss, "
+          f"{_loss_sql(O.K.PAIR_DIACRITICS_NB)} AS loss_notebook FROM pairs")
+def pair_diacritic_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """H51 (14 characters) and H52 (15 characters)."""
+    from .. import constants as KK
+    from ..functions import diff as dfx
+    a, b = F.col("clean_sentence"), F.col("dyslexic_sentence")
+    return tb.pairs(spark, sf).select("essay_id", "pos", dfx.diacritic_loss(a, b, KK.PAIR_DIACRITICS).alias("loss"),
+                                      dfx.diacritic_loss(a, b, KK.PAIR_DIACRITICS_NB).alias("loss_notebook"))
+
+
 # ---------------------------------------------------------------------------
 # C5 / C6 combined, J1 streaming
 # ---------------------------------------------------------------------------
@@ -518,32 +553,31 @@ def stream_screen_essays(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("sentence_ngram_counts", f"""WITH {O.ESSAYS}, {O.screening_sentences()}
 SELECT essay_id, sent_pos,
-  CAST(len({O.char_grams('text', 2, 4)}) AS BIGINT) AS n_char_2_4,
-  CAST(len(list_distinct({O.char_wb_grams('text', 2, 5)})) AS BIGINT) AS n_char_wb_2_5_distinct,
-  CAST(len({O.word_grams('text')}) AS BIGINT) AS n_word_1_2,
+  md5(array_to_string({O.char_grams(2, 4)}, '|')) AS char_2_4,
+  md5(array_to_string({O.char_wb_grams(2, 5).replace('(c,', '(wb,')}, '|')) AS char_wb_2_5,
+  md5(array_to_string({O.word_grams().replace('c[', 'wd[').replace('(c', '(wd')}, '|')) AS word_1_2,
   CAST(len(list_distinct(regexp_extract_all(text, {O.q(__import__('quillscan.constants', fromlist=['x']).SINHALA)}))) AS BIGINT) AS n_distinct_sinhala
-FROM sentences""")
+FROM (SELECT *, {O.char_source('text')} AS c, {O.char_wb_source('text')} AS wb, {O.word_source('text')} AS wd FROM sentences)""")
 def sentence_ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """H12-H14 + G3 as pure JVM expressions over every screening sentence."""
+    """H12-H14 (digests of the n-grams in order) + G3 over every screening sentence."""
     s = op.explode_sentences(tb.essays(spark, sf))
     from ..functions import features as fxx
     return s.select("essay_id", "sent_pos",
-                    F.size(tx.char_ngrams(F.col("text"), 2, 4)).cast("bigint").alias("n_char_2_4"),
-                    F.size(F.array_distinct(tx.char_wb_ngrams(F.col("text"), 2, 5))).cast("bigint")
-                    .alias("n_char_wb_2_5_distinct"),
-                    F.size(tx.word_ngrams(F.col("text"), 1, 2)).cast("bigint").alias("n_word_1_2"),
+                    F.md5(F.array_join(tx.char_ngrams(F.col("text"), 2, 4), "|")).alias("char_2_4"),
+                    F.md5(F.array_join(tx.char_wb_ngrams(F.col("text"), 2, 5), "|")).alias("char_wb_2_5"),
+                    F.md5(F.array_join(tx.word_ngrams(F.col("text"), 1, 2), "|")).alias("word_1_2"),
                     F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(fxx.K.SINHALA), 0)))
                     .cast("bigint").alias("n_distinct_sinhala"))
 
 
 @register("error_types_outside_vocabulary", f"""WITH {O.pairs_ctes()}
-SELECT pair_id, error_type FROM pairs WHERE error_type IS NOT NULL AND error_type NOT IN ("""
+SELECT essay_id, pos, error_type FROM pairs WHERE error_type IS NOT NULL AND error_type NOT IN ("""
           + ", ".join(O.q(t) for t in __import__('quillscan.constants', fromlist=['x']).ERROR_TAGS) + ")")
 def error_types_outside_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose error tag is outside the closed tag vocabulary."""
     from .. import constants as KK
     tags = spark.createDataFrame([(t,) for t in KK.ERROR_TAGS], "tag string")
-    return co.check_vocabulary(tb.pairs(spark, sf).select("pair_id", "error_type"), "error_type", tags)
+    return co.check_vocabulary(tb.pairs(spark, sf).select("essay_id", "pos", "error_type"), "error_type", tags)
 
 
 @register("binary_corpus_stage_counts", f"""WITH {O.pairs_ctes()},
@@ -556,12 +590,7 @@ UNION ALL SELECT 'min_length', CAST(count(*) AS BIGINT) FROM f
 UNION ALL SELECT 'dedup', CAST(count(DISTINCT text) AS BIGINT) FROM f""")
 def binary_corpus_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Row counts after union (G1+G2), the length filter (B3) and keep-first."""
-    p = tb.pairs(spark, sf)
-    extra = co.augment(cb.extra_clean(spark)).select("text")
-    u = co.union_all([p.select(F.col("dyslexic_sentence").alias("text")),
-                      p.select(F.col("clean_sentence").alias("text")), extra])
-    f = u.where(co.min_length("text", 4))
-    return co.stage_counts([("union", u), ("min_length", f), ("dedup", _binary(spark, sf))])
+    return cb.binary_stage_counts([tb.pairs(spark, sf)], cb.extra_clean(spark))
 
 
 # ---------------------------------------------------------------------------
@@ -593,6 +622,7 @@ def synthetic_essay_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
     synth = grp.groupBy("essay_id").agg(F.concat_ws(". ", F.transform(parts, lambda x: x["text"])).alias("text"),
                                         (F.avg("label") >= 0.5).alias("truth"))
+    synth = synth.checkpoint(eager=True)
     v = scr.screen_essays(synth.select("essay_id", "text"), rule="notebook", digits=None)
     j = v.join(synth.select("essay_id", "truth"), "essay_id")
     hit = (F.coalesce(F.col("essay_label"), F.lit("")) == "DYSLEXIC ESSAY") == F.col("truth")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.rounding import exact_round
 from ..operators import screening as op
 
 RESULT_COLUMNS = ["essay_id", "essay_label", "composite_score", "weighted_mean_prob",
@@ -33,7 +34,8 @@ def _finish(r: DataFrame, rule: str, digits: int | None, keep: list[str]) -> Dat
     ok = F.col("total_sentences") > 0
 
     def rnd(c: str) -> Column:
-        v = F.col(c) if digits is None else F.round(F.col(c), digits)
+        # presentation has 3 places, by the exact value; checks have 6, as engines round them
+        v = F.col(c) if digits is None else exact_round(F.col(c), digits) if digits <= 4 else F.round(F.col(c), digits)
         return F.when(ok, v).alias(c)
 
     return r.select(
@@ -65,7 +67,7 @@ def screen_results_nested(essays: DataFrame, threshold: float = K.SENTENCE_THRES
     sent = F.array_sort(F.collect_list(F.when(
         F.col("text").isNotNull(),
         F.struct(F.col("sent_pos"), F.col("text"),
-                 F.round("probability", 3).alias("probability"), F.col("label"))))).alias("_s")
+                 exact_round(F.col("probability"), 3).alias("probability"), F.col("label"))))).alias("_s")
     r = op.screen_rollup(scored, threshold, extra=[sent])
     sentences = F.when(F.col("total_sentences") > 0, F.transform(
         "_s", lambda s: F.struct(s["text"].alias("text"), s["probability"].alias("probability"),

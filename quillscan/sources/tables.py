@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..operators.partitioning import spread
 
 # ----------------------------------------------------------------------------
 # Transliteration of the test data (36 letters -> Sinhala)
@@ -28,14 +27,14 @@ TRANSLIT_DST = "".join(chr(c) for c in [
 # Pair rule: phonetic confusions used to derive dyslexic sentences.
 PHONETIC_SRC = "".join(chr(c) for c in [0x0D9A, 0x0D9C, 0x0DA0, 0x0DAD, 0x0DB6, 0x0DC0, 0x0DC3])
 PHONETIC_DST = "".join(chr(c) for c in [0x0D9B, 0x0D9D, 0x0DA1, 0x0DAE, 0x0DB8, 0x0DC2, 0x0DC4])
-PAIRS_PER_ESSAY = 10
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 ESSAYS_SCHEMA = T.StructType([T.StructField("essay_id", T.LongType()),
                               T.StructField("text", T.StringType())])
-PAIRS_SCHEMA = T.StructType([T.StructField("pair_id", T.LongType()),
+PAIRS_SCHEMA = T.StructType([T.StructField("essay_id", T.LongType()),
+                             T.StructField("pos", T.IntegerType()),
                              T.StructField("clean_sentence", T.StringType()),
                              T.StructField("dyslexic_sentence", T.StringType()),
                              T.StructField("error_type", T.StringType())])
@@ -51,8 +50,15 @@ def transliterate(c: Column) -> Column:
 
 
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2: ``essays(essay_id, text)`` from ``documents`` (transliterated)."""
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    """A2: ``essays(essay_id, text)`` from ``documents`` (transliterated).
+
+    The scan's own splits are the partitions. Benches over one small file, which is one
+    split, may name a number of partitions in the setting ``quillscan.input.partitions``.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    partitions = spark.conf.get("quillscan.input.partitions", "")
+    if partitions:
+        docs = docs.repartition(int(partitions), "doc_id")
     return docs.select(F.col("doc_id").alias("essay_id"), transliterate(F.col("text")).alias("text"))
 
 
@@ -61,12 +67,10 @@ def read_essays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ESSAYS_SCHEMA).parquet(path)
 
 
-def pairs_from_essays(ess: DataFrame, per_essay: int = PAIRS_PER_ESSAY) -> DataFrame:
-    """Paired corpus derived by rule from the first screening sentences of each essay."""
-    first = ess.select("essay_id", F.slice(tx.split_screening("text", chunk_lone_long=False), 1, per_essay)
-                       .alias("s"))
-    sent = first.select("essay_id", F.posexplode_outer("s").alias("pos", "clean")) \
-        .where(F.col("pos").isNotNull())
+def pairs_from_essays(ess: DataFrame) -> DataFrame:
+    """Paired corpus derived by rule from every screening sentence; key ``(essay_id, pos)``."""
+    sent = ess.select("essay_id", tx.split_screening("text").alias("s")) \
+        .select("essay_id", F.posexplode_outer("s").alias("pos", "clean")).where(F.col("pos").isNotNull())
     k = F.substring(F.md5(F.col("clean")), 1, 1)
     t = F.col("clean")
     swapped = F.concat(F.substring(t, 2, 1), F.substring(t, 1, 1), F.expr("substring(clean, 3)"))
@@ -82,13 +86,12 @@ def pairs_from_essays(ess: DataFrame, per_essay: int = PAIRS_PER_ESSAY) -> DataF
              .when(k.isin("b", "c"), "tense_error")
              .when(k == "d", "Spoken_case")
              .when(k == "e", "other"))
-    return sent.select((F.col("essay_id") * 1000 + F.col("pos")).cast("bigint").alias("pair_id"),
-                       t.alias("clean_sentence"), dys.alias("dyslexic_sentence"),
+    return sent.select("essay_id", "pos", t.alias("clean_sentence"), dys.alias("dyslexic_sentence"),
                        etype.cast("string").alias("error_type"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: the paired corpus ``pairs(pair_id, clean_sentence, dyslexic_sentence, error_type)``."""
+    """A1: the paired corpus ``pairs(essay_id, pos, clean_sentence, dyslexic_sentence, error_type)``."""
     return pairs_from_essays(essays(spark, sf_dir))
 
 

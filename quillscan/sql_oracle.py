@@ -328,15 +328,13 @@ SELECT {out} FROM essays e LEFT JOIN r4 r3 ON e.essay_id = r3.essay_id"""
 # ---------------------------------------------------------------------------
 
 def pairs_cte() -> str:
-    """CTE ``pairs(pair_id, clean_sentence, dyslexic_sentence, error_type)`` (needs sent_arr)."""
+    """CTE ``pairs(essay_id, pos, clean_sentence, dyslexic_sentence, error_type)`` (needs sentences)."""
     ph_src = "".join(chr(c) for c in [0x0D9A, 0x0D9C, 0x0DA0, 0x0DAD, 0x0DB6, 0x0DC0, 0x0DC3])
     ph_dst = "".join(chr(c) for c in [0x0D9B, 0x0D9D, 0x0DA1, 0x0DAE, 0x0DB8, 0x0DC2, 0x0DC4])
     return f"""
-pair_src AS (SELECT essay_id, list_slice(k, 1, {tb.PAIRS_PER_ESSAY}) AS s FROM sent_kept),
-pair_rows AS (SELECT essay_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS pos, unnest(s) AS clean FROM pair_src),
-pair_k AS (SELECT *, substring(md5(clean), 1, 1) AS k FROM pair_rows),
+pair_k AS (SELECT essay_id, sent_pos AS pos, text AS clean, substring(md5(text), 1, 1) AS k FROM sentences),
 pairs AS (
-  SELECT CAST(essay_id * 1000 + pos AS BIGINT) AS pair_id, clean AS clean_sentence,
+  SELECT essay_id, pos, clean AS clean_sentence,
     CASE WHEN k IN ('0','1','2','3') THEN replace(clean, chr(3530), '')
          WHEN k IN ('4','5','6','7') THEN translate(clean, {q(ph_src)}, {q(ph_dst)})
          WHEN k IN ('8','9','a') THEN substring(clean, 2, 1) || substring(clean, 1, 1) || substring(clean, 3)
@@ -432,7 +430,7 @@ def pair_patterns_ctes(weights: dict) -> str:
     valid = lambda c: f"({c} IS NOT NULL AND length({c}) >= 3 AND NOT regexp_matches({c}, '[{{}}]'))"
     return f"""{pairs_ctes()},
 pv AS (SELECT * FROM pairs WHERE {valid('clean_sentence')} AND {valid('dyslexic_sentence')}),
-pf AS (SELECT pair_id, clean_sentence, dyslexic_sentence, error_type,
+pf AS (SELECT essay_id, pos, clean_sentence, dyslexic_sentence, error_type,
               {twin_features('clean_sentence', 'dyslexic_sentence', loss)} FROM pv),
 ps AS (SELECT *, {scores} FROM pf),
 pw AS (SELECT *, {pattern} AS writing_pattern FROM ps),
@@ -449,11 +447,11 @@ def binary_corpus(extra: list[str], times: int) -> str:
 ex AS (SELECT * FROM (VALUES {vals}) t(idx, text)),
 exr AS (SELECT idx, text, unnest(range({times})) AS rep FROM ex),
 u AS (
-  SELECT dyslexic_sentence AS text, 1 AS label, 0 AS side, 0 AS rep, pair_id AS pos FROM pairs
-  UNION ALL SELECT clean_sentence, 0, 1, 0, pair_id FROM pairs
-  UNION ALL SELECT text, 0, 2, rep, idx FROM exr),
+  SELECT dyslexic_sentence AS text, 1 AS label, 0 AS side, 0 AS rep, essay_id, pos FROM pairs
+  UNION ALL SELECT clean_sentence, 0, 1, 0, essay_id, pos FROM pairs
+  UNION ALL SELECT text, 0, 2, rep, idx, 0 FROM exr),
 f AS (SELECT * FROM u WHERE length(text) >= {K.MIN_SENTENCE_CHARS}),
-k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY side, rep, pos) AS rn FROM f)
+k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY side, rep, essay_id, pos) AS rn FROM f)
 SELECT text, CAST(label AS INTEGER) AS label FROM k WHERE rn = 1"""
 
 
@@ -468,20 +466,22 @@ def normalize_label(c: str) -> str:
 
 def pattern_corpus(cap: int, keep_key: bool = False) -> str:
     return f"""WITH {pairs_ctes()},
-pg AS (SELECT page_id AS pair_id, CAST(NULL AS VARCHAR) AS clean_sentence, html AS dyslexic_sentence,
-              CAST(NULL AS VARCHAR) AS error_type, 1 AS corpus FROM pages),
-u AS (SELECT pair_id, clean_sentence, dyslexic_sentence, error_type, 0 AS corpus FROM pairs
+pg AS (SELECT page_id AS essay_id, 0 AS pos, CAST(NULL AS VARCHAR) AS clean_sentence, html AS dyslexic_sentence,
+              CAST(NULL AS VARCHAR) AS error_type, 1 AS corpus FROM pages
+       UNION ALL SELECT page_id, 1, NULL, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'Grammar', 1
+       FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''),
+u AS (SELECT essay_id, pos, clean_sentence, dyslexic_sentence, error_type, 0 AS corpus FROM pairs
       UNION ALL SELECT * FROM pg),
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dyslexic_sentence ORDER BY corpus, pair_id) AS rn
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dyslexic_sentence ORDER BY corpus, essay_id, pos) AS rn
                      FROM u) WHERE rn = 1),
 j AS (SELECT * FROM d WHERE NOT coalesce(regexp_matches(dyslexic_sentence, {q(K.JUNK)}), false)),
 l AS (SELECT *, {normalize_label('error_type')} AS macro_label FROM j),
 n AS (SELECT clean_sentence AS dyslexic_sentence, 'Normal' AS macro_label,
-             concat_ws(':', 'n', CAST(corpus AS VARCHAR), CAST(pair_id AS VARCHAR)) AS row_key FROM l
+             concat_ws(':', 'n', CAST(corpus AS VARCHAR), CAST(essay_id AS VARCHAR), CAST(pos AS VARCHAR)) AS row_key FROM l
       WHERE clean_sentence IS NOT NULL AND length(clean_sentence) > 5
       ORDER BY md5(clean_sentence), clean_sentence, row_key LIMIT {cap}),
 y AS (SELECT dyslexic_sentence, macro_label,
-             concat_ws(':', 'd', CAST(corpus AS VARCHAR), CAST(pair_id AS VARCHAR)) AS row_key
+             concat_ws(':', 'd', CAST(corpus AS VARCHAR), CAST(essay_id AS VARCHAR), CAST(pos AS VARCHAR)) AS row_key
       FROM l WHERE macro_label <> {q(K.MACRO_DEFAULT)}),
 pcorp AS (SELECT * FROM y WHERE dyslexic_sentence IS NOT NULL UNION ALL SELECT * FROM n)
 SELECT {'*' if keep_key else 'dyslexic_sentence, macro_label'} FROM pcorp"""
@@ -506,32 +506,44 @@ def screen_essays_cte() -> str:
 # TF-IDF (I1-I4)
 # ---------------------------------------------------------------------------
 
-def _windows_sql(t: str, lo: int, hi: int) -> str:
-    return (f"flatten(list_transform(range({lo}, least({hi}, length({t})) + 1), lambda n: "
-            f"list_transform(range(1, length({t}) - n + 2), lambda i: substring({t}, i, n))))")
+def _windows_sql(chars: str, lo: int, hi: int) -> str:
+    """All windows of lo..hi entries of a list of characters."""
+    return (f"flatten(list_transform(range({lo}, {hi} + 1), lambda n: list_transform(range(1, len({chars}) - n + 2), "
+            f"lambda i: array_to_string({chars}[i:i + n - 1], ''))))")
 
 
-def char_grams(t: str, lo: int, hi: int) -> str:
-    p = f"regexp_replace(lower({t}), {q(K.PY_WS + K.PY_WS + '+')}, ' ', 'g')"
-    return _windows_sql(p, lo, hi)
+def char_source(t: str) -> str:
+    """Cleaned text as a list of characters, to be bound as a column ``c``."""
+    return f"string_split(regexp_replace(lower({t}), {q(K.PY_WS + K.PY_WS + '+')}, ' ', 'g'), '')"
 
 
-def char_wb_grams(t: str, lo: int, hi: int) -> str:
-    w = f"list_transform(regexp_extract_all(lower({t}), {q(K.NON_WS + '+')}), lambda x: ' ' || x || ' ')"
-    return f"flatten(list_transform({w}, lambda ww: {_windows_sql('ww', lo, hi)}))"
+def char_grams(lo: int, hi: int) -> str:
+    return _windows_sql("c", lo, hi)
 
 
-def word_grams(t: str) -> str:
-    toks = f"regexp_extract_all(lower({t}), {q(r'[\p{L}\p{N}_]{2,}')})"
-    bi = (f"list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1])")
-    return f"list_concat({toks}, {bi})"
+def char_wb_source(t: str) -> str:
+    """Padded words as lists of characters, to be bound as a column ``c``."""
+    return (f"list_transform(regexp_extract_all(lower({t}), {q(K.NON_WS + '+')}), lambda x: string_split(' ' || x || ' ', ''))")
 
 
-def tfidf_ctes(docs_sql: str, grams: str, min_df: int, max_features: int | None, sublinear: bool) -> str:
+def char_wb_grams(lo: int, hi: int) -> str:
+    return f"flatten(list_transform(c, lambda ww: {_windows_sql('ww', lo, hi)}))"
+
+
+def word_source(t: str) -> str:
+    return f"regexp_extract_all(lower({t}), {q(r'[\p{L}\p{N}_]{2,}')})"
+
+
+def word_grams() -> str:
+    return "list_concat(c, list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1]))"
+
+
+def tfidf_ctes(docs_sql: str, source: str, grams: str, min_df: int, max_features: int | None, sublinear: bool) -> str:
     limit = f"ORDER BY total_tf DESC, term ASC LIMIT {max_features}" if max_features else ""
     w = "(1 + ln(tf))" if sublinear else "CAST(tf AS DOUBLE)"
     return f"""docs AS ({docs_sql}),
-gr AS (SELECT doc_id, unnest({grams.replace('{t}', 'text')}) AS term FROM docs),
+cl AS MATERIALIZED (SELECT doc_id, {source} AS c FROM docs),
+gr AS (SELECT doc_id, unnest({grams}) AS term FROM cl),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM gr GROUP BY doc_id, term),
 st AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM tf GROUP BY term HAVING count(*) >= {min_df}),
 vc AS (SELECT * FROM st {limit}),

@@ -1,28 +1,26 @@
-"""The linear-time character ndiff equals the stdlib generator (brute force)."""
-import difflib
+"""Edit counts and exact decimal rounding against plain Python."""
+import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillscan.functions import diff as dx
-
-ALPHABET = "ab c්ෙ"
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=ALPHABET, max_size=60), st.text(alphabet=ALPHABET, max_size=60))
-def test_ndiff_counts_equal_stdlib(a, b):
-    assert dx._ndiff_counts(a, b) == dx._ndiff_counts_reference(a, b)
-
-
-def test_long_lines_with_popular_characters():
-    a = ("ab " * 150) + "xyz"
-    b = ("ab  " * 140) + "xz"
-    assert dx._ndiff_counts(a, b) == dx._ndiff_counts_reference(a, b)
-
-
-def test_opcode_counts():
-    assert dx._opcodes_counts("abcd", "abd") == (0, 1, 0)
-    assert dx._opcodes_counts("abcd", "abXd") == (0, 0, 1)
-    ops = difflib.SequenceMatcher(None, "hello", "jello").get_opcodes()
-    assert ops[0][0] == "replace"
+from quillscan.functions.rounding import exact_round, fixed_text
+
+
+def test_edit_counts(spark):
+    rows = [("abcd", "abd"), ("abcd", "abXd"), ("", "ab"), ("ab", ""), ("", ""), (None, "a"), ("aසb", "aසc")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r.d) for r in df.select(dx.edit_counts(F.col("a"), F.col("b")).alias("d")).collect()]
+    for (a, b), d in zip(rows, got):
+        if a is not None:
+            assert d == (max(0, len(b) - len(a)), max(0, len(a) - len(b)), sum(x != y for x, y in zip(a, b)))
+
+
+def test_exact_rounding(spark):
+    rng = random.Random(3)
+    values = [0.0, 0.125, 0.285, 0.0625, 0.375, 0.295, 0.305, 2.675, 94.995, 95.0, 0.5, 1 / 3, 99.99999] + [rng.random() * 100 for _ in range(500)]
+    values += [k / 32 for k in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for d in (1, 2, 3, 4):
+        got = df.select("x", exact_round(F.col("x"), d).alias("r"), fixed_text(F.col("x"), d).alias("t")).collect()
+        assert all(r.r == round(r.x, d) and r.t == f"{r.x:.{d}f}" for r in got)
