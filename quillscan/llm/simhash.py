@@ -30,10 +30,12 @@ from .common import frozen, row_key, tasks
 SEED = 42
 #: Fingerprints sampled to choose vantage points; it affects balance only, not results.
 SAMPLE = 2048
-#: Fingerprints that a shard holds, about; larger shards are solved in blocks of this size.
-SHARD = 32768
+#: Fingerprints at home in a shard, about.
+SHARD = 65536
+#: A shard with more members than this (4 MB of fingerprints) is solved in blocks of so many.
+SHARD_BLOCK = 1 << 19
 LEAF = 256
-BLOCK = 1 << 22
+PAIRS_AT_ONCE = 1 << 22
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -151,7 +153,7 @@ def _link(points: np.ndarray, home: np.ndarray, query: np.ndarray, bits: int, la
         if len(h) > LEAF:
             cut = _split(points[h])
         if cut is None:
-            step = max(1, BLOCK // len(h))
+            step = max(1, PAIRS_AT_ONCE // len(h))
             for i in range(0, len(q), step):
                 part = q[i:i + step]
                 near = np.bitwise_count(points[part][:, None] ^ points[h][None, :]) <= bits
@@ -174,7 +176,7 @@ def _forest(home: np.ndarray, query: np.ndarray, bits: int) -> tuple[np.ndarray,
     return points[linked], points[labels[linked]]
 
 
-def links(reps: DataFrame, max_bits: int = 2, shard: int = SHARD) -> DataFrame:
+def links(reps: DataFrame, max_bits: int = 2, shard: int = SHARD, block: int = SHARD_BLOCK) -> DataFrame:
     """Spanning forest (u, v) of the links between the distinct ``fp`` of ``reps``."""
     spark = reps.sparkSession
     n = reps.count()
@@ -190,7 +192,7 @@ def links(reps: DataFrame, max_bits: int = 2, shard: int = SHARD) -> DataFrame:
 
     dealt = frozen(reps.select("fp").mapInPandas(deal, "shard int, fp long, home boolean"), "simhash-shards")
     # a shard of many fingerprints is solved in blocks: each home block meets each query block
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / shard).cast("int").alias("blocks"))
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     sided = dealt.join(sizes, "shard")
