@@ -18,8 +18,11 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,99 +33,145 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 #: Tokens of a stream that are solved at once.
-STREAM = 1 << 19
+STREAM = 1 << 18
 #: What a cut costs, in tokens of padding.
 SENTENCE_CUT, FORCED_CUT = 1, 64
 #: What a window shorter than full costs where its length, a power of two, needs no padding.
 SHORT = 16
-#: Words whose ids a Python worker keeps.
-KEPT = 300_000
+#: Words whose ids a Python worker keeps, and texts it handles at once.
+KEPT, CHUNK = 600_000, 256
 #: Sequence ids are this many apart from task to task.
 TASK_IDS = 1 << 33
 
 
+_SENTENCE_END = (b".", b"!", b"?", "…".encode(), "。".encode())
+# punctuation that ends a word; after a letter or digit the vocabulary parts it there anyway
+_TAIL = b".,!?;:%*#$&"
+_LETTER = re.compile(rb"[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]").fullmatch
+# small Latin letters, which no normaliser or parting changes
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable byte stands for itself, the others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
-    """Token ids by a vocabulary file whose words never span white space.
+    """Token ids by a lower-casing vocabulary file whose words never span white space.
 
     The ids of a text are then those of its words in order, so each distinct word is
     encoded once and kept. Text is split at ASCII white space only; whatever else the
-    vocabulary treats as white space stays inside a word and is left to the library.
+    vocabulary takes as white space stays inside a word and is left to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ends = np.zeros(0, bool)
-
-    def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))])
-        self.ends = np.concatenate([self.ends, np.fromiter((w.rstrip("\"')]»”’")[-1:] in (".", "!", "?", "…", "。") and w != "" for w in words), bool, len(words))])
+        self.letters = _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start, self.count, self.ends = np.zeros(KEPT, np.int32), np.zeros(KEPT, np.int32), np.zeros(KEPT, bool)
+        self.used = 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        n = len(self.at) + len(words)
+        if n > len(self.start):
+            grow = lambda x: np.concatenate([x, np.zeros(n - len(x), x.dtype)])
+            self.start, self.count, self.ends = grow(self.start), grow(self.count), grow(self.ends)
+        parts = []
         for w in words:
-            self.at[w] = len(self.at)
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Learn the words of ``texts`` that are not kept yet."""
-        new = {w for words in texts for w in words if w not in self.at}
+            core = w.rstrip(_TAIL)
+            cut = len(core) < len(w) and (_LETTER(core[-1:]) or _LETTER(core[-2:])) and b"<|" not in w
+            parts.append((core, w[len(core):]) if cut else (w,))
+        known: dict[bytes, list[int]] = {}
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for piece in set(chain.from_iterable(parts)):
+            if _PLAIN(piece):  # one piece for the vocabulary, too
+                known[piece] = [t.id for t in tokenize(piece.decode("latin-1").translate(self.letters))]
+            else:
+                rest.append(piece)
+        texts = [w.decode("utf-8", "surrogatepass") for w in rest]
+        known |= zip(rest, (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)))
+        got = [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        new = np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(new)), np.uint32)])
+        self.ids[self.used:self.used + len(new)] = new
+        i = len(self.at)
+        self.start[i:n], self.count[i:n] = self.used + np.cumsum(count) - count, count
+        self.ends[i:n] = [w.rstrip(b"\"')]").endswith(_SENTENCE_END) for w in words]
+        self.used += len(new)
+        self.at.update(zip(words, range(i, n)))
+
+    @classmethod
+    @lru_cache(1)
+    def shared(cls, path: str) -> "WordTokenizer":
+        """One in each Python worker: its words are kept from task to task."""
+        return cls(path)
+
+    @staticmethod
+    def words(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        return raw.split() if b"<|" in raw else raw.lower().split()  # ASCII letters only
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the ids, and the numbers of ids before each sentence end in it."""
+        split = [self.words(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        new = set(flat).difference(self.at)
+        if new and len(self.at) + len(new) > KEPT:
+            self._forget()
+            new = set(flat)
         if new:
-            if len(self.at) + len(new) > KEPT:
-                self._reset()
-                new = {w for words in texts for w in words}
             self._learn(sorted(new))
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text, and the numbers of ids before each sentence end in it."""
-        at = self.at
-        w = np.fromiter((at[x] for x in words), np.int64, len(words))
+        w = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         count = self.count[w]
-        after = np.cumsum(count)
-        total = int(after[-1]) if len(w) else 0
-        ids = self.ids[np.repeat(self.start[w] - after + count, count) + np.arange(total)]
-        return ids, np.unique(after[self.ends[w]])
-
-
-_ASCII_SPACE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
-
-
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_ASCII_SPACE).split(" ") if w]
+        after = np.cumsum(count, dtype=np.int64)
+        ids = self.ids[np.repeat(self.start[w] - after + count, count) + np.arange(int(after[-1]) if len(w) else 0)]
+        after = np.concatenate([[0], after])
+        ends, out, i = self.ends[w], [], 0
+        for words in split:
+            j = i + len(words)
+            out.append((ids[after[i]:after[j]], np.unique(after[i + 1:j + 1][ends[i:j]] - after[i])))
+            i = j
+        return out
 
 
 def choose_cuts(pos: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """Indexes into ``pos`` (0 first, the end last) of the cheapest window ends.
 
-    No two neighbours of ``pos`` are more than ``window`` apart.
+    No two neighbours of ``pos`` are more than ``window`` apart. Where a cut is free a
+    window may be short, with the length of a power of two.
     """
     p, pen = pos.tolist(), penalty.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
     at = {x: i for i, x in enumerate(p)}
     best, back = [0] * len(p), [0] * len(p)
-    queue: deque = deque([0])
+    keys: deque = deque([(0, 0, 0)])  # (best + position, position, index), rising
     for j in range(1, len(p)):
         x = p[j]
-        while x - p[queue[0]] > window:
-            queue.popleft()
-        i = queue[0]
-        cost = best[i] + window - x + p[i]
-        for k in powers:
-            i2 = at.get(x - k)
-            if i2 is not None and best[i2] + SHORT < cost:
-                cost, i = best[i2] + SHORT, i2
-        best[j], back[j] = cost + pen[j], i
-        key = best[j] + x
-        while queue and best[queue[-1]] + p[queue[-1]] >= key:
-            queue.pop()
-        queue.append(j)
+        while x - keys[0][1] > window:
+            keys.popleft()
+        cost, _, i = keys[0]
+        cost += window - x
+        if not pen[j]:
+            for k in powers:
+                i2 = at.get(x - k)
+                if i2 is not None and best[i2] + SHORT < cost:
+                    cost, i = best[i2] + SHORT, i2
+        cost += pen[j]
+        best[j], back[j] = cost, i
+        key = cost + x
+        while keys and keys[-1][0] >= key:
+            keys.pop()
+        keys.append((key, x, j))
     out, j = [], len(p) - 1
     while j > 0:
         out.append(j)
@@ -183,15 +232,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             "ids": ids, "doc_tokens": sizes[doc], "sequence_id": sequence + seq, "offset": begins - opened}), sequence + len(cuts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordTokenizer(tokenizer)
+        encode = WordTokenizer.shared(tokenizer)
         sequence = TaskContext.get().partitionId() * TASK_IDS
         held, tokens = [], 0
         for pdf in batches:
-            split = [words_of(t) for t in pdf["text"]]
-            for i in range(0, len(split), 256):
-                encode.prepare(split[i:i + 256])
-                for doc_id, words in zip(pdf["doc_id"][i:i + 256], split[i:i + 256]):
-                    ids, sentences = encode(words)
+            for i in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[i:i + CHUNK]
+                for doc_id, (ids, sentences) in zip(part["doc_id"], encode(part["text"].tolist())):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     held.append((None if pd.isna(doc_id) else doc_id, ids, sentences))
                     tokens += len(ids)
