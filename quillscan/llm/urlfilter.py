@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import frozen
 
 #: Largest size of a cascade that is broadcast.
-MAX_BITS = 1 << 30
-LATER_RATE = 0.5
+MAX_BITS = 1 << 26
+LATER_RATE = 1 / 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,20 +63,23 @@ class Level:
     """One Bloom filter; its bits are set by a Spark aggregation."""
 
     def __init__(self, keys: DataFrame, n: int, rate: float):
-        self.bits = max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+        self.bits = self.size(n, rate)
         self.k = max(1, round(-math.log2(rate)))
         words = np.zeros(self.bits // 64, np.int64)
         at = F.explode(F.array(*[F.pmod(F.col("h1") + F.lit(i).cast("long") * F.col("h2"), F.lit(self.bits)) for i in range(self.k)]))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
-        for r in (keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))).toLocalIterator():
+        for r in (keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))).collect():
             words[r.word] = r.bits
         self.words = words.view(np.uint64)
 
+    @staticmethod
+    def size(n: int, rate: float) -> int:
+        return max(64, 64 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+
     def __call__(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.ones(len(h1), bool)
         for i in range(self.k):
-            with np.errstate(over="ignore"):
-                at = (h1 + np.int64(i) * h2) % np.int64(self.bits)  # 64-bit sums wrap
+            at = (h1 + np.int64(i) * h2) % np.int64(self.bits)
             out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return out
 
@@ -101,7 +104,7 @@ def _passes(levels: list) -> Callable:
 
 def _wrapping(df: DataFrame, key: str) -> DataFrame:
     h1, h2 = hashes(F.col(key))
-    # 62 bits each, so that position sums of a few terms cannot overflow in either engine
+    # 56 bits each, so that the sums of a few terms cannot overflow
     return df.select((F.call_function("shiftrightunsigned", h1, F.lit(8))).alias("h1"), (F.call_function("shiftrightunsigned", h2, F.lit(8))).alias("h2"))
 
 
@@ -115,8 +118,8 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
     if not n:
         return []
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
-    rate = min(LATER_RATE, max(1e-9, math.sqrt(0.5) * n / max(1, size)))
-    if n * -math.log(rate) / math.log(2) ** 2 > max_bits:
+    rate = min(0.5, max(1e-9, math.sqrt(0.5) * n / max(1, size)))
+    if Level.size(n, rate) > max_bits:
         return None
     levels = [Level(yes, n, rate)]
     inside = yes
@@ -125,9 +128,9 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
         n = outside.count()
         if not n:
             return levels
-        levels.append(Level(outside, n, LATER_RATE))
-        if sum(x.bits for x in levels) > max_bits:
+        if sum(x.bits for x in levels) + Level.size(n, LATER_RATE) > max_bits:
             return None
+        levels.append(Level(outside, n, LATER_RATE))
         inside, outside = outside, frozen(inside.where(_passes(levels)("h1", "h2")), "bloom-level")
 
 
@@ -152,6 +155,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     @F.pandas_udf("array<int>")
     def verdicts(first: pd.Series, second: pd.Series) -> pd.Series:
         """1 for a listed block key, 2 for a listed allow key, 0 for others."""
+        if not len(first):
+            return pd.Series([], dtype=object)
         sizes = first.map(len).to_numpy()
         h1, h2 = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (first, second))
         code = np.where(member(cascades["block"], h1, h2), 1, np.where(member(cascades["allow"], h1, h2), 2, 0)) if len(h1) else h1

@@ -228,15 +228,15 @@ def test_simhash_odd_rows(make):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(n for n in names if n is not None)
 
 
-@pytest.mark.parametrize("shard", [40, 300])
-def test_simhash_many_shards(spark, shard):
+@pytest.mark.parametrize("shard,block", [(40, 1 << 19), (300, 100)])
+def test_simhash_many_shards(spark, shard, block):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     flips = [seeds ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for _ in range(3)]
     far = flips[0] ^ (np.uint64(7) << rng.integers(0, 60, 300).astype(np.uint64))
     points = np.unique(np.concatenate([seeds, *flips, far])).view(np.int64)
     reps = spark.createDataFrame([(int(p), i) for i, p in enumerate(points)], "fp long, least_id long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(reps, 2, shard)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(reps, 2, shard, block)).collect()}
     want = brute_groups([(i, int(p)) for i, p in enumerate(points.view(np.uint64))])
     groups = collections.defaultdict(set)
     for p, w in zip(points.tolist(), want):

@@ -89,7 +89,7 @@ def judge(url, rules, default="allow"):
         host = "".join(c.lower() if c < "\x80" else c for c in host)
     best = None
     for verdict, h, p in sorted(rules):
-        if host and (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), h + p) > (len(best[1]), best[1])):
+        if host and (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), h + p) >= (len(best[1]), best[1])):
             best = (verdict, h + p)
     return host, path, best and best[1], best[0] if best else default
 
