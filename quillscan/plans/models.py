@@ -31,7 +31,9 @@ from ..operators import vectorize as vz
 from ..operators import windows as win
 from ..session import checkpoint_dir
 
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
+#: Partitions of the training vectors, which that bound keeps small.
+FIT_PARTITIONS = 8
 FOLDS, PATTERN_FOLDS = 5, 3
 LR_C, LR_ITER = 1.0, 1000
 SVC_C, SVC_ITER = 0.5, 2000
@@ -163,7 +165,7 @@ def fit_binary(split: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS, m
     rows = store(binary_rows(rows), "binary-rows")
     vocabularies = [a.fit(rows.where(~F.col("is_test")), "text") for a in BINARY]
     vectors = vectorise(rows.withColumn("doc", F.col("text")), ["doc"], "text", BINARY, vocabularies, fx.SCREEN_FEATURES).drop("doc")
-    train = vectors.where(~F.col("is_test")).select("features", "label", "fold").persist()
+    train = vectors.where(~F.col("is_test")).select("features", "label", "fold").coalesce(FIT_PARTITIONS).persist()
     try:
         return vectors, [fit_calibrated(train, svc, folds, max_iter) for svc in (False, True)]
     finally:
@@ -226,7 +228,7 @@ def fit_pattern(corpus: DataFrame, folds: int = PATTERN_FOLDS, max_rows: int = M
     stats = vz.fit_scaler(rows, fx.STRUCTURED_FEATURES).first()                                                       # D23
     scaler = {c: (stats[f"{c}__mean"], stats[f"{c}__std"]) for c in fx.STRUCTURED_FEATURES}
     vectors = vectorise(rows, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, scaler)             # I6
-    train = vectors.where(~F.col("is_test")).select("features", "label", "macro_label", "fold").persist()
+    train = vectors.where(~F.col("is_test")).select("features", "label", "macro_label", "fold").coalesce(FIT_PARTITIONS).persist()
     members = []
     for k in range(folds):
         part = co.class_weights(train.where(F.col("fold") != k), "macro_label")
