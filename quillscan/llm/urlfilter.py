@@ -59,18 +59,38 @@ def hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
+def _mixed(h1: np.ndarray, h2: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    """Places of keys in a filter; each salt gives a hash of its own, so that no two levels agree by chance."""
+    with np.errstate(over="ignore"):
+        z = h1.view(np.uint64) ^ (h2.view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        return (z ^ (z >> np.uint64(31))) % np.uint64(bits)
+
+
 class Level:
     """One Bloom filter; its bits are set by a Spark aggregation."""
 
-    def __init__(self, keys: DataFrame, n: int, rate: float):
-        self.bits = self.size(n, rate)
+    def __init__(self, keys: DataFrame, n: int, rate: float, number: int):
+        self.bits, self.number = self.size(n, rate), number
         self.k = max(1, round(-math.log2(rate)))
-        words = np.zeros(self.bits // 64, np.int64)
-        at = F.explode(F.array(*[F.pmod(F.col("h1") + F.lit(i).cast("long") * F.col("h2"), F.lit(self.bits)) for i in range(self.k)]))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
-        for r in (keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))).collect():
-            words[r.word] = r.bits
-        self.words = words.view(np.uint64)
+
+        def set_bits(batches):
+            for pdf in batches:
+                at = np.unique(np.concatenate([self._places(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), i) for i in range(self.k)]))
+                bit = np.uint64(1) << (at & np.uint64(63))
+                word, first = np.unique(at >> np.uint64(6), return_index=True)
+                if len(at):
+                    yield pd.DataFrame({"word": word.astype(np.int64), "bits": np.bitwise_or.reduceat(bit, first).view(np.int64)})
+
+        self.words = np.zeros(1, np.uint64)
+        got = keys.mapInPandas(set_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        for r in got:
+            self.words[r.word] = r.bits & 0xFFFFFFFFFFFFFFFF
+
+    def _places(self, h1: np.ndarray, h2: np.ndarray, i: int) -> np.ndarray:
+        return _mixed(h1, h2, 64 * self.number + i + 1, self.bits)
 
     @staticmethod
     def size(n: int, rate: float) -> int:
@@ -79,8 +99,8 @@ class Level:
     def __call__(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.ones(len(h1), bool)
         for i in range(self.k):
-            at = (h1 + np.int64(i) * h2) % np.int64(self.bits)
-            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            at = self._places(h1, h2, i)
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
 
@@ -102,10 +122,9 @@ def _passes(levels: list) -> Callable:
     return passes
 
 
-def _wrapping(df: DataFrame, key: str) -> DataFrame:
+def _hashed(df: DataFrame, key: str) -> DataFrame:
     h1, h2 = hashes(F.col(key))
-    # 56 bits each, so that the sums of a few terms cannot overflow
-    return df.select((F.call_function("shiftrightunsigned", h1, F.lit(8))).alias("h1"), (F.call_function("shiftrightunsigned", h2, F.lit(8))).alias("h2"))
+    return df.select(h1.alias("h1"), h2.alias("h2"))
 
 
 def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> list | None:
@@ -113,7 +132,7 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
 
     None when they would be too large to broadcast.
     """
-    yes = frozen(_wrapping(listed, "key").distinct(), "bloom-listed")
+    yes = frozen(_hashed(listed, "key").distinct(), "bloom-listed")
     n = yes.count()
     if not n:
         return []
@@ -121,16 +140,16 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * n / max(1, size)))
     if Level.size(n, rate) > max_bits:
         return None
-    levels = [Level(yes, n, rate)]
+    levels = [Level(yes, n, rate, 0)]
     inside = yes
-    outside = frozen(_wrapping(universe, "key").where(_passes(levels)("h1", "h2")).distinct().join(yes, ["h1", "h2"], "left_anti"), "bloom-outside")
+    outside = frozen(_hashed(universe, "key").where(_passes(levels)("h1", "h2")).distinct().join(yes, ["h1", "h2"], "left_anti"), "bloom-outside")
     while True:
         n = outside.count()
         if not n:
             return levels
         if sum(x.bits for x in levels) + Level.size(n, LATER_RATE) > max_bits:
             return None
-        levels.append(Level(outside, n, LATER_RATE))
+        levels.append(Level(outside, n, LATER_RATE, len(levels)))
         inside, outside = outside, frozen(inside.where(_passes(levels)("h1", "h2")), "bloom-level")
 
 
@@ -162,10 +181,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
         code = np.where(member(cascades["block"], h1, h2), 1, np.where(member(cascades["allow"], h1, h2), 2, 0)) if len(h1) else h1
         return pd.Series([x.tolist() for x in np.split(code, np.cumsum(sizes)[:-1])], dtype=object)
 
-    def wrapped(i: int) -> Column:
-        return F.transform("keys", lambda k: F.call_function("shiftrightunsigned", hashes(k)[i], F.lit(8)))
-
-    coded = rows.withColumn("codes", verdicts(wrapped(0), wrapped(1)))
+    coded = rows.withColumn("codes", verdicts(F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])))
     fits = F.filter(F.transform(F.arrays_zip("keys", "codes"), lambda x: F.struct(
         F.length(x["keys"]).alias("n"), x["keys"].alias("key"), x["codes"].alias("code"))), lambda x: x["code"] > 0)
     best = F.array_max(fits)

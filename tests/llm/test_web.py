@@ -122,7 +122,7 @@ def test_cascade_is_exact(spark):
     listed = universe.where(F.xxhash64("key") % 7 == 0)
     levels = urlfilter.cascade(listed, universe)
     assert len(levels) > 2
-    keys = urlfilter._wrapping(universe, "key").toPandas()
+    keys = urlfilter._hashed(universe, "key").toPandas()
     got = urlfilter.member(levels, keys.h1.to_numpy(), keys.h2.to_numpy())
     want = universe.select((F.xxhash64("key") % 7 == 0).alias("y")).toPandas().y.to_numpy()
     assert (got == want).all()
