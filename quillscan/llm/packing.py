@@ -38,6 +38,8 @@ STREAM = 1 << 18
 SENTENCE_CUT, FORCED_CUT = 1, 64
 #: What a window shorter than full costs where its length, a power of two, needs no padding.
 SHORT = 16
+#: Powers of two, from half the window down, that a short window may have where its cut is not free.
+HALVINGS = 4
 #: Words whose ids a Python worker keeps, and texts it handles at once.
 KEPT, CHUNK = 600_000, 256
 #: Sequence ids are this many apart from task to task.
@@ -147,11 +149,12 @@ class WordTokenizer:
 def choose_cuts(pos: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """Indexes into ``pos`` (0 first, the end last) of the cheapest window ends.
 
-    No two neighbours of ``pos`` are more than ``window`` apart. Where a cut is free a
-    window may be short, with the length of a power of two.
+    No two neighbours of ``pos`` are more than ``window`` apart. A window may be short, with
+    the length of a power of two: any at a free cut, else one of the largest ``HALVINGS``.
     """
     p, pen = pos.tolist(), penalty.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    halves = powers[-HALVINGS:]
     at = {x: i for i, x in enumerate(p)}
     best, back = [0] * len(p), [0] * len(p)
     keys: deque = deque([(0, 0, 0)])  # (best + position, position, index), rising
@@ -161,11 +164,10 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
             keys.popleft()
         cost, _, i = keys[0]
         cost += window - x
-        if not pen[j]:
-            for k in powers:
-                i2 = at.get(x - k)
-                if i2 is not None and best[i2] + SHORT < cost:
-                    cost, i = best[i2] + SHORT, i2
+        for k in powers if not pen[j] else halves:
+            i2 = at.get(x - k)
+            if i2 is not None and best[i2] + SHORT < cost:
+                cost, i = best[i2] + SHORT, i2
         cost += pen[j]
         best[j], back[j] = cost, i
         key = cost + x

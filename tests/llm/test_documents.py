@@ -166,20 +166,19 @@ def test_packing_odd_rows(make):
 def test_cheapest_cuts():
     rng = np.random.default_rng(7)
     for _ in range(60):
-        window = int(rng.choice([8, 16]))
+        window = int(rng.choice([8, 16, 64]))
+
+        def cost(n, penalty):
+            short = n & (n - 1) == 0 and (penalty == 0 or n >= window >> packing.HALVINGS)
+            return min(window - n, packing.SHORT if short else window) + penalty
+
         pos = np.unique(np.concatenate([[0], np.cumsum(rng.integers(1, window + 1, 12))]))
-        pen = rng.integers(0, 9, len(pos))
+        pen = np.where(rng.random(len(pos)) < 0.4, 0, rng.integers(0, 9, len(pos)))
         best = [0] + [None] * (len(pos) - 1)
         for j in range(1, len(pos)):
-            for i in range(j):
-                n = int(pos[j] - pos[i])
-                if n <= window:
-                    c = best[i] + pen[j] + min(window - n, packing.SHORT if n & (n - 1) == 0 else window)
-                    best[j] = c if best[j] is None else min(best[j], c)
+            best[j] = min(best[i] + cost(int(pos[j] - pos[i]), pen[j]) for i in range(j) if pos[j] - pos[i] <= window)
         cuts = packing.choose_cuts(pos, pen, window)
-        ends = [0] + cuts
-        lengths = [int(pos[b] - pos[a]) for a, b in zip(ends, ends[1:])]
-        assert sum(min(window - n, packing.SHORT if n & (n - 1) == 0 else window) for n in lengths) + sum(pen[c] for c in cuts) == best[-1]
+        assert sum(cost(int(pos[b] - pos[a]), pen[b]) for a, b in zip([0] + cuts, cuts)) == best[-1]
 
 
 # ------------------------------------------------------------------ SimHash
