@@ -12,9 +12,9 @@ if merging their text gives back a, b (else the join weighs infinity). A sequenc
 pieces in which every neighbouring pair holds is what merging the whole text gives, so
 exactly one path has a finite weight.
 
-No piece holds a U+2581 after another character, so the lattice has a cut before every
-run of U+2581: its shortest path is put together from those of the segments, and each
-distinct segment is solved once and kept.
+Between two characters that are neighbours in no piece the lattice has a cut, above all
+before every run of U+2581: its shortest path is put together from those of the parts
+between cuts, and each distinct part is solved once and kept.
 
 Defined results: a null text counts as empty; an empty text has no ids; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
-KEPT = 300_000
+KEPT = 400_000
 UNKNOWN_PENALTY = 10.0
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -55,8 +55,11 @@ class Transducer:
         self.longest = max(map(len, self.pieces), default=1)
         self.least = min((s for _, s in self.pieces.values()), default=0.0)
         self.cuts = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
+        # neighbours inside some piece; between any others the lattice has a cut
+        self.inner = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.joins: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str) -> "Transducer":
@@ -72,58 +75,84 @@ class Transducer:
     def normalise(self, text: str) -> str:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
-    def merged(self, text: str) -> list[str]:
-        """``text`` by merging: the neighbours whose union scores best, the first of equals, until none is a piece."""
+    def merged(self, text: str, cut: int = 0) -> list[str] | None:
+        """``text`` by merging: the neighbours whose union scores best, the first of equals, until none is a piece.
+
+        None as soon as a merge crosses the place ``cut``, if that is not 0.
+        """
+        score = lambda x: self.pieces[x][1] if x in self.pieces else -math.inf
         parts = list(text)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                got = self.pieces.get(parts[i] + parts[i + 1])
-                if got and (best is None or got[1] > best[0]):
-                    best = (got[1], i)
-            if best is None:
-                return parts
-            i = best[1]
+        scores = [score(a + b) for a, b in zip(parts, parts[1:])]
+        ends = list(range(1, len(parts) + 1))
+        while scores:
+            best = max(scores)
+            if best == -math.inf:
+                break
+            i = scores.index(best)
+            if ends[i] == cut:
+                return None
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i], ends[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i])
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1])
+        return parts
 
     def join(self, a: str, b: str) -> bool:
         """Whether piece ``b`` may follow piece ``a``, or with an empty ``a`` begin a segment."""
+        if a and a + b in self.pieces:
+            return False  # these two would merge
+        if a and a[-1] + b[0] not in self.inner:
+            a = ""  # nothing can merge across
         known = self.joins.get((a, b))
         if known is None:
             if len(self.joins) > KEPT:
                 self.joins.clear()
-            known = self.joins[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.joins[a, b] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
         return known
 
     def arcs(self, text: str, end: int) -> Iterator[tuple[int, str, float]]:
-        """(start, piece, weight) of the arcs that end at a place, longest piece first."""
+        """(start, piece, weight) of the unigram arcs that end at a place, longest piece first."""
         for start in range(max(0, end - self.longest), end):
             got = self.pieces.get(text[start:end])
             if got:
-                yield start, text[start:end], -got[1] if self.type == UNIGRAM else 0.0
+                yield start, text[start:end], -got[1]
         if text[end - 1:end] not in self.pieces:
-            yield end - 1, text[end - 1:end], UNKNOWN_PENALTY - self.least if self.type == UNIGRAM else 0.0
+            yield end - 1, text[end - 1:end], UNKNOWN_PENALTY - self.least
 
     def shortest(self, text: str) -> list[str]:
         """The pieces on the shortest path through the lattice of ``text``."""
-        best: list[float] = [0.0] + [math.inf] * len(text)
-        back: list[tuple[int, str]] = [(0, "")] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start, piece, weight in self.arcs(text, end):
-                if best[start] + weight < best[end]:
-                    if self.type == BPE and not self.join(back[start][1], piece):
-                        continue
-                    best[end], back[end] = best[start] + weight, (start, piece)
-                    if self.type == BPE:  # the one path to this place
-                        break
+        last = self._merging(text) if self.type == BPE else self._lightest(text)
         out, end = [], len(text)
-        if math.isinf(best[end]):
-            raise ValueError("no path")
         while end:
-            end, piece = back[end]
-            out.append(piece)
+            out.append(last[end])
+            end -= len(last[end])
         return out[::-1]
 
+    def _merging(self, text: str) -> list[str]:
+        """The last piece of the one path of finite weight to each place."""
+        pieces, join, longest = self.pieces, self.join, self.longest
+        last = [""] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = text[start:end]
+                if (piece in pieces or end - start == 1) and join(last[start], piece):
+                    last[end] = piece
+                    break
+            else:
+                raise ValueError("no path")
+        return last
+
+    def _lightest(self, text: str) -> list[str]:
+        """The last piece of the lightest path to each place."""
+        best, last = [0.0] + [math.inf] * len(text), [""] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for start, piece, weight in self.arcs(text, end):
+                if best[start] + weight < best[end]:
+                    best[end], last[end] = best[start] + weight, piece
+        return last
+
     def ids_of(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got:
@@ -131,17 +160,34 @@ class Transducer:
         raw = piece.encode("utf-8", "surrogatepass")
         return [self.bytes[b] for b in raw] if all(b in self.bytes for b in raw) else [self.unknown]
 
+    def _solve(self, segment: str) -> tuple[int, ...]:
+        """The ids of a segment: those of its parts between cuts, each solved once."""
+        at = [0] + [i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.inner] + [len(segment)]
+        out: list[int] = []
+        for i, j in zip(at, at[1:]):
+            part = segment[i:j]
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = tuple(x for p in self.shortest(part) for x in self.ids_of(p))
+                self._keep(self.parts, part, ids)
+            out.extend(ids)
+        return tuple(out)
+
+    @staticmethod
+    def _keep(where: dict, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= 64:
+            if len(where) >= KEPT:
+                where.clear()
+            where[text] = ids
+
     def encode(self, text: str | None) -> list[int]:
         norm = self.normalise(text or "")
         out: list[int] = []
         for segment in _SEGMENT.findall(norm) if self.cuts else [norm] * bool(norm):
             ids = self.kept.get(segment)
             if ids is None:
-                ids = tuple(i for p in self.shortest(segment) for i in self.ids_of(p))
-                if len(segment) <= 64:
-                    if len(self.kept) >= KEPT:
-                        self.kept.clear()
-                    self.kept[segment] = ids
+                ids = self._solve(segment)
+                self._keep(self.kept, segment, ids)
             out.extend(ids)
         return out
 
