@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
-KEPT = 400_000
+KEPT = 120_000
 UNKNOWN_PENALTY = 10.0
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
