@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are what four regular expressions find (e-mail, IP address, payment card, phone).
-Every word with a digit or an @ is an instance; the two and the three words before it
+A whole base span is an instance, and so is every other word with a digit or an @; words
+that are numbers, one after the other, are one instance. Numbers, cards and phones are known
+by their digits, however they are grouped. The two and the three words before an instance
 are its lexical patterns. The distinct (pattern, instance) edges of the whole corpus form
 a graph. In each round a pattern's confidence for a kind is the score its instances have
 for that kind, over their number; patterns of enough instances and confidence pass their
 confidence on, and instances whose combined score is high enough become known for the
-next round. Words learned this way are added as spans of that kind wherever they occur.
+next round. Known instances are added as spans of that kind wherever else they occur.
 
 Defined results: a null text counts as empty; a document without matches has an empty
 ``spans`` and the digest of the empty string; rows equal in id and text get equal
@@ -29,13 +31,19 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Characters before a word in which its context is looked for.
+#: Base spans are masked, a first character and the others; no length changes.
+FIRST, REST = "\ue000", "\ue001"
+_EDGE = rf"[^\s\p{{L}}\p{{N}}@{FIRST}{REST}]*+"
+_NUMBER = rf"[+(]*+[0-9](?:[().+/-]*+[0-9])*+\)?+(?={_EDGE}(?!\S))"
+#: In a masked text: a base span, a run of numbers, or a word with a digit or an @ that touches no span.
+UNIT = (rf"{FIRST}{REST}*+|(?<!\S){_EDGE}{_NUMBER}(?:[ \t]++{_NUMBER})*+{_EDGE}"
+        rf"|(?<!\S)[^\s0-9@{FIRST}{REST}]*+[0-9@][^\s{FIRST}{REST}]*+(?!\S)")
+#: Characters before an instance in which its context is looked for.
 CONTEXT = 64
 ROUNDS = 3
 #: Instances that a pattern needs, and the confidence; the score that an instance needs.
 SUPPORT, CONFIDENCE, ACCEPT = 5, 0.8, 0.9
-#: Digits that a learned word needs unless it has an @.
+#: Digits that a learned instance needs unless it has an @.
 DIGITS = 4
 
 _FOUND = "array<struct<start:int,end:int,value:string,before:string>>"
@@ -91,37 +99,60 @@ def _lexical(before: Column) -> Column:
     return F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")))
 
 
+def _seeds(place: int, kind: str) -> Column:
+    """array<struct<start, end, kind, instance>> of a base column; cards and phones are known by their digits."""
+    node = _digits if kind in ("card", "phone") else lambda value: value
+    return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(place).alias("kind"),
+                                                node(x["value"]).alias("instance")))
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """``text`` with the characters of the sorted spans ``base`` masked."""
+    def step(acc: Column, x: Column) -> Column:
+        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(FIRST), F.repeat(F.lit(REST), x["end"] - x["start"] - 1))
+        more = F.concat(acc["out"], F.repeat(F.lit(REST), x["end"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(more).alias("out"))
+
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(
+        base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, email, ip, card, phone, words): spans of every row, without the text."""
+    """(doc_id, row_key, email, ip, card, phone, units): spans of every row, without the text."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
-                      *[base_spans(text, k).alias(k) for k in KINDS], _matches(text, WORD).alias("words"))
-    base = F.concat(*_kinded())
-    # a word that begins a base span is a seed of its kind; one that only overlaps a span is left out
-    met = out.withColumn("base", base).withColumn("words", F.transform("words", lambda w: F.struct(
-        w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), w["before"].alias("before"),
-        F.filter(F.col("base"), lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])).alias("met"))))
-    words = F.transform("words", lambda w: F.struct(
-        w["start"].alias("start"), w["end"].alias("end"), w["value"].alias("value"), w["before"].alias("before"),
-        F.when(F.size(w["met"]) > 0, w["met"][0]["kind"]).alias("kind"),
-        ((F.size(w["met"]) > 0) & F.forall(w["met"], lambda b: b["start"] < w["start"])).alias("inside")))
+                      *[base_spans(text, k).alias(k) for k in KINDS], F.translate(text, FIRST + REST, "\ufffd\ufffd").alias("clean"))
+    out = out.withColumn("base", F.array_sort(F.concat(*[_seeds(i, k) for i, k in enumerate(KINDS)]))).withColumn("masked", _masked(F.col("clean"), F.col("base")))
+    # spans that overlap are one unit with the seeds of each
+    units = F.transform(_matches(F.col("masked"), UNIT), lambda u: F.struct(
+        u["start"].alias("start"), u["value"].alias("value"), u["before"].alias("before"),
+        F.when(F.startswith(u["value"], F.lit(FIRST)), F.transform(
+            F.filter("base", lambda b: (b["start"] >= u["start"]) & (b["start"] < u["end"])),
+            lambda b: F.struct(b["kind"].alias("kind"), b["instance"].alias("instance")))).alias("seeds")))
     bare = lambda k: F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return met.select("doc_id", "row_key", *[bare(k).alias(k) for k in KINDS],
-                      F.filter(words, lambda w: ~w["inside"]).alias("words"))
+    return out.select("doc_id", "row_key", *[bare(k).alias(k) for k in KINDS],
+                      F.transform(units, lambda u: F.struct(u["start"].alias("start"), F.when(u["seeds"].isNull(), u["value"]).alias("value"),
+                                                            u["before"].alias("before"), u["seeds"].alias("seeds"))).alias("units"))
 
 
 def _occurrences(scanned: DataFrame) -> DataFrame:
-    """(row_key, instance, kind, start, end, patterns) of every word with a digit or an @."""
-    words = scanned.select("row_key", F.explode("words").alias("w")).select("row_key", "w.*")
-    core = F.regexp_replace(F.col("value"), r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]++$", "")
-    lead = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}+]+", 0))
-    return (words.withColumn("instance", core).withColumn("from", F.col("start") + lead)
-            .select("row_key", "instance", "kind", F.col("from").alias("start"), (F.col("from") + F.length("instance")).alias("end"),
-                    _lexical(F.col("before")).alias("patterns")).where(F.length("instance") > 0))
+    """(row_key, instance, kind, start, end, patterns) of every seed (without its place) and every other instance."""
+    units = scanned.select("row_key", F.explode("units").alias("u")).select("row_key", "u.*").withColumn("patterns", _lexical(F.col("before")))
+    seeds = units.select("row_key", "patterns", F.explode("seeds").alias("s")).select(
+        "row_key", "s.instance", "s.kind", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "patterns")
+    # an area code's bracket belongs to the number
+    lead = r"^(?:(?!\([0-9]++\).*[0-9])[^\p{L}\p{N}+])++"
+    core = F.regexp_replace(F.col("value"), lead + r"|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    words = units.where("seeds is null").withColumn("core", core).withColumn("from", F.col("start") + F.length(F.regexp_extract("value", lead, 0)))
+    number = ~F.col("core").rlike(r"[\p{L}@]|^[0-9]++(?:\.[0-9]++){3}$")
+    return seeds.unionByName(words.where(F.length("core") > 0).select(
+        "row_key", F.when(number & (_digits(F.col("core")) != ""), _digits(F.col("core"))).otherwise(F.col("core")).alias("instance"),
+        F.lit(None).cast("int").alias("kind"), F.col("from").alias("start"), (F.col("from") + F.length("core")).alias("end"), "patterns"))
 
 
 def learn(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind) of the words that are no seeds but that confident patterns give a kind."""
+    """(instance, kind) of the seeds and of what confident patterns give a kind."""
     edges = frozen(occurrences.select(F.explode("patterns").alias("pattern"), "instance").where("pattern is not null").distinct(), "pii-edges")
     known = frozen(occurrences.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
                    .select("instance", "kind", F.lit(1.0).alias("score"), F.lit(0).alias("round")), "pii-known")
@@ -141,7 +172,7 @@ def learn(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if new.isEmpty():
             break
         known = known.unionByName(new)
-    return known.where("round > 0").select("instance", "kind")
+    return known.select("instance", "kind")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -155,7 +186,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     learned = learn(occurrences, rounds)
     found = (occurrences.where("kind is null").drop("kind").join(learned, "instance").groupBy("row_key")
              .agg(F.collect_set(F.struct("kind", "start", "end")).alias("found")))
-    return scanned.drop("words").join(found, "row_key", "left").withColumn(
+    return scanned.drop("units").join(found, "row_key", "left").withColumn(
         "found", F.coalesce("found", F.array().cast("array<struct<kind:int,start:int,end:int>>")))
 
 

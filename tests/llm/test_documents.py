@@ -74,6 +74,19 @@ def test_pii_learns_from_context(make):
     assert got[100] == "email:16:24" and got[101] == "email:7:15" and got[102] == ""
 
 
+def test_pii_learns_grouped_numbers(make):
+    """Whole phones and cards are instances, also unseen ones of several words."""
+    rows = [(i, f"you may call me at +1 (52{i}) 555-10{i}5 now") for i in range(7)]
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004", "4012 8888 8888 1881", "5105 1051 0510 5100"]
+    rows += [(20 + i, f"the bill goes to {c} as ever") for i, c in enumerate(cards)]
+    rows += [(100, "you may call me at (743) 555-3824, or at noon"), (101, "he wrote (743) 555-3824 on it"), (102, "it has 555-3824 pages"),
+             (103, "the bill goes to 4111 1111 1111 1112 as ever"), (104, "room 15215551015, floor 12"), (105, "in 2020 2021 to me at x")]
+    got = {r.doc_id: r.spans for r in pii.report(make(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "phone:19:33" and got[101] == "phone:9:23" and got[102] == "" and got[105] == ""
+    assert got[103] == "card:17:36" and got[104] == "phone:5:16"
+    assert [got[i] for i in range(7)] == ["phone:19:36"] * 7 and [got[20 + i].split(":")[0] for i in range(6)] == ["card"] * 6
+
+
 def test_pii_redact(make):
     docs = make([(1, "a b@c.de é +1 (743) 555-3824!", 5), (2, None, None), (3, "plain", 7)], "doc_id long, text string, n_chars long")
     got = pii.redact(docs)
