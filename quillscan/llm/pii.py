@@ -4,11 +4,11 @@ Seeds are what four regular expressions find (e-mail, IP address, payment card,
 A whole base span is an instance, and so is every other word with a digit or an @; words
 that are numbers, one after the other, are one instance. Numbers, cards and phones are known
 by their digits, however they are grouped. The two and the three words before an instance
-are its lexical patterns. The distinct (pattern, instance) edges of the whole corpus form
+are its lexical patterns, an instance among them counting as the word 0. The distinct (pattern, instance) edges of the whole corpus form
 a graph. In each round a pattern's confidence for a kind is the score its instances have
 for that kind, over their number; patterns of enough instances and confidence pass their
 confidence on, and instances whose combined score is high enough become known for the
-next round. Known instances are added as spans of that kind wherever else they occur.
+next round, until a round adds none. Known instances are added as spans of that kind wherever else they occur.
 
 Defined results: a null text counts as empty; a document without matches has an empty
 ``spans`` and the digest of the empty string; rows equal in id and text get equal
@@ -18,9 +18,12 @@ results, one row each; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .common import frozen, row_key
 
 # Each is its published form with possessive loops and a check that a match can't have begun
@@ -38,9 +41,6 @@ _NUMBER = rf"[+(]*+[0-9](?:[().+/-]*+[0-9])*+\)?+(?={_EDGE}(?!\S))"
 #: In a masked text: a base span, a run of numbers, or a word with a digit or an @ that touches no span.
 UNIT = (rf"{FIRST}{REST}*+|(?<!\S){_EDGE}{_NUMBER}(?:[ \t]++{_NUMBER})*+{_EDGE}"
         rf"|(?<!\S)[^\s0-9@{FIRST}{REST}]*+[0-9@][^\s{FIRST}{REST}]*+(?!\S)")
-#: Characters before an instance in which its context is looked for.
-CONTEXT = 64
-ROUNDS = 3
 #: Instances that a pattern needs, and the confidence; the score that an instance needs.
 SUPPORT, CONFIDENCE, ACCEPT = 5, 0.8, 0.9
 #: Digits that a learned instance needs unless it has an @.
@@ -49,18 +49,30 @@ DIGITS = 4
 _FOUND = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches with code-point offsets: the pieces between matches give the places."""
+def _last(text: Column) -> Column:
+    """The last three words, as letters in lower case."""
+    return F.regexp_extract(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}:=#\s]++", ""), r"(?<!\S)(?:\S++\s++){0,2}\S++(?=\s*+$)", 0)
+
+
+def _matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """All matches with code-point offsets: the pieces between matches give the places.
+
+    ``before`` is null, or with ``context`` the last three words before, a match counting as the word 0.
+    """
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     zipped = F.transform(zipped, lambda x: F.struct(x["piece"].alias("piece"), x["hit"].alias("hit")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["piece"], F.lit(CONTEXT)).alias("before")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        before = F.when(x["hit"].isNotNull(), _last(F.concat_ws(" ", acc["tail"], x["piece"]))) if context else F.lit(None).cast("string")
+        return tx.bind(before, lambda w: F.struct(
+            end.alias("at"), F.concat(w, F.lit(" 0")).alias("tail"),
+            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
+                start.alias("start"), end.alias("end"), x["hit"].alias("value"), w.alias("before"))))).alias("out")))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("tail"), F.array().cast(_FOUND).alias("out")),
+                       step, lambda acc: acc["out"])
 
 
 def _digits(value: Column) -> Column:
@@ -93,9 +105,8 @@ def _kinded() -> list[Column]:
 
 
 def _lexical(before: Column) -> Column:
-    """The patterns of a word: the two and the three words before it, as letters in lower case."""
-    last = F.regexp_extract(before, r"((?:\S+\s+){0,2}\S+)\s*$", 1)
-    words = F.split(F.trim(F.regexp_replace(F.lower(last), r"[^\p{L}\p{N}:=#\s]+", "")), r"\s+")
+    """The patterns of an instance: the two and the three words before it."""
+    words = F.split(F.trim(before), r"\s+")
     return F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")))
 
 
@@ -125,7 +136,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                       *[base_spans(text, k).alias(k) for k in KINDS], F.translate(text, FIRST + REST, "\ufffd\ufffd").alias("clean"))
     out = out.withColumn("base", F.array_sort(F.concat(*[_seeds(i, k) for i, k in enumerate(KINDS)]))).withColumn("masked", _masked(F.col("clean"), F.col("base")))
     # spans that overlap are one unit with the seeds of each
-    units = F.transform(_matches(F.col("masked"), UNIT), lambda u: F.struct(
+    units = F.transform(_matches(F.col("masked"), UNIT, context=True), lambda u: F.struct(
         u["start"].alias("start"), u["value"].alias("value"), u["before"].alias("before"),
         F.when(F.startswith(u["value"], F.lit(FIRST)), F.transform(
             F.filter("base", lambda b: (b["start"] >= u["start"]) & (b["start"] < u["end"])),
@@ -151,12 +162,12 @@ def _occurrences(scanned: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("kind"), F.col("from").alias("start"), (F.col("from") + F.length("core")).alias("end"), "patterns"))
 
 
-def learn(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def learn(occurrences: DataFrame, rounds: int | None = None) -> DataFrame:
     """(instance, kind) of the seeds and of what confident patterns give a kind."""
     edges = frozen(occurrences.select(F.explode("patterns").alias("pattern"), "instance").where("pattern is not null").distinct(), "pii-edges")
     known = frozen(occurrences.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
                    .select("instance", "kind", F.lit(1.0).alias("score"), F.lit(0).alias("round")), "pii-known")
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1) if rounds is None else range(1, rounds + 1):
         share = [(F.sum(F.when(F.col("kind") == i, F.col("score")).otherwise(0.0)) / F.count("*")) for i in range(len(KINDS))]
         best = F.array_max(F.array(*[F.struct(s.alias("confidence"), F.lit(-i).alias("minus_kind")) for i, s in enumerate(share)]))
         patterns = (edges.join(known, "instance", "left").groupBy("pattern").agg(F.count("*").alias("n"), best.alias("b"))
@@ -172,10 +183,12 @@ def learn(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if new.isEmpty():
             break
         known = known.unionByName(new)
+        if r % 8 == 0:
+            known = frozen(known, "pii-known")
     return known.select("instance", "kind")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """(doc_id, row_key, email, ip, card, phone, found): spans of every row.
 
     The four base columns are array<struct<start, end>>, ``found`` is

@@ -87,6 +87,18 @@ def test_pii_learns_grouped_numbers(make):
     assert [got[i] for i in range(7)] == ["phone:19:36"] * 7 and [got[20 + i].split(":")[0] for i in range(6)] == ["card"] * 6
 
 
+def test_pii_context_and_rounds(make):
+    """A context reaches over numbers and long words, and what only a fourth round reaches is found."""
+    rows = [(i, f"ticket 55{i} user{i}@mail.example.com") for i in range(20)] + [(100, "ticket 777 joe99123")]
+    rows += [(20 + i, f"{'w' * 90} at desk{i}@mail.example.com") for i in range(20)] + [(101, f"{'w' * 90} at ann99123, {'v' * 90} at bob99123")]
+    chain = [[f"{'s' * (k + 1)}{10000 + j}{'@mail.example.com' * (k == 0)}" for j in range(n)] for k, n in enumerate((1300, 220, 37, 7, 1))]
+    rows += [(200 + k, " ".join(f"send mail{'abcd'[k]} to {x}" for x in chain[k] + chain[k + 1])) for k in range(4)]
+    got = {r.doc_id: r for r in pii.report(make(rows, "doc_id long, text string")).collect()}
+    assert got[100].spans == "email:11:19" and got[101].spans == "email:94:102"
+    assert [got[200 + k].n_found for k in range(4)] == [220, 220 + 37, 37 + 7, 7 + 1]
+    assert got[203].n_email == 0
+
+
 def test_pii_redact(make):
     docs = make([(1, "a b@c.de é +1 (743) 555-3824!", 5), (2, None, None), (3, "plain", 7)], "doc_id long, text string, n_chars long")
     got = pii.redact(docs)
