@@ -6,8 +6,9 @@ folded into one sparse vector by one aggregate. The vectors are written to the s
 folder as a table, and all fits and folds read that. Solvers are MLlib's; the penalty is
 1 / (C n), as in a linear model with penalty strength C.
 
-``MAX_ROWS`` is the documented bound on labelled rows of a fit: beyond it, rows are drawn
-by a hash of their key. Everything else covers all rows.
+``MAX_ROWS`` is the documented bound on the labelled training rows given to a solver and
+its calibration: beyond it, rows are drawn by a hash of their key. Vocabularies, idf,
+scaling and the scored test rows cover all rows.
 """
 
 from __future__ import annotations
@@ -160,10 +161,14 @@ def soft_vote(df: DataFrame, ensembles: list[list[tuple]]) -> DataFrame:
 
 
 def fit_binary(split: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS, max_iter: int | None = None) -> tuple[DataFrame, list[list[tuple]]]:
-    """(vectors with label, is_test and fold; the two calibrated ensembles)."""
-    rows = win.folds(bounded(split, "text", max_rows), "label", "text", folds)
-    rows = store(binary_rows(rows), "binary-rows")
-    vocabularies = [a.fit(rows.where(~F.col("is_test")), "text") for a in BINARY]
+    """(vectors of the solvers' rows and of all test rows, with label, is_test and fold; the two calibrated ensembles).
+
+    Vocabulary and idf come from all training rows; a test row has no fold.
+    """
+    rows = store(binary_rows(split), "binary-rows")
+    training = rows.where(~F.col("is_test"))
+    vocabularies = [a.fit(training, "text") for a in BINARY]
+    rows = win.folds(bounded(training, "text", max_rows), "label", "text", folds).unionByName(rows.where("is_test"), allowMissingColumns=True)
     vectors = vectorise(rows.withColumn("doc", F.col("text")), ["doc"], "text", BINARY, vocabularies, fx.SCREEN_FEATURES).drop("doc")
     train = vectors.where(~F.col("is_test")).select("features", "label", "fold").coalesce(FIT_PARTITIONS).persist()
     try:
@@ -216,17 +221,18 @@ def fit_pattern(corpus: DataFrame, folds: int = PATTERN_FOLDS, max_rows: int = M
                 max_iter: int = PATTERN_ITER) -> tuple[DataFrame, PatternModel]:
     """I13 with balanced weights (I17) and 3-fold isotonic calibration.
 
-    Returns the test rows' vectors (``label`` as index, ``macro_label``) and the model.
-    Vocabulary, idf and scaling come from all rows of the bounded corpus, the linear
-    models from the 80 % training part.
+    Returns the vectors of all test rows (``label`` as index, ``macro_label``) and the model.
+    As in the original, vocabulary, idf and scaling come from all rows of the corpus, the
+    linear models from the 80 % training part, of which ``max_rows`` bounds the rows.
     """
-    rows = bounded(corpus.withColumnRenamed("dyslexic_sentence", "text"), "row_key", max_rows)
-    rows = win.folds(win.stratified_split(rows, "macro_label", "row_key", 0.2), "macro_label", "row_key", folds)
+    rows = win.stratified_split(corpus.withColumnRenamed("dyslexic_sentence", "text"), "macro_label", "row_key", 0.2)
     index = StringIndexer(inputCol="macro_label", outputCol="label", stringOrderType="alphabetAsc").fit(rows)         # I7
     rows = store(fx.with_structured_features(index.transform(rows), "text"), "pattern-rows")
     vocabularies = [a.fit(rows, "text") for a in PATTERN]
     stats = vz.fit_scaler(rows, fx.STRUCTURED_FEATURES).first()                                                       # D23
     scaler = {c: (stats[f"{c}__mean"], stats[f"{c}__std"]) for c in fx.STRUCTURED_FEATURES}
+    rows = win.folds(bounded(rows.where(~F.col("is_test")), "row_key", max_rows), "macro_label", "row_key", folds).unionByName(
+        rows.where("is_test"), allowMissingColumns=True)
     vectors = vectorise(rows, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, scaler)             # I6
     train = vectors.where(~F.col("is_test")).select("features", "label", "macro_label", "fold").coalesce(FIT_PARTITIONS).persist()
     members = []

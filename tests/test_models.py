@@ -41,6 +41,30 @@ def test_rows_are_bounded_only_by_the_parameter(split):
     assert 100 < n < 300
 
 
+def _widths(analyzers, rows, dense):
+    return sum(a.fit(rows, "text").count() for a in analyzers) + len(dense)
+
+
+def test_only_solver_rows_are_bounded(spark, split):
+    """binary_model_eval: all test rows are scored, and all training rows make the vocabulary."""
+    vectors, _ = md.fit_binary(split, folds=2, max_rows=200, max_iter=2)
+    n = {r.is_test: r["count"] for r in vectors.groupBy("is_test").count().collect()}
+    assert n[True] == split.where("is_test").count() and 100 < n[False] < 300
+    assert vectors.first().features.size == _widths(md.BINARY, split.where("not is_test"), md.fx.SCREEN_FEATURES)
+
+
+def test_only_solver_rows_are_bounded_pattern(spark):
+    """pattern_model_eval: the same, with vocabulary and scaling of the whole corpus."""
+    essays = tb.essays(spark, SF_SMALL).where("essay_id < 12")
+    corpus = cb.pattern_corpus([tb.pairs_from_essays(essays)], keep_key=True)
+    rows = win.stratified_split(corpus.withColumnRenamed("dyslexic_sentence", "text"), "macro_label", "row_key", 0.2)
+    test, model = md.fit_pattern(corpus, folds=2, max_rows=200, max_iter=2)
+    assert test.count() == rows.where("is_test").count()
+    assert test.first().features.size == _widths(md.PATTERN, rows, md.fx.STRUCTURED_FEATURES)
+    means = md.vz.fit_scaler(md.fx.with_structured_features(rows, "text"), md.fx.STRUCTURED_FEATURES).first()
+    assert all(abs(model.scaler[c][0] - means[f"{c}__mean"]) < 1e-9 for c in md.fx.STRUCTURED_FEATURES)
+
+
 def test_pattern_probabilities(spark):
     essays = tb.essays(spark, SF_SMALL).where("essay_id < 12")
     corpus = cb.pattern_corpus([tb.pairs_from_essays(essays)], keep_key=True)
