@@ -468,7 +468,7 @@ def learned_weights(spark: SparkSession, sf: str) -> DataFrame:
     from . import models as md
     p = rv.map_labels(tb.pairs(spark, sf)).na.drop(subset=["label"])
     c, d = F.col("clean_sentence"), F.col("dyslexic_sentence")
-    feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d))
+    feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d, aligned=True))
     return md.learn_weights(spark, feats)
 
 
@@ -497,7 +497,7 @@ def sentence_labels_binary(spark: SparkSession, sf: str) -> DataFrame:
           "m AS (SELECT CASE WHEN dominant_pattern IN ('Word Boundary Confusion', 'Mixed Essay Pattern') THEN 'Mixed Dyslexic Pattern' "
           "ELSE dominant_pattern END AS dominant_pattern FROM p) SELECT dominant_pattern, count(*) AS count FROM m GROUP BY 1")
 def dominant_merged_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """H58 over the rule-based profile, counted."""
+    """H58 over the rule-based profile with the stand-in ``edit_counts``, counted."""
     from ..operators import rules_v1 as rv
     p = rl.rule_profile(tb.essays(spark, sf))
     return co.value_counts(p.select(rv.merge_rare(F.col("dominant_pattern")).alias("dominant_pattern")), "dominant_pattern")
