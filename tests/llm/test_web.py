@@ -36,6 +36,14 @@ def pages():
     return duckdb.sql(f"select page_id, url, html from '{SF}/pages.parquet'").fetchall()
 
 
+def test_tool_levels_without_positions(spark):
+    """op7_tool_calls: a null position is out of order, so that depths and cycles are found."""
+    rows = [(1, "a", None, []), (1, "b", None, ["a"]), (1, "c", 3, ["b"]), (2, "x", None, ["y"]), (2, "y", 1, ["x"]), (3, "p", 1, []), (3, "q", 2, ["p"])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, position long, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(calls).collect()}
+    assert got == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (2, "x"): -1, (2, "y"): -1, (3, "p"): 0, (3, "q"): 0}
+
+
 def test_warc_whole_table(spark):
     check_warc(pages(), queries.op4_warc(spark, SF).collect())
 
