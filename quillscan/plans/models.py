@@ -39,7 +39,7 @@ FOLDS, PATTERN_FOLDS = 5, 3
 LR_C, LR_ITER = 1.0, 1000
 SVC_C, SVC_ITER = 0.5, 2000
 PATTERN_C, PATTERN_ITER = 1.0, 5000
-TOLERANCE = 1e-3
+TOLERANCE = 1e-4
 
 
 def bounded(df: DataFrame, key: str, rows: int = MAX_ROWS) -> DataFrame:

@@ -35,6 +35,10 @@ def test_binary_soft_vote(spark, split, tmp_path):
         assert 0 <= blocks[0] <= 2 + 1e-9 and list(r.features.indices) == sorted(set(r.features.indices))
 
 
+def test_tolerance():
+    assert md.TOLERANCE == 1e-4
+
+
 def test_rows_are_bounded_only_by_the_parameter(split):
     assert md.bounded(split, "text", 10 ** 6).count() == split.count()
     n = md.bounded(split, "text", 200).count()
