@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from quillscan.functions import text as tx
 from quillscan.operators import corpus as co
 from quillscan.operators import evaluate as ev

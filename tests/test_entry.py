@@ -1,7 +1,7 @@
 """Driver contract smoke tests and stream = batch."""
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 
 def test_entry_runs(spark):

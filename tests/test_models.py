@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from quillscan.operators import windows as win
 from quillscan.plans import corpus_builds as cb
 from quillscan.plans import models as md
