@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from conftest import ODD_TEXTS, SF
+from llm_data import ODD_TEXTS, SF
 from pyspark.sql import functions as F
 
 from quillscan.llm import langid, packing, pii, queries, simhash

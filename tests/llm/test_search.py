@@ -4,7 +4,7 @@ import collections
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF
+from llm_data import SF
 from pyspark.sql import functions as F
 
 from quillscan.llm import ann, knn, queries

@@ -10,7 +10,7 @@ import re
 
 import duckdb
 import pytest
-from conftest import ODD_TEXTS, SF
+from llm_data import ODD_TEXTS, SF
 from pyspark.sql import functions as F
 
 from quillscan.llm import queries, spwfst, toolcalls, urlfilter, warc
