@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, knn, langid, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
+from . import ann, knn, langid, merkle, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -122,3 +122,51 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spwfst.encode_table(table(spark, sf_dir, "documents"), model)
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        spwfst.round_trip(F.col("ids"), F.col("text"), model).alias("round_trip"))
+
+
+#: A step of CRC-32 over the digits of the id, and the tree level by level.
+MERKLE_SQL = """
+WITH RECURSIVE crcs AS (
+    SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+                          lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                                                   lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))) AS inverse FROM documents),
+parts AS (SELECT doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                 || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                 text, CASE WHEN xor(inverse, 4294967295::BIGINT) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                            ELSE text END AS changed FROM crcs),
+hashes AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                  sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered FROM parts),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM hashes),
+up(lang, level, idx, digest, n) AS (
+    SELECT lang, 0, idx, leaf, n FROM leaves
+    UNION ALL
+    SELECT lang, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY lang, level, idx // 8, n),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS top, count(*) OVER () AS tops FROM up WHERE n = 1),
+above(level, idx, digest, n) AS (
+    SELECT 0, top, subroot, tops FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM above WHERE n > 1 GROUP BY level, idx // 8, n),
+climb(lang, leaf_idx, level, idx, n, folded, proof) AS (
+    SELECT lang, idx, 0, idx, n, tampered, '' FROM leaves
+    UNION ALL
+    SELECT c.lang, c.leaf_idx, c.level + 1, c.idx // 8, (c.n + 7) // 8,
+           sha256(string_agg(CASE WHEN u.idx = c.idx THEN c.folded ELSE u.digest END, '' ORDER BY u.idx)),
+           c.proof || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx <> c.idx), '')
+    FROM climb c JOIN up u ON u.lang IS NOT DISTINCT FROM c.lang AND u.level = c.level AND u.idx // 8 = c.idx // 8
+    WHERE c.n > 1 GROUP BY c.lang, c.leaf_idx, c.level, c.idx, c.n, c.folded, c.proof),
+last(lang, leaf_idx, level, idx, n, folded, proof) AS (
+    SELECT c.lang, c.leaf_idx, 0, s.top, s.tops, c.folded, c.proof FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+    UNION ALL
+    SELECT c.lang, c.leaf_idx, c.level + 1, c.idx // 8, (c.n + 7) // 8,
+           sha256(string_agg(CASE WHEN u.idx = c.idx THEN c.folded ELSE u.digest END, '' ORDER BY u.idx)),
+           c.proof || coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx <> c.idx), '')
+    FROM last c JOIN above u ON u.level = c.level AND u.idx // 8 = c.idx // 8
+    WHERE c.n > 1 GROUP BY c.lang, c.leaf_idx, c.level, c.idx, c.n, c.folded, c.proof)
+SELECT l.doc_id, l.leaf, s.subroot, a.digest AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = a.digest AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN above a ON a.n = 1
+     JOIN last e ON e.lang IS NOT DISTINCT FROM l.lang AND e.leaf_idx = l.idx AND e.n = 1"""
+
+
+@register("op11_merkle", MERKLE_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
