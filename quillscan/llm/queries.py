@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, knn, langid, merkle, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
+from . import ann, centroids, knn, langid, merkle, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -170,3 +170,27 @@ FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN above a
 @register("op11_merkle", MERKLE_SQL)
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and means, written out one after the other."""
+    parts = ["""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+             FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+             "flat AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM kept)",
+             f"""c0 AS MATERIALIZED (SELECT c, unnest(range(64)) AS i, unnest(v) AS x FROM (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c
+             FROM kept ORDER BY c LIMIT {k}))"""]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (SELECT r, c, sum((f.x - m.x) * (f.x - m.x))::BIGINT AS d
+             FROM flat f JOIN c{n} m USING (i) GROUP BY r, c) GROUP BY r)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT m.c, m.i, CASE WHEN t.n IS NULL THEN m.x ELSE CAST((t.s - ((t.s % t.n) + t.n) % t.n) // t.n AS BIGINT) END AS x FROM c{n} m
+             LEFT JOIN (SELECT best.c AS c, i, sum(x)::BIGINT AS s, count(*) AS n FROM flat JOIN a{n} USING (r) GROUP BY ALL) t ON t.c = m.c AND t.i = m.i)""")
+    return "WITH " + ",\n".join(parts) + f"""
+    SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+           CAST(sum(best.d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+    FROM kept JOIN a{rounds} USING (r) JOIN (SELECT c AS number, sha256(string_agg(x, ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c) ON number = best.c"""
+
+
+@register("op12_centroids", _centroid_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
