@@ -38,3 +38,16 @@ def tasks(spark: SparkSession) -> int:
 def row_key(*cols: str):
     """A 64-bit key of a row's content; rows equal in ``cols`` share it."""
     return F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+
+
+def join_named(rows: DataFrame, names: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` with the columns of ``names`` (one row a key; ``copies``: rows of that key), without a hot task.
+
+    At most 1,000 keys can each hold more than a thousandth of all rows: these are broadcast,
+    the rest is joined by shuffles.
+    """
+    total = names.agg(F.sum(copies)).first()[0] or 0
+    hot = F.col(copies) * 1000 > total
+    often = F.broadcast(names.where(hot).drop(copies))
+    few = rows.join(often.select(key), key, "left_anti").join(names.where(~hot).drop(copies), key)
+    return rows.join(often, key).unionByName(few)

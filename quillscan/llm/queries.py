@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, knn, langid, merkle, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
+from . import ann, centroids, knn, langid, merkle, ngramjoin, packing, pii, simhash, spwfst, toolcalls, urlfilter, warc
 from .common import shared_path, table
 
 QUERIES: dict = {}
@@ -194,3 +194,8 @@ def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
 @register("op12_centroids", _centroid_sql())
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_ngram_join")
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.groups(table(spark, sf_dir, "documents"))
