@@ -3,10 +3,12 @@
 A document's set holds its distinct word n-grams, as 64-bit values in one global order:
 n-grams of rare words first, n-grams that many documents share last. Order statistics are
 counts of words and n-grams in buckets, over all documents. Documents of equal sets are one
-class from the start. Two sets above the threshold share an n-gram among the first few of
-each (the prefix), so for every n-gram that lies in the prefix of two classes at least, all
-of these classes are sent to the smallest class key among them; n-grams of the same group of
-near copies name the same key, which keeps a class to few groups.
+class from the start. Two sets above the threshold have near sizes and share several n-grams
+among the first of each (the prefix). For every n-gram that lies in the prefix of two classes
+or more of one band of sizes, the smallest class key among them names a group; n-grams of the
+same near copies name the same key, which keeps a class to few groups. A class with too few
+n-grams in groups has no partner, and groups that hold too few of its n-grams to be its only
+meeting place with a partner are given up.
 
 In a group the sets are stored in a trie. A query walks down it; sets with a common
 beginning share the partial overlap counted so far, and a subtree is left as soon as the
@@ -28,11 +30,13 @@ row each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import frozen, join_named, tasks
@@ -153,10 +157,28 @@ def ordered_set(words: np.ndarray, size: int, order: dict) -> tuple[np.ndarray,
     return hashes, np.sort((rank << np.uint64(58)) | (hashes >> np.uint64(6)))
 
 
+def _can_miss(n: int, num: int, den: int) -> int:
+    """N-grams of a set of ``n`` that a set above ``num/den`` may lack; -1 if only equal sets can be that near."""
+    return -1 if n * den < (n + 1) * num else n + n * -num // den
+
+
+def shared_first(n: int, num: int, den: int) -> int:
+    """How many shared n-grams the prefix of a set of ``n`` is long enough for."""
+    return _can_miss(n, num, den) // 2 + 1
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """N-grams of which two sets above ``num/den`` must share one, if one has ``n``; 0 if only equal sets can be that near."""
-    least = -(-n * num // den)  # the overlap at least
-    return 0 if n * den < (n + 1) * num else n - least + 1
+    """First n-grams of a set of ``n`` that hold ``shared_first`` of those it shares with any set above ``num/den``."""
+    miss = _can_miss(n, num, den)
+    return 0 if miss < 0 else miss + shared_first(n, num, den)
+
+
+def size_bands(n: int, num: int, den: int) -> range:
+    """Bands of set sizes (each half as wide again) in which a set of ``n`` can meet a set of its size or more."""
+    bounds = [den]
+    while bounds[-1] <= n * den // num:
+        bounds.append(bounds[-1] * 3 // 2 + 1)
+    return range(bisect.bisect_right(bounds, n), bisect.bisect_right(bounds, n * den // num) + 1)
 
 
 def _lcp(a: np.ndarray, b: np.ndarray) -> int:
@@ -349,29 +371,40 @@ def links(docs: DataFrame, order: dict, text_col: str = "text", size: int = 3, n
                         yield sig, int.from_bytes(sig[:8], "little", signed=True), codes
 
     def prefixes(batches):
-        schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("least", pa.int32())])
 
         def out(held):
-            sizes = [len(p) for _, _, p in held]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, _, p in held]).view(np.int64)),
-                                               pa.array(np.repeat(np.array([k for k, _, _ in held], np.int64), sizes)),
-                                               pa.array(np.repeat(np.array([n for _, n, _ in held], np.int64), sizes))], schema=schema)
+            sizes = [len(p) for *_, p in held]
+            columns = [np.repeat(np.array([h[i] for h in held]), sizes) for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for *_, p in held]).view(np.int64)), pa.array(columns[0], pa.int64()),
+                                               pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], schema=schema)
 
         held, total = [], 0
         for _, key, codes in distinct(batches):
-            held.append((key, len(codes), codes[:prefix_length(len(codes), num, den)]))
-            total += len(held[-1][2])
+            n = len(codes)
+            first = codes[:prefix_length(n, num, den)]
+            least = shared_first(-(-n * num // den), num, den)  # that its smallest partner's prefix shares with it
+            # the n-gram's value is mixed with the band of sizes
+            held += [(key, n, max(least, 1), first + np.uint64(band * int(_M2) & (1 << 64) - 1)) for band in size_bands(n, num, den)]
+            total += len(held[-1][3])
             if total >= 1 << 17:
                 yield out(held)
                 held, total = [], 0
         if held:
             yield out(held)
 
-    postings = frozen(texts.mapInArrow(prefixes, "gram long, key long, n long"), "ngram-prefixes")
+    postings = frozen(texts.mapInArrow(prefixes, "gram long, key long, n int, least int"), "ngram-prefixes")
     hubs = (postings.groupBy("gram").agg(F.min("key").alias("hub"), F.max("key").alias("other"))
             .where("hub < other").select("gram", "hub"))
-    members = frozen(postings.join(hubs, "gram").select("key", "hub", "n").distinct(), "ngram-members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.sum("n") / group).alias("blocks"))
+    counted = postings.join(hubs, "gram").groupBy("key", "hub", "n", "least").agg(F.count("*").alias("grams"))
+    # two near sets share ``least`` n-grams here: a set with fewer in groups has no partner, and if either set
+    # gives up groups with less than half of that, a group remains in which they meet
+    own = Window.partitionBy("key")
+    running = F.sum("grams").over(own.orderBy("grams", "hub").rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.select("key", "hub", "n", "least", running.alias("running"), F.sum("grams").over(own).alias("total"))
+    members = frozen(counted.where("total >= least AND running > (least - 1) div 2").select("key", "hub", "n"), "ngram-members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.sum("n") / group).alias("blocks"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    members = members.join(sizes, "hub")
 
     # a bitmap of the classes in groups: only their sets travel
     slots = (members.selectExpr(f"shiftright(pmod(key, {BITMAP}L), 5) AS slot", "shiftleft(1L, int(pmod(key, 32L))) AS bit")
@@ -400,7 +433,7 @@ def links(docs: DataFrame, order: dict, text_col: str = "text", size: int = 3, n
             yield out(held)
 
     sets = texts.mapInArrow(wanted, "key long, sig binary, codes binary")
-    dealt = members.join(sizes, "hub").select("key", "hub", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own"))
+    dealt = members.select("key", "hub", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", "hub", F.least("own", "other").alias("h"), F.greatest("own", "other").alias("q"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
