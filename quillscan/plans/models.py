@@ -76,10 +76,11 @@ def store(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataF
 
 
 def vectorise(rows: DataFrame, key: list[str], text_col: str, analyzers: list[Analyzer], vocabularies: list[DataFrame],
-              dense: list[str], scaler: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+              dense: list[str], scaler: dict[str, tuple[float, float]] | None = None, apart: bool = False) -> DataFrame:
     """``rows`` with ``features``: the L2-normalised TF-IDF blocks, then the dense columns.
 
-    One aggregate per ``key``; the columns of ``rows`` ride along.
+    One aggregate per ``key``; the columns of ``rows`` ride along. ``apart``: in place of
+    ``features``, the columns ``indices`` and ``values`` (TF-IDF) and ``dense``.
     """
     offsets, size, table = [], 0, None
     for b, v in enumerate(vocabularies):
@@ -100,6 +101,10 @@ def vectorise(rows: DataFrame, key: list[str], text_col: str, analyzers: list[An
         mean, std = (scaler or {}).get(c, (0.0, 1.0))
         return (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
 
+    if apart:
+        parts = got.withColumn("indices", F.transform("_e", lambda x: x["index"])).withColumn(
+            "values", F.transform("_e", lambda x: x["w"] / F.get(F.col("_norm"), x["b"]))).withColumn("dense", F.array(*map(scaled, dense)))
+        return store(parts.drop("_e", "_norm"), "vectors")
     indices = F.concat(F.transform("_e", lambda x: x["index"]), F.array(*[F.lit(size + i) for i in range(len(dense))]))
     values = F.concat(F.transform("_e", lambda x: x["w"] / F.get(F.col("_norm"), x["b"])), F.array(*map(scaled, dense)))
     out = got.withColumn("features", F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size + len(dense)).cast("int").alias("size"),
@@ -217,6 +222,18 @@ def _step(x: Column, bounds: list[float], values: list[float]) -> Column:
     return F.when(at == 0, F.lit(values[0])).when(at >= len(bounds), F.lit(values[-1])).otherwise(inside)
 
 
+def pattern_vectors(corpus: DataFrame) -> DataFrame:
+    """(key, label, dense, indices, values) of the 80 % training part, as oversampling (I8) takes them."""
+    rows = win.stratified_split(corpus.withColumnRenamed("dyslexic_sentence", "text"), "macro_label", "row_key", 0.2)
+    rows = store(fx.with_structured_features(rows, "text"), "pattern-rows")
+    vocabularies = [a.fit(rows, "text") for a in PATTERN]
+    stats = vz.fit_scaler(rows, fx.STRUCTURED_FEATURES).first()
+    scaler = {c: (stats[f"{c}__mean"], stats[f"{c}__std"]) for c in fx.STRUCTURED_FEATURES}
+    train = rows.where(~F.col("is_test"))
+    got = vectorise(train, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, scaler, apart=True)
+    return got.select(F.col("row_key").alias("key"), F.col("macro_label").alias("label"), "dense", "indices", "values")
+
+
 def fit_pattern(corpus: DataFrame, folds: int = PATTERN_FOLDS, max_rows: int = MAX_ROWS,
                 max_iter: int = PATTERN_ITER) -> tuple[DataFrame, PatternModel]:
     """I13 with balanced weights (I17) and 3-fold isotonic calibration.

@@ -460,6 +460,46 @@ def _profile_from(feats: DataFrame, cols) -> DataFrame:
     return prof.finish_profile(prof.profile_rollup(sp), digits=D)
 
 
+_TRAIN_SQL = ("SELECT row_key, macro_label FROM (SELECT row_key, macro_label, row_number() OVER (PARTITION BY macro_label ORDER BY md5(row_key), row_key) - 1 AS place, "
+              "count(*) OVER (PARTITION BY macro_label) AS n FROM corpus) WHERE NOT (place < ceil(n * 0.2))")
+_SCALED_SQL = ", ".join(f"(t.{c} - s.{c}_m) / s.{c}_d" for c in fx.STRUCTURED_FEATURES)
+_SCALER_SQL = ", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS {c}_d" for c in fx.STRUCTURED_FEATURES)
+
+
+@register("smote_neighbours", f"""WITH corpus AS MATERIALIZED ({O.pattern_corpus(cb.NORMAL_CAP, True)}),
+{O.tfidf_ctes("SELECT row_key AS doc_id, dyslexic_sentence AS text FROM corpus", O.char_source("text"), O.char_grams(2, 5), 2, 30000, True)},
+named AS (SELECT row_key, dyslexic_sentence AS text FROM corpus), {O.structured_ctes("named", "row_key, text")},
+scaler AS (SELECT {_SCALER_SQL} FROM sfeat),
+train AS MATERIALIZED (SELECT row_key AS k FROM ({_TRAIN_SQL}) WHERE macro_label = 'Normal'),
+dense AS MATERIALIZED (SELECT k, [{_SCALED_SQL}]::DOUBLE[] AS x FROM train JOIN sfeat t ON t.row_key = k CROSS JOIN scaler s),
+part AS MATERIALIZED (SELECT doc_id AS k, term, tfidf FROM vec JOIN train ON k = doc_id),
+size AS (SELECT k, coalesce(sum(tfidf * tfidf), 0) AS s FROM train LEFT JOIN part USING (k) GROUP BY k),
+dots AS (SELECT a.k AS a, b.k AS b, sum(a.tfidf * b.tfidf) AS dot FROM part a JOIN part b USING (term) WHERE a.k <> b.k GROUP BY a.k, b.k),
+far AS (SELECT p.k AS key, q.k AS neighbour, round(greatest(pow(list_distance(p.x, q.x), 2) + u.s + v.s - 2 * coalesce(dot, 0), 0), 9) AS d2
+        FROM dense p JOIN dense q ON p.k <> q.k JOIN size u ON u.k = p.k JOIN size v ON v.k = q.k LEFT JOIN dots ON a = p.k AND b = q.k)
+SELECT key, CAST(rank AS INTEGER) AS rank, neighbour, round(sqrt(d2), 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d2, neighbour) AS rank FROM far) WHERE rank <= 3""")
+def smote_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 3 nearest training rows of the same class, for the whole class Normal."""
+    from ..operators import resample as rs
+    rows = _pattern_vectors(spark, sf).where("label = 'Normal'")
+    return rs.neighbours(rows, 3).select("key", "rank", "neighbour", _r("distance"))
+
+
+def _pattern_vectors(spark, sf):
+    from . import models as md
+    return md.pattern_vectors(cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))], keep_key=True))
+
+
+@register("smote_class_counts", f"""WITH corpus AS ({O.pattern_corpus(cb.NORMAL_CAP, True)}),
+n AS (SELECT macro_label AS label, count(*) AS given FROM ({_TRAIN_SQL}) GROUP BY macro_label)
+SELECT label, given, CAST((SELECT max(given) FROM n) - given AS BIGINT) AS made, (SELECT max(given) FROM n) AS total FROM n""")
+def smote_class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """I8 + D24: rows a class after oversampling the training part of the pattern corpus."""
+    from ..operators import resample as rs
+    return rs.class_counts(rs.oversample(_pattern_vectors(spark, sf), 3))
+
+
 @register("learned_weights")
 def learned_weights(spark: SparkSession, sf: str) -> DataFrame:
     """I16: LR coefficients per v1 pattern x surface feature, from C1-labelled pairs."""
