@@ -97,6 +97,8 @@ def pattern_profile(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 from ..functions import scoring as sc  # noqa: E402
 from ..functions import text as tx  # noqa: E402
+from .. import constants as K  # noqa: E402
+from ..functions import diff as dfx  # noqa: E402
 from . import rules as rl  # noqa: E402
 
 _V1_LINE_COLS = ["essay_id", "sent_pos", "raw_sentence", "proxy_reference", "char_addition",
@@ -116,12 +118,26 @@ def proxy_reference(spark: SparkSession, sf: str) -> DataFrame:
 @register("rule_sentences_edit_twin", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)} "
           f"SELECT {', '.join(_V1_LINE_COLS)} FROM rule_lines")
 def rule_sentences_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.rule_sentences(tb.essays(spark, sf)).select(*_V1_LINE_COLS)
+    return rl.rule_sentences(tb.essays(spark, sf), counts=dfx.edit_counts).select(*_V1_LINE_COLS)
 
 
 @register("rule_profile_edit_twin", f"WITH {O.rule_lines_ctes(sc.V1_WEIGHTS)}, "
           + O.v1_profile_sql("rule_lines"))
 def rule_profile_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
+    return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf), counts=dfx.edit_counts))
+
+
+@register("rule_sentences", f"WITH RECURSIVE {O.rule_lines_ctes(sc.V1_WEIGHTS, True)} "
+          f"SELECT {', '.join(_V1_LINE_COLS)} FROM rule_lines")
+def rule_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """I22, line by line: proxy (H11), exact runtime features (H54), pattern and explanation."""
+    return rl.rule_sentences(tb.essays(spark, sf)).select(*_V1_LINE_COLS)
+
+
+@register("rule_profile", f"WITH RECURSIVE {O.rule_lines_ctes(sc.V1_WEIGHTS, True)}, "
+          + O.v1_profile_sql("rule_lines"))
+def rule_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The essay profile over the exact features."""
     return rl.flat_profile(rl.rule_profile(tb.essays(spark, sf)))
 
 
@@ -138,17 +154,37 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
           "has_omission, has_substitution, word_count_diff, has_spacing_issue, has_diacritic_loss, "
           "writing_pattern, explanation FROM pair_patterns")
 def pair_patterns_edit_twin(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.pair_patterns(tb.pairs(spark, sf)).select(
+    return rl.pair_patterns(tb.pairs(spark, sf), counts=dfx.edit_counts).select(
         "essay_id", "pos", "error_type", "char_addition", "char_omission", "char_substitution", "has_addition",
         "has_omission", "has_substitution", "word_count_diff", "has_spacing_issue", "has_diacritic_loss",
         "writing_pattern", "explanation")
 
 
+_SURFACE_COLS = ["essay_id", "pos", *K.SURFACE_FEATURES]
+
+
+@register("pair_surface_features", f"WITH RECURSIVE {O.pair_features_ctes(K.PAIR_DIACRITICS, True)} SELECT {', '.join(_SURFACE_COLS)} FROM pf")
+def pair_surface_features(spark: SparkSession, sf: str) -> DataFrame:
+    """H49 + H53: the exact difference of every valid pair, with words and diacritics."""
+    c, d = F.col("clean_sentence"), F.col("dyslexic_sentence")
+    p = tb.pairs(spark, sf).where(rl.valid_text(c) & rl.valid_text(d))
+    return rl.with_difference(p, ["essay_id", "pos"], dfx.matching_counts(c, d)).select("essay_id", "pos", *dfx.surface_features(c, d, F.col("_d"))).select(*_SURFACE_COLS)
+
+
+_PATTERN_COLS = ["essay_id", "pos", "error_type", *K.SURFACE_FEATURES, "writing_pattern", "explanation"]
+
+
+@register("pair_patterns", f"WITH RECURSIVE {O.pair_patterns_ctes(sc.V1_WEIGHTS, True)} SELECT {', '.join(_PATTERN_COLS)} FROM pair_patterns")
+def pair_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Pattern and explanation of every valid pair, over the exact differences."""
+    return rl.pair_patterns(tb.pairs(spark, sf)).select(*_PATTERN_COLS)
+
+
 @register("pseudo_essay_profile", f"WITH {O.pair_patterns_ctes(sc.V1_WEIGHTS)}, "
           "blocks AS (SELECT CAST((row_number() OVER (ORDER BY essay_id, pos) - 1) // 5 AS BIGINT) AS essay_id, "
           "writing_pattern FROM pair_patterns), " + O.v1_profile_sql("blocks"))
 def pseudo_essay_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rl.flat_profile(rl.pseudo_essay_profile(rl.pair_patterns(tb.pairs(spark, sf))))
+    return rl.flat_profile(rl.pseudo_essay_profile(rl.pair_patterns(tb.pairs(spark, sf), counts=dfx.edit_counts)))
 
 
 # ---------------------------------------------------------------------------
@@ -503,12 +539,11 @@ def smote_class_counts(spark: SparkSession, sf: str) -> DataFrame:
 @register("learned_weights")
 def learned_weights(spark: SparkSession, sf: str) -> DataFrame:
     """I16: LR coefficients per v1 pattern x surface feature, from C1-labelled pairs."""
-    from ..functions import diff as dfx
     from ..operators import rules_v1 as rv
     from . import models as md
     p = rv.map_labels(tb.pairs(spark, sf)).na.drop(subset=["label"])
     c, d = F.col("clean_sentence"), F.col("dyslexic_sentence")
-    feats = p.where(rl.valid_text(c) & rl.valid_text(d)).select("label", *dfx.surface_features(c, d, aligned=True))
+    feats = rl.with_difference(p.where(rl.valid_text(c) & rl.valid_text(d)), ["essay_id", "pos"], dfx.matching_counts(c, d)).select("label", *dfx.surface_features(c, d, F.col("_d")))
     return md.learn_weights(spark, feats)
 
 
@@ -539,7 +574,7 @@ def sentence_labels_binary(spark: SparkSession, sf: str) -> DataFrame:
 def dominant_merged_counts(spark: SparkSession, sf: str) -> DataFrame:
     """H58 over the rule-based profile with the stand-in ``edit_counts``, counted."""
     from ..operators import rules_v1 as rv
-    p = rl.rule_profile(tb.essays(spark, sf))
+    p = rl.rule_profile(tb.essays(spark, sf), counts=dfx.edit_counts)
     return co.value_counts(p.select(rv.merge_rare(F.col("dominant_pattern")).alias("dominant_pattern")), "dominant_pattern")
 
 

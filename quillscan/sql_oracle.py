@@ -363,6 +363,59 @@ def twin_features(a: str, b: str, loss_sql: str) -> str:
             f"{wd} AS word_count_diff, {wd} > 0 AS has_spacing_issue, {loss_sql} AS has_diacritic_loss")
 
 
+def matching_ctes(src: str, a: str, b: str) -> str:
+    """CTE ``diffs(a, b, add_, omit_, swap_, matched)`` of the distinct unequal pairs of ``src`` (needs WITH RECURSIVE).
+
+    Runs of equal characters on a diagonal, then the longest one of each stretch, round by round.
+    """
+    ahead = ("coalesce(nullif(list_position(list_transform(range(least(ahi - i - n, bhi - j - n)), lambda p: x[i + n + p + 1] = y[j + n + p + 1]), false), 0) - 1, "
+             "least(ahi - i - n, bhi - j - n))")
+    back = ("coalesce(nullif(list_position(list_transform(range(least(i - alo, j - blo)), lambda p: x[i - p] = y[j - p]), false), 0) - 1, "
+            "least(i - alo, j - blo))")
+    part = lambda alo, ahi, blo, bhi: (f"{{'alo': {alo}, 'ahi': {ahi}, 'blo': {blo}, 'bhi': {bhi}, "
+                                       f"'leaf': ({alo} >= {ahi} OR {blo} >= {bhi})}}")
+    return f"""
+dpairs AS MATERIALIZED (SELECT row_number() OVER () AS id, a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM (
+    SELECT DISTINCT {a} AS a, {b} AS b FROM {src} WHERE {a} <> {b} AND {a} <> '' AND {b} <> '')),
+dx AS (SELECT id, unnest(range(len(x))) AS i, unnest(x) AS c FROM dpairs),
+dy AS (SELECT *, count(*) OVER (PARTITION BY id, c) AS often FROM (SELECT id, len(y) AS size, unnest(range(len(y))) AS j, unnest(y) AS c FROM dpairs)),
+dm AS (SELECT dx.id, i, j FROM dx JOIN dy USING (id, c) WHERE NOT (size >= 200 AND often > size // 100 + 1)),
+druns AS MATERIALIZED (SELECT id, min(i) AS ri, min(j) AS rj, count(*) AS rn FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS g FROM dm) GROUP BY id, i - j, g),
+dspans(id, alo, ahi, blo, bhi, leaf) AS (
+  SELECT id, 0::BIGINT, len(x), 0::BIGINT, len(y), false FROM dpairs
+  UNION ALL
+  SELECT id, u.alo, u.ahi, u.blo, u.bhi, u.leaf FROM (
+    SELECT id, unnest(CASE WHEN n = 0 THEN [{{'alo': alo, 'ahi': ahi, 'blo': blo, 'bhi': bhi, 'leaf': true}}]
+                           ELSE [{part('alo', 'i', 'blo', 'j')}, {part('i + n', 'ahi', 'j + n', 'bhi')}] END) AS u
+    FROM (SELECT id, alo, ahi, blo, bhi, i - back AS i, j - back AS j, n + back + ahead AS n FROM (
+      SELECT *, CASE WHEN len(y) >= 200 THEN {ahead} ELSE 0 END AS ahead, CASE WHEN len(y) >= 200 THEN {back} ELSE 0 END AS back FROM (
+        SELECT id, alo, ahi, blo, bhi, coalesce(best.n, 0) AS n, coalesce(-best.i, alo) AS i, coalesce(-best.j, blo) AS j FROM (
+          SELECT s.id, alo, ahi, blo, bhi, max(CASE WHEN rn IS NOT NULL THEN struct_pack(
+                   n := least(rn, ahi - ri, bhi - rj) - greatest(0, alo - ri, blo - rj),
+                   i := -(ri + greatest(0, alo - ri, blo - rj)), j := -(rj + greatest(0, alo - ri, blo - rj))) END) AS best
+          FROM dspans s LEFT JOIN druns r ON r.id = s.id AND least(rn, ahi - ri, bhi - rj) > greatest(0, alo - ri, blo - rj)
+          WHERE NOT leaf GROUP BY ALL)) JOIN dpairs USING (id))))),
+diffs AS (SELECT a, b, CAST(coalesce(sum(CASE WHEN alo = ahi THEN bhi - blo END), 0) AS BIGINT) AS add_,
+                 CAST(coalesce(sum(CASE WHEN blo = bhi THEN ahi - alo END), 0) AS BIGINT) AS omit_,
+                 CAST(coalesce(sum(CASE WHEN alo < ahi AND blo < bhi THEN greatest(ahi - alo, bhi - blo) END), 0) AS BIGINT) AS swap_,
+                 length(a) - CAST(sum(ahi - alo) AS BIGINT) AS matched
+          FROM dspans JOIN dpairs USING (id) WHERE leaf GROUP BY id, a, b)"""
+
+
+def exact_features(src: str, a: str, b: str, loss_sql: str, runtime: bool = False) -> str:
+    """SELECT of ``src`` with the nine exact features (joins ``diffs``)."""
+    wd = f"CAST(abs({nwords(a)} - {nwords(b)}) AS BIGINT)"
+    lone_a, lone_b = f"CASE WHEN {b} = '' THEN length({a}) ELSE 0 END", f"CASE WHEN {a} = '' THEN length({b}) ELSE 0 END"
+    add = f"coalesce(length({b}) - matched, {lone_b})" if runtime else f"coalesce(add_, {lone_b})"
+    omit = f"coalesce(length({a}) - matched, {lone_a})" if runtime else f"coalesce(omit_, {lone_a})"
+    swap = "0" if runtime else "coalesce(swap_, 0)"
+    return (f"SELECT {src}.*, CAST({add} AS BIGINT) AS char_addition, CAST({omit} AS BIGINT) AS char_omission, CAST({swap} AS BIGINT) AS char_substitution, "
+            f"{add} > 0 AS has_addition, {omit} > 0 AS has_omission, {swap} > 0 AS has_substitution, "
+            f"{wd} AS word_count_diff, {wd} > 0 AS has_spacing_issue, {loss_sql} AS has_diacritic_loss "
+            f"FROM {src} LEFT JOIN diffs ON diffs.a = {a} AND diffs.b = {b}")
+
+
 def v1_scores_and_label(weights: dict) -> tuple[str, str, str]:
     """(score columns, pattern expression, explanation expression) over a features row."""
     pats = sorted(weights)
@@ -404,10 +457,13 @@ SELECT {id_col}, {', '.join(cols)}, dominant_pattern, max_count, total_sentences
 FROM pe"""
 
 
-def rule_lines_ctes(weights: dict) -> str:
+def rule_lines_ctes(weights: dict, exact: bool = False) -> str:
     ws = K.PY_WS
     scores, pattern, expl = v1_scores_and_label(weights)
     loss = f"{cnt('raw_sentence', K.RUNTIME_DIACRITIC)} < {cnt('proxy_reference', K.RUNTIME_DIACRITIC)}"
+    pair = ("raw_sentence", "proxy_reference")
+    lf = (f"{matching_ctes('lp', *pair)},\nlf AS ({exact_features('lp', *pair, loss, True)})" if exact
+          else f"lf AS (SELECT *, {twin_features(*pair, loss)} FROM lp)")
     return f"""{ESSAYS},
 la AS (SELECT essay_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: {strip('s')}),
                                     lambda s: s <> '') AS s FROM essays),
@@ -417,21 +473,28 @@ lg AS (SELECT *, {graphemes('n1')} AS g FROM ln),
 lp AS (SELECT essay_id, sent_pos, raw_sentence,
               array_to_string(list_filter(g, lambda x, i: NOT (i >= 3 AND x = g[i - 1] AND x = g[i - 2])), '')
               AS proxy_reference FROM lg),
-lf AS (SELECT *, {twin_features('raw_sentence', 'proxy_reference', loss)} FROM lp),
+{lf},
 ls AS (SELECT *, {scores} FROM lf),
 lw AS (SELECT *, {pattern} AS writing_pattern FROM ls),
 rule_lines AS (SELECT *, {expl} AS explanation FROM lw)"""
 
 
-def pair_patterns_ctes(weights: dict) -> str:
-    scores, pattern, expl = v1_scores_and_label(weights)
-    cls = K.char_class(K.PAIR_DIACRITICS_NB)
+def pair_features_ctes(code_points, exact: bool = False) -> str:
+    """CTE ``pf``: the valid pairs with the nine surface features."""
+    cls = K.char_class(code_points)
     loss = f"{cnt('clean_sentence', cls)} > {cnt('dyslexic_sentence', cls)}"
     valid = lambda c: f"({c} IS NOT NULL AND length({c}) >= 3 AND NOT regexp_matches({c}, '[{{}}]'))"
+    pair = ("clean_sentence", "dyslexic_sentence")
+    pf = (f"{matching_ctes('pv', *pair)},\npf AS ({exact_features('pv', *pair, loss)})" if exact else
+          f"pf AS (SELECT essay_id, pos, clean_sentence, dyslexic_sentence, error_type, {twin_features(*pair, loss)} FROM pv)")
     return f"""{pairs_ctes()},
-pv AS (SELECT * FROM pairs WHERE {valid('clean_sentence')} AND {valid('dyslexic_sentence')}),
-pf AS (SELECT essay_id, pos, clean_sentence, dyslexic_sentence, error_type,
-              {twin_features('clean_sentence', 'dyslexic_sentence', loss)} FROM pv),
+pv AS MATERIALIZED (SELECT * FROM pairs WHERE {valid(pair[0])} AND {valid(pair[1])}),
+{pf}"""
+
+
+def pair_patterns_ctes(weights: dict, exact: bool = False) -> str:
+    scores, pattern, expl = v1_scores_and_label(weights)
+    return f"""{pair_features_ctes(K.PAIR_DIACRITICS_NB, exact)},
 ps AS (SELECT *, {scores} FROM pf),
 pw AS (SELECT *, {pattern} AS writing_pattern FROM ps),
 pair_patterns AS (SELECT *, {expl} AS explanation FROM pw)"""
