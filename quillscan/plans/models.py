@@ -14,7 +14,10 @@ scaling and the scored test rows cover all rows.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,8 +36,11 @@ from ..operators import windows as win
 from ..session import checkpoint_dir
 
 MAX_ROWS = 10_000
-#: Partitions of the training vectors, which that bound keeps small.
-FIT_PARTITIONS = 8
+#: Partitions of the training vectors: the bound above makes them one block of a few MB, and a
+#: solver's step one task, so that several fits share the cluster.
+FIT_PARTITIONS = 1
+#: Fits that run at the same time, each a chain of small jobs.
+FITS_AT_ONCE = 10
 FOLDS, PATTERN_FOLDS = 5, 3
 LR_C, LR_ITER = 1.0, 1000
 SVC_C, SVC_ITER = 0.5, 2000
@@ -133,22 +139,32 @@ def platt(margins: DataFrame) -> tuple[float, float]:
     return float(m.coefficients[0]), float(m.intercept)
 
 
-def fit_calibrated(train: DataFrame, svc: bool = False, folds: int = FOLDS, max_iter: int | None = None) -> list[tuple]:
-    """Per fold, a linear model of the other folds and a sigmoid of its held-out margin.
+def at_once(jobs: list) -> list:
+    """Results of the calls ``jobs``, run by threads of the driver that keep the caller's Spark properties."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
-    ``train`` has ``features``, ``label`` and ``fold``. The ensemble's probability is the
-    mean over the folds.
+
+def fit_member(train: DataFrame, k: int, svc: bool = False, max_iter: int | None = None) -> tuple:
+    """The linear model of the folds other than ``k``, and a sigmoid of its margin on fold ``k``."""
+    part = train.where(F.col("fold") != k)
+    c, iterations = (SVC_C, SVC_ITER) if svc else (LR_C, LR_ITER)
+    make = LinearSVC if svc else LogisticRegression
+    model = make(labelCol="label", featuresCol="features", regParam=1.0 / (c * max(1, part.count())), maxIter=max_iter or iterations,
+                 tol=TOLERANCE, standardization=False).fit(part)
+    held = model.transform(train.where(F.col("fold") == k))
+    return model, *platt(held.select("label", vector_to_array("rawPrediction")[1].alias("margin")))
+
+
+def fit_calibrated(train: DataFrame, kinds=(False, True), folds: int = FOLDS, max_iter: int | None = None) -> list[list[tuple]]:
+    """For every kind (False: logistic, True: linear SVM) the members of all folds.
+
+    ``train`` has ``features``, ``label`` and ``fold``. An ensemble's probability is the mean
+    over its folds. All members are fitted at once.
     """
-    out = []
-    for k in range(folds):
-        part = train.where(F.col("fold") != k)
-        c, iterations = (SVC_C, SVC_ITER) if svc else (LR_C, LR_ITER)
-        make = LinearSVC if svc else LogisticRegression
-        model = make(labelCol="label", featuresCol="features", regParam=1.0 / (c * max(1, part.count())), maxIter=max_iter or iterations,
-                     tol=TOLERANCE, standardization=False).fit(part)
-        held = model.transform(train.where(F.col("fold") == k))
-        out.append((model, *platt(held.select("label", vector_to_array("rawPrediction")[1].alias("margin")))))
-    return out
+    members = at_once([partial(fit_member, train, k, svc, max_iter) for svc in kinds for k in range(folds)])
+    return [members[i * folds:(i + 1) * folds] for i in range(len(kinds))]
 
 
 def soft_vote(df: DataFrame, ensembles: list[list[tuple]]) -> DataFrame:
@@ -177,7 +193,7 @@ def fit_binary(split: DataFrame, folds: int = FOLDS, max_rows: int = MAX_ROWS, m
     vectors = vectorise(rows.withColumn("doc", F.col("text")), ["doc"], "text", BINARY, vocabularies, fx.SCREEN_FEATURES).drop("doc")
     train = vectors.where(~F.col("is_test")).select("features", "label", "fold").coalesce(FIT_PARTITIONS).persist()
     try:
-        return vectors, [fit_calibrated(train, svc, folds, max_iter) for svc in (False, True)]
+        return vectors, fit_calibrated(train, folds=folds, max_iter=max_iter)
     finally:
         train.unpersist()
 
@@ -222,50 +238,91 @@ def _step(x: Column, bounds: list[float], values: list[float]) -> Column:
     return F.when(at == 0, F.lit(values[0])).when(at >= len(bounds), F.lit(values[-1])).otherwise(inside)
 
 
-def pattern_vectors(corpus: DataFrame) -> DataFrame:
-    """(key, label, dense, indices, values) of the 80 % training part, as oversampling (I8) takes them."""
+def scaler_stats(rows: DataFrame, test_col: str = "is_test") -> DataFrame:
+    """(feature, train_mean, train_std, all_mean, all_std) of the structured features, from one pass.
+
+    The moments of the training rows and of all rows are one aggregate; a deviation of 0 becomes 1.
+    """
+    train = ~F.col(test_col)
+    aggs = []
+    for c in fx.STRUCTURED_FEATURES:
+        for side, v in (("train", F.when(train, F.col(c))), ("all", F.col(c))):
+            aggs.append(F.struct(F.avg(v).alias("mean"), F.when(F.stddev_pop(v) == 0, F.lit(1.0)).otherwise(F.stddev_pop(v)).alias("std")).alias(f"{c}__{side}"))
+    per = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{c}__{side}.{m}").alias(f"{side}_{m}") for side in ("train", "all") for m in ("mean", "std")])
+           for c in fx.STRUCTURED_FEATURES]
+    return rows.agg(*aggs).select(F.explode(F.array(*per)).alias("s")).select("s.*")
+
+
+def idf_by_split(rows: DataFrame, analyzer: Analyzer, text_col: str = "text", test_col: str = "is_test") -> DataFrame:
+    """(term, train_df, all_df, train_idf, all_idf) of terms in ``min_df`` rows or more, from one pass.
+
+    A term's numbers of training rows and of all rows come from the same aggregate.
+    """
+    counts = rows.select(F.col(test_col).alias("t"), F.explode(vz.term_counts(analyzer.grams(F.col(text_col)))).alias("e"))
+    per = counts.groupBy(F.col("e.term").alias("term")).agg(F.count(F.when(~F.col("t"), 1)).alias("train_df"), F.count("*").alias("all_df"))
+    n = rows.agg(F.count(F.when(~F.col(test_col), 1)).alias("train"), F.count("*").alias("all")).first()
+    idf = lambda side: (F.log(F.lit(1.0 + n[side]) / (F.lit(1.0) + F.col(f"{side}_df"))) + F.lit(1.0)).alias(f"{side}_idf")
+    return per.where(F.col("all_df") >= analyzer.min_df).select("term", "train_df", "all_df", idf("train"), idf("all"))
+
+
+def split_pattern(corpus: DataFrame) -> DataFrame:
+    """The pattern corpus with its structured features and the stratified test flag, stored."""
     rows = win.stratified_split(corpus.withColumnRenamed("dyslexic_sentence", "text"), "macro_label", "row_key", 0.2)
-    rows = store(fx.with_structured_features(rows, "text"), "pattern-rows")
-    vocabularies = [a.fit(rows, "text") for a in PATTERN]
-    stats = vz.fit_scaler(rows, fx.STRUCTURED_FEATURES).first()
-    scaler = {c: (stats[f"{c}__mean"], stats[f"{c}__std"]) for c in fx.STRUCTURED_FEATURES}
+    return store(fx.with_structured_features(rows, "text"), "pattern-rows")
+
+
+def pattern_scaler(rows: DataFrame, fit_on_all: bool = False) -> dict[str, tuple[float, float]]:
+    side = "all" if fit_on_all else "train"
+    return {r.feature: (r[f"{side}_mean"], r[f"{side}_std"]) for r in scaler_stats(rows).collect()}  # a row a feature
+
+
+def pattern_vectors(corpus: DataFrame, fit_on_all: bool = False) -> DataFrame:
+    """(key, label, dense, indices, values) of the 80 % training part, as oversampling (I8) takes them."""
+    rows = split_pattern(corpus)
     train = rows.where(~F.col("is_test"))
-    got = vectorise(train, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, scaler, apart=True)
+    vocabularies = [a.fit(rows if fit_on_all else train, "text") for a in PATTERN]
+    got = vectorise(train, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, pattern_scaler(rows, fit_on_all), apart=True)
     return got.select(F.col("row_key").alias("key"), F.col("macro_label").alias("label"), "dense", "indices", "values")
 
 
+def fit_pattern_member(train: DataFrame, k: int, labels: list[str], max_iter: int) -> tuple:
+    """The weighted multinomial model of the folds other than ``k``, and its isotonic maps on fold ``k``."""
+    part = co.class_weights(train.where(F.col("fold") != k), "macro_label")
+    model = LogisticRegression(family="multinomial", labelCol="label", featuresCol="features", weightCol="class_weight",
+                               regParam=1.0 / (PATTERN_C * max(1, part.count())), maxIter=max_iter, tol=TOLERANCE,
+                               standardization=False).fit(part)
+    held = model.transform(train.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw")).persist()
+    maps = []
+    for i in range(len(labels)):
+        m = IsotonicRegression().fit(held.select((F.col("label") == i).cast("double").alias("label"), F.col("raw")[i].alias("features")))
+        maps.append((list(map(float, m.boundaries)), list(map(float, m.predictions))))
+    held.unpersist()
+    return model, maps
+
+
 def fit_pattern(corpus: DataFrame, folds: int = PATTERN_FOLDS, max_rows: int = MAX_ROWS,
-                max_iter: int = PATTERN_ITER) -> tuple[DataFrame, PatternModel]:
+                max_iter: int = PATTERN_ITER, fit_on_all: bool = False) -> tuple[DataFrame, PatternModel]:
     """I13 with balanced weights (I17) and 3-fold isotonic calibration.
 
     Returns the vectors of all test rows (``label`` as index, ``macro_label``) and the model.
-    As in the original, vocabulary, idf and scaling come from all rows of the corpus, the
-    linear models from the 80 % training part, of which ``max_rows`` bounds the rows.
+    Vocabulary, idf and scaling come from all rows of the 80 % training part, or, with
+    ``fit_on_all`` and as in the original, of the whole corpus; the linear models from the
+    training part, of which ``max_rows`` bounds the rows.
     """
-    rows = win.stratified_split(corpus.withColumnRenamed("dyslexic_sentence", "text"), "macro_label", "row_key", 0.2)
+    rows = split_pattern(corpus)
     index = StringIndexer(inputCol="macro_label", outputCol="label", stringOrderType="alphabetAsc").fit(rows)         # I7
-    rows = store(fx.with_structured_features(index.transform(rows), "text"), "pattern-rows")
-    vocabularies = [a.fit(rows, "text") for a in PATTERN]
-    stats = vz.fit_scaler(rows, fx.STRUCTURED_FEATURES).first()                                                       # D23
-    scaler = {c: (stats[f"{c}__mean"], stats[f"{c}__std"]) for c in fx.STRUCTURED_FEATURES}
-    rows = win.folds(bounded(rows.where(~F.col("is_test")), "row_key", max_rows), "macro_label", "row_key", folds).unionByName(
+    rows = index.transform(rows)
+    training = rows.where(~F.col("is_test"))
+    vocabularies = [a.fit(rows if fit_on_all else training, "text") for a in PATTERN]
+    scaler = pattern_scaler(rows, fit_on_all)                                                                         # D23
+    rows = win.folds(bounded(training, "row_key", max_rows), "macro_label", "row_key", folds).unionByName(
         rows.where("is_test"), allowMissingColumns=True)
     vectors = vectorise(rows, ["row_key"], "text", PATTERN, vocabularies, fx.STRUCTURED_FEATURES, scaler)             # I6
     train = vectors.where(~F.col("is_test")).select("features", "label", "macro_label", "fold").coalesce(FIT_PARTITIONS).persist()
-    members = []
-    for k in range(folds):
-        part = co.class_weights(train.where(F.col("fold") != k), "macro_label")
-        model = LogisticRegression(family="multinomial", labelCol="label", featuresCol="features", weightCol="class_weight",
-                                   regParam=1.0 / (PATTERN_C * max(1, part.count())), maxIter=max_iter, tol=TOLERANCE,
-                                   standardization=False).fit(part)
-        held = model.transform(train.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw")).persist()
-        maps = []
-        for i in range(len(index.labels)):
-            m = IsotonicRegression().fit(held.select((F.col("label") == i).cast("double").alias("label"), F.col("raw")[i].alias("features")))
-            maps.append((list(map(float, m.boundaries)), list(map(float, m.predictions))))
-        held.unpersist()
-        members.append((model, maps))
-    train.unpersist()
+    try:
+        members = at_once([partial(fit_pattern_member, train, k, index.labels, max_iter) for k in range(folds)])
+    finally:
+        train.unpersist()
     return vectors.where("is_test"), PatternModel(vocabularies, scaler, index.labels, members)
 
 

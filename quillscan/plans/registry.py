@@ -461,7 +461,7 @@ def binary_model_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fit_pattern(spark, sf):
     from . import models as md
-    return md.fit_pattern(cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))], keep_key=True))
+    return md.fit_pattern(_pattern_corpus(spark, sf))
 
 
 @register("pattern_model_eval")
@@ -503,10 +503,11 @@ _SCALER_SQL = ", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) = 0 THEN
 
 
 @register("smote_neighbours", f"""WITH corpus AS MATERIALIZED ({O.pattern_corpus(cb.NORMAL_CAP, True)}),
-{O.tfidf_ctes("SELECT row_key AS doc_id, dyslexic_sentence AS text FROM corpus", O.char_source("text"), O.char_grams(2, 5), 2, 30000, True)},
-named AS (SELECT row_key, dyslexic_sentence AS text FROM corpus), {O.structured_ctes("named", "row_key, text")},
+parted AS MATERIALIZED ({_TRAIN_SQL}),
+{O.tfidf_ctes("SELECT row_key AS doc_id, dyslexic_sentence AS text FROM corpus SEMI JOIN parted USING (row_key)", O.char_source("text"), O.char_grams(2, 5), 2, 30000, True)},
+named AS (SELECT row_key, dyslexic_sentence AS text FROM corpus SEMI JOIN parted USING (row_key)), {O.structured_ctes("named", "row_key, text")},
 scaler AS (SELECT {_SCALER_SQL} FROM sfeat),
-train AS MATERIALIZED (SELECT row_key AS k FROM ({_TRAIN_SQL}) WHERE macro_label = 'Normal'),
+train AS MATERIALIZED (SELECT row_key AS k FROM parted WHERE macro_label = 'Normal'),
 dense AS MATERIALIZED (SELECT k, [{_SCALED_SQL}]::DOUBLE[] AS x FROM train JOIN sfeat t ON t.row_key = k CROSS JOIN scaler s),
 part AS MATERIALIZED (SELECT doc_id AS k, term, tfidf FROM vec JOIN train ON k = doc_id),
 size AS (SELECT k, coalesce(sum(tfidf * tfidf), 0) AS s FROM train LEFT JOIN part USING (k) GROUP BY k),
@@ -522,9 +523,42 @@ def smote_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return rs.neighbours(rows, 3).select("key", "rank", "neighbour", _r("distance"))
 
 
+def _pattern_corpus(spark, sf):
+    return cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))], keep_key=True)
+
+
 def _pattern_vectors(spark, sf):
     from . import models as md
-    return md.pattern_vectors(cb.pattern_corpus([tb.pairs(spark, sf), cb.pages_as_pairs(tb.read_table(spark, sf, "pages"))], keep_key=True))
+    return md.pattern_vectors(_pattern_corpus(spark, sf))
+
+
+_STATS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, " + ", ".join(
+        f"round(avg({c}) {w}, 6) AS {s}_mean, round(CASE WHEN stddev_pop({c}) {w} = 0 THEN 1.0 ELSE stddev_pop({c}) {w} END, 6) AS {s}_std"
+        for s, w in (("train", "FILTER (WHERE train)"), ("all", "FILTER (WHERE true)"))) + " FROM marked" for c in fx.STRUCTURED_FEATURES)
+
+
+@register("scaler_stats", f"""WITH corpus AS MATERIALIZED ({O.pattern_corpus(cb.NORMAL_CAP, True)}), parted AS MATERIALIZED ({_TRAIN_SQL}),
+named AS (SELECT row_key, dyslexic_sentence AS text FROM corpus), {O.structured_ctes("named", "row_key, text")},
+marked AS MATERIALIZED (SELECT f.*, p.row_key IS NOT NULL AS train FROM sfeat f LEFT JOIN parted p ON p.row_key = f.row_key) {_STATS_SQL}""")
+def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments of the 26 features over the training part and over all rows, from one scan."""
+    from . import models as md
+    return md.scaler_stats(md.split_pattern(_pattern_corpus(spark, sf))).select(
+        "feature", *[_r(c) for c in ("train_mean", "train_std", "all_mean", "all_std")])
+
+
+@register("idf_by_split", f"""WITH corpus AS MATERIALIZED ({O.pattern_corpus(cb.NORMAL_CAP, True)}), parted AS MATERIALIZED ({_TRAIN_SQL}),
+cl AS MATERIALIZED (SELECT row_key, p.row_key IS NOT NULL AS train, {O.char_source("text")} AS c FROM (SELECT row_key, dyslexic_sentence AS text FROM corpus) LEFT JOIN parted p USING (row_key)),
+gr AS (SELECT DISTINCT row_key, train, unnest({O.char_grams(2, 5)}) AS term FROM cl),
+st AS (SELECT term, count(*) FILTER (WHERE train) AS train_df, count(*) AS all_df FROM gr GROUP BY term HAVING count(*) >= 2)
+SELECT term, train_df, all_df, round(ln((1.0 + (SELECT count(*) FROM parted)) / (1.0 + train_df)) + 1.0, 6) AS train_idf,
+       round(ln((1.0 + (SELECT count(*) FROM corpus)) / (1.0 + all_df)) + 1.0, 6) AS all_idf FROM st""")
+def idf_by_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies and idf over the training part and over all rows, from one shuffle."""
+    from . import models as md
+    rows = md.split_pattern(_pattern_corpus(spark, sf)).select("text", "is_test")
+    return md.idf_by_split(rows, md.PATTERN[0]).select("term", "train_df", "all_df", _r("train_idf"), _r("all_idf"))
 
 
 @register("smote_class_counts", f"""WITH corpus AS ({O.pattern_corpus(cb.NORMAL_CAP, True)}),
