@@ -287,10 +287,12 @@ def pattern_vectors(corpus: DataFrame, fit_on_all: bool = False) -> DataFrame:
 
 def fit_pattern_member(train: DataFrame, k: int, labels: list[str], max_iter: int) -> tuple:
     """The weighted multinomial model of the folds other than ``k``, and its isotonic maps on fold ``k``."""
-    part = co.class_weights(train.where(F.col("fold") != k), "macro_label")
+    # one block, kept for the solver's steps: the weights are a join, which would deal it over all shuffle partitions
+    part = co.class_weights(train.where(F.col("fold") != k), "macro_label").select("features", "label", "class_weight").coalesce(FIT_PARTITIONS).persist()
     model = LogisticRegression(family="multinomial", labelCol="label", featuresCol="features", weightCol="class_weight",
                                regParam=1.0 / (PATTERN_C * max(1, part.count())), maxIter=max_iter, tol=TOLERANCE,
                                standardization=False).fit(part)
+    part.unpersist()
     held = model.transform(train.where(F.col("fold") == k)).select("label", vector_to_array("rawPrediction").alias("raw")).persist()
     maps = []
     for i in range(len(labels)):
