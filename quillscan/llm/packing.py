@@ -40,7 +40,7 @@ SENTENCE_CUT, FORCED_CUT = 1, 64
 SHORT = 16
 #: Powers of two, from half the window down, that a short window may have where its cut is not free.
 HALVINGS = 4
-#: Words whose ids a Python worker keeps, and texts it handles at once.
+#: Words whose ids a Python worker keeps (and those of one round of texts), and texts it handles at once.
 KEPT, CHUNK = 600_000, 256
 #: Sequence ids are this many apart from task to task.
 TASK_IDS = 1 << 33
@@ -61,6 +61,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Numbers(dict):
+    """Words numbered as they come; ``new`` holds those not learned yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTokenizer:
     """Token ids by a lower-casing vocabulary file whose words never span white space.
 
@@ -76,13 +89,13 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = _Numbers()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.count, self.ends = np.zeros(KEPT, np.int32), np.zeros(KEPT, np.int32), np.zeros(KEPT, bool)
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        n = len(self.at) + len(words)
+        n = len(self.at)
         if n > len(self.start):
             grow = lambda x: np.concatenate([x, np.zeros(n - len(x), x.dtype)])
             self.start, self.count, self.ends = grow(self.start), grow(self.count), grow(self.ends)
@@ -106,11 +119,10 @@ class WordTokenizer:
         if self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(new)), np.uint32)])
         self.ids[self.used:self.used + len(new)] = new
-        i = len(self.at)
+        i = n - len(words)
         self.start[i:n], self.count[i:n] = self.used + np.cumsum(count) - count, count
         self.ends[i:n] = [w.rstrip(b"\"')]").endswith(_SENTENCE_END) for w in words]
         self.used += len(new)
-        self.at.update(zip(words, range(i, n)))
 
     @classmethod
     @lru_cache(1)
@@ -125,15 +137,14 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text the ids, and the numbers of ids before each sentence end in it."""
+        if len(self.at) > KEPT:
+            self._forget()
         split = [self.words(t) for t in texts]
         flat = list(chain.from_iterable(split))
-        new = set(flat).difference(self.at)
-        if new and len(self.at) + len(new) > KEPT:
-            self._forget()
-            new = set(flat)
-        if new:
-            self._learn(sorted(new))
         w = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        if self.at.new:
+            self._learn(self.at.new)
+            self.at.new = []
         count = self.count[w]
         after = np.cumsum(count, dtype=np.int64)
         ids = self.ids[np.repeat(self.start[w] - after + count, count) + np.arange(int(after[-1]) if len(w) else 0)]
@@ -141,7 +152,7 @@ class WordTokenizer:
         ends, out, i = self.ends[w], [], 0
         for words in split:
             j = i + len(words)
-            out.append((ids[after[i]:after[j]], np.unique(after[i + 1:j + 1][ends[i:j]] - after[i])))
+            out.append((ids[after[i]:after[j]], after[i + 1:j + 1][ends[i:j]] - after[i]))
             i = j
         return out
 
@@ -217,8 +228,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def flush(held: list, sequence: int) -> tuple[pd.DataFrame, int]:
-        sizes = np.array([len(h[1]) for h in held], np.int64)
+        sizes = np.array([len(h[1]) + 1 for h in held], np.int64)
         ends = np.cumsum(sizes)
+        flat = np.full(int(ends[-1]), end_id, "<u4")
+        for h, e, n in zip(held, ends.tolist(), sizes.tolist()):
+            flat[e - n:e - 1] = h[1]
+        raw = flat.tobytes()
         sentences = np.concatenate([h[2] + e - n for h, e, n in zip(held, ends, sizes)])
         pos, pen = stops(ends, sentences, window)
         cuts = pos[choose_cuts(pos, pen, window)]
@@ -228,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         opened = np.concatenate([[0], cuts])[seq]
         start = begins - (ends - sizes)[doc]
         length = marks - begins
-        ids = [held[d][1][s:s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
+        ids = [raw[4 * b:4 * m] for b, m in zip(begins.tolist(), marks.tolist())]
         return pd.DataFrame({
             "doc_id": pd.Series([held[d][0] for d in doc.tolist()], dtype=object), "start": start, "length": length,
             "ids": ids, "doc_tokens": sizes[doc], "sequence_id": sequence + seq, "offset": begins - opened}), sequence + len(cuts)
@@ -241,9 +256,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for i in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[i:i + CHUNK]
                 for doc_id, (ids, sentences) in zip(part["doc_id"], encode(part["text"].tolist())):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     held.append((None if pd.isna(doc_id) else doc_id, ids, sentences))
-                    tokens += len(ids)
+                    tokens += len(ids) + 1
                 if tokens >= stream:
                     out, sequence = flush(held, sequence)
                     yield out
