@@ -107,7 +107,8 @@ class WordTokenizer:
         known: dict[bytes, list[int]] = {}
         tokenize, rest = self.tokenizer.model.tokenize, []
         for piece in set(chain.from_iterable(parts)):
-            if _PLAIN(piece):  # one piece for the vocabulary, too
+            # one piece for the vocabulary, too; most need no pattern
+            if piece.isalpha() and piece.islower() or _PLAIN(piece):
                 known[piece] = [t.id for t in tokenize(piece.decode("latin-1").translate(self.letters))]
             else:
                 rest.append(piece)
