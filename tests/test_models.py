@@ -57,13 +57,15 @@ def test_only_solver_rows_are_bounded(spark, split):
     assert vectors.first().features.size == _widths(md.BINARY, split.where("not is_test"), md.fx.SCREEN_FEATURES)
 
 
-def test_only_solver_rows_are_bounded_pattern(spark):
-    """pattern_model_eval: the same, with vocabulary and scaling of the whole corpus."""
+@pytest.mark.parametrize("fit_on_all", [True, False])
+def test_only_solver_rows_are_bounded_pattern(spark, fit_on_all):
+    """pattern_model_eval: the same, with vocabulary and scaling of the whole corpus or of its training part."""
     essays = tb.essays(spark, SF_SMALL).where("essay_id < 12")
     corpus = cb.pattern_corpus([tb.pairs_from_essays(essays)], keep_key=True)
     rows = win.stratified_split(corpus.withColumnRenamed("dyslexic_sentence", "text"), "macro_label", "row_key", 0.2)
-    test, model = md.fit_pattern(corpus, folds=2, max_rows=200, max_iter=2)
+    test, model = md.fit_pattern(corpus, folds=2, max_rows=200, max_iter=2, fit_on_all=fit_on_all)
     assert test.count() == rows.where("is_test").count()
+    rows = rows if fit_on_all else rows.where("not is_test")
     assert test.first().features.size == _widths(md.PATTERN, rows, md.fx.STRUCTURED_FEATURES)
     means = md.vz.fit_scaler(md.fx.with_structured_features(rows, "text"), md.fx.STRUCTURED_FEATURES).first()
     assert all(abs(model.scaler[c][0] - means[f"{c}__mean"]) < 1e-9 for c in md.fx.STRUCTURED_FEATURES)
