@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of three: the normaliser (rewrites a space as U+2581
-and puts one in front), the pieces (an arc for each piece, from its characters to its
-id), and byte fallback (an arc from a character that is no piece to the ids of its UTF-8
-bytes). Composed with an input it is a lattice over the input's places; the encoding is
-the shortest path in the tropical semiring.
+The transducer is the composition of three: the normaliser (a space reads as U+2581, and
+one stands in front), the pieces (from their characters to their id), and byte fallback
+(from a character that is no piece to the ids of its UTF-8 bytes). It is compiled once into
+numbered states with arcs by character; a state at which a symbol ends carries the
+symbol's ids. Walking its arcs from a place of the input composes it with the input: what
+comes out are the arcs of a lattice over the input's places. The encoding is the shortest
+path in the tropical semiring.
 
 In a unigram model an arc weighs minus the piece's score. In a BPE model all arcs weigh
 nothing but the join of two arcs is restricted: pieces a and b may follow each other only
-if merging their text gives back a, b (else the join weighs infinity). A sequence of
-pieces in which every neighbouring pair holds is what merging the whole text gives, so
-exactly one path has a finite weight.
+if merging their text gives back a, b (else the join weighs infinity). That is decided by
+going back through the two pieces' own merges, from the latest: the join fails if the two
+symbols that then meet would have merged before. A sequence of pieces in which every
+neighbouring pair holds is what merging the whole text gives, so exactly one path to each
+place has a finite weight, and a depth-first search that tries the longest arc first and
+leaves a place for good once its arcs are used up finds it.
 
 Between two characters that are neighbours in no piece the lattice has a cut, above all
 before every run of U+2581: its shortest path is put together from those of the parts
@@ -23,8 +28,10 @@ Decoding an encoding gives the text back, but for U+2581 in it, which decodes as
 
 from __future__ import annotations
 
+import gc
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,11 +44,31 @@ SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
 KEPT = 120_000
 UNKNOWN_PENALTY = 10.0
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
+class Kept:
+    """The ids of texts solved lately: at most KEPT of them, in two halves of which the older goes."""
+
+    def __init__(self):
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def get(self, text: str) -> tuple[int, ...] | None:
+        """What ``young`` lacks: looked up in the older half, and taken over from it."""
+        ids = self.old.get(text)
+        if ids is not None:
+            self.put(text, ids)
+        return ids
+
+    def put(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= 64:
+            if len(self.young) >= KEPT // 2:
+                self.old, self.young = self.young, {}
+            self.young[text] = ids
+
+
 class Transducer:
     """Compiled pieces: ``pieces`` maps text to (id, score), ``bytes`` maps a byte to its id."""
 
@@ -55,11 +82,61 @@ class Transducer:
         self.longest = max(map(len, self.pieces), default=1)
         self.least = min((s for _, s in self.pieces.values()), default=0.0)
         self.cuts = all(SPACE not in p.lstrip(SPACE) for p in self.pieces)
-        # neighbours inside some piece; between any others the lattice has a cut
-        self.inner = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.joins: dict[tuple[str, str], bool] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        # neighbours inside some piece, as the input spells them; between any others the lattice has a cut
+        spelt = lambda c: (c, " ") if c == SPACE else (c,)
+        self.inner = {a + b for p in self.pieces for x, y in zip(p, p[1:]) for a in spelt(x) for b in spelt(y)}
+        # the input in segments: a run of spaces with what follows, and each character that is in
+        # no piece of several by itself
+        joined = "".join(re.escape(c) for c in sorted({c for x in self.inner for c in x} - {" ", SPACE}))
+        self.segment = re.compile(f"[ {SPACE}]+[{joined}]*|[{joined}]+|." if joined else ".", re.DOTALL)
+        self.joins: dict[int, bool] = {}
+        self.kept, self.parts = Kept(), Kept()
+        if model_type == BPE:
+            self._compile()
+
+    def _compile(self) -> None:
+        """States and arcs, and for each symbol its place in the order of merges and its two halves.
+
+        Symbols are the characters of all pieces, then the pieces that merging their own text gives.
+        """
+        chars = sorted({c for p in self.pieces for c in p})
+        longer = sorted((p for p in self.pieces if len(p) > 1), key=lambda p: -self.pieces[p][1])
+        self.symbols = chars + [p for p in longer if self.merged(p) == [p]]
+        number = {p: i for i, p in enumerate(self.symbols)}
+        self.count = len(self.symbols)
+        self.length = [len(p) for p in self.symbols]
+        self.output = [tuple(self.ids_of(p)) for p in self.symbols]
+        # -1 for characters; pieces of equal score share a rank and are judged by merging, as are
+        # pieces that score better than a half of theirs
+        at = {s: i for i, s in enumerate(sorted({self.pieces[p][1] for p in longer}, reverse=True))}
+        rank = {p: at[self.pieces[p][1]] for p in longer}
+        shared = Counter(rank.values())
+        self.rank = [-1] * len(chars) + [rank[p] for p in self.symbols[len(chars):]]
+        self.halves: list[tuple[int, int]] = [(-1, -1)] * self.count
+        self.odd = [False] * self.count
+        for p in self.symbols[len(chars):]:
+            i = number[p]
+            x, y = (number.get(h, -1) for h in self.merged(p, leave=2))
+            self.halves[i] = x, y
+            self.odd[i] = shared[rank[p]] > 1 or min(x, y) < 0 or max(self.rank[x], self.rank[y]) >= rank[p] or self.odd[x] or self.odd[y]
+        #: Two symbols, as one number -> rank of the piece that they make.
+        self.unions = {number[p[:i]] * self.count + number[p[i:]]: rank[p]
+                       for p in longer for i in range(1, len(p)) if p[:i] in number and p[i:] in number}
+        self.unsure = {r for r, n in shared.items() if n > 1}
+        self.arcs_from: list[dict[str, int]] = [{}]
+        self.symbol_at = [-1]
+        for i, p in enumerate(self.symbols):
+            state = 0
+            for c in p:
+                arcs = self.arcs_from[state]
+                if c not in arcs:
+                    arcs[c] = len(self.arcs_from)
+                    if c == SPACE:
+                        arcs[" "] = arcs[c]  # the normaliser
+                    self.arcs_from.append({})
+                    self.symbol_at.append(-1)
+                state = arcs[c]
+            self.symbol_at[state] = i
 
     @classmethod
     def load(cls, path: str) -> "Transducer":
@@ -72,19 +149,16 @@ class Transducer:
             raise ValueError("only the identity normaliser with escaped white space is compiled")
         return cls([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type, norm.add_dummy_prefix)
 
-    def normalise(self, text: str) -> str:
-        return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
-
-    def merged(self, text: str, cut: int = 0) -> list[str] | None:
+    def merged(self, text: str, cut: int = 0, leave: int = 1) -> list[str] | None:
         """``text`` by merging: the neighbours whose union scores best, the first of equals, until none is a piece.
 
-        None as soon as a merge crosses the place ``cut``, if that is not 0.
+        None as soon as a merge crosses the place ``cut``, if that is not 0. Stops at ``leave`` parts.
         """
         score = lambda x: self.pieces[x][1] if x in self.pieces else -math.inf
         parts = list(text)
         scores = [score(a + b) for a, b in zip(parts, parts[1:])]
         ends = list(range(1, len(parts) + 1))
-        while scores:
+        while scores and len(parts) > leave:
             best = max(scores)
             if best == -math.inf:
                 break
@@ -99,19 +173,32 @@ class Transducer:
                 scores[i] = score(parts[i] + parts[i + 1])
         return parts
 
-    def join(self, a: str, b: str) -> bool:
-        """Whether piece ``b`` may follow piece ``a``, or with an empty ``a`` begin a segment."""
-        if a and a + b in self.pieces:
-            return False  # these two would merge
-        if a and a[-1] + b[0] not in self.inner:
-            a = ""  # nothing can merge across
-        known = self.joins.get((a, b))
+    def join(self, a: int, b: int) -> bool:
+        """Whether symbol ``b`` may follow symbol ``a``."""
+        key = a * self.count + b
+        known = self.joins.get(key)
         if known is None:
             if len(self.joins) > KEPT:
                 self.joins.clear()
-            known = self.joins[a, b] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
+            known = self.joins[key] = self._meet(a, b)
         return known
 
+    def _meet(self, left: int, right: int) -> bool:
+        a, b, before = left, right, math.inf
+        while True:
+            union = self.unions.get(a * self.count + b)
+            if self.odd[a] or self.odd[b] or union in self.unsure:
+                x, y = self.symbols[left], self.symbols[right]
+                return self.merged(x + y, len(x)) == [x, y]
+            if union is not None and union < before:
+                return False  # these two would have merged before one of them grew
+            if self.rank[a] > self.rank[b]:
+                before, a = self.rank[a], self.halves[a][1]
+            elif self.rank[b] >= 0:
+                before, b = self.rank[b] + 1, self.halves[b][0]  # of equal merges the first goes first
+            else:
+                return True
+
     def arcs(self, text: str, end: int) -> Iterator[tuple[int, str, float]]:
         """(start, piece, weight) of the unigram arcs that end at a place, longest piece first."""
         for start in range(max(0, end - self.longest), end):
@@ -121,28 +208,51 @@ class Transducer:
         if text[end - 1:end] not in self.pieces:
             yield end - 1, text[end - 1:end], UNKNOWN_PENALTY - self.least
 
+    def path_ids(self, text: str) -> list[int]:
+        """The ids on the shortest path through the lattice of a part between cuts."""
+        if self.type != BPE:
+            return [x for p in self.shortest(text.replace(" ", SPACE)) for x in self.ids_of(p)]
+        if text[0] not in self.arcs_from[0]:
+            return self.ids_of(text)  # byte fallback: a character of no piece is a part of its own
+        return [x for s in self._merging(text) for x in self.output[s]]
+
     def shortest(self, text: str) -> list[str]:
-        """The pieces on the shortest path through the lattice of ``text``."""
-        last = self._merging(text) if self.type == BPE else self._lightest(text)
-        out, end = [], len(text)
+        """The pieces on the lightest path through the lattice of ``text`` in a unigram model."""
+        last, out, end = self._lightest(text), [], len(text)
         while end:
             out.append(last[end])
             end -= len(last[end])
         return out[::-1]
 
-    def _merging(self, text: str) -> list[str]:
-        """The last piece of the one path of finite weight to each place."""
-        pieces, join, longest = self.pieces, self.join, self.longest
-        last = [""] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = text[start:end]
-                if (piece in pieces or end - start == 1) and join(last[start], piece):
-                    last[end] = piece
+    def _merging(self, text: str) -> list[int]:
+        """The symbols on the one path of finite weight."""
+        arcs_from, symbol_at, length, join = self.arcs_from, self.symbol_at, self.length, self.join
+        untried: list[list[int] | None] = [None] * len(text)
+        path: list[int] = []
+        place, before = 0, -1
+        while place < len(text):
+            left = untried[place]
+            if left is None:  # compose: the arcs from here, the longest last
+                left = untried[place] = []
+                state = 0
+                for at in range(place, len(text)):
+                    state = arcs_from[state].get(text[at])
+                    if state is None:
+                        break
+                    if symbol_at[state] >= 0:
+                        left.append(symbol_at[state])
+            while left:
+                s = left.pop()
+                if before < 0 or join(before, s):
+                    path.append(s)
+                    place, before = place + length[s], s
                     break
-            else:
-                raise ValueError("no path")
-        return last
+            else:  # nothing leads on from this place
+                if not path:
+                    raise ValueError("no path")
+                place -= length[path.pop()]
+                before = path[-1] if path else -1
+        return path
 
     def _lightest(self, text: str) -> list[str]:
         """The last piece of the lightest path to each place."""
@@ -162,32 +272,31 @@ class Transducer:
 
     def _solve(self, segment: str) -> tuple[int, ...]:
         """The ids of a segment: those of its parts between cuts, each solved once."""
-        at = [0] + [i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.inner] + [len(segment)]
+        inner = self.inner
+        at = [i for i, x in enumerate(map(str.__add__, segment, segment[1:]), 1) if x not in inner]
+        if not at:
+            return tuple(self.path_ids(segment))
         out: list[int] = []
-        for i, j in zip(at, at[1:]):
+        for i, j in zip([0] + at, at + [len(segment)]):
             part = segment[i:j]
-            ids = self.parts.get(part)
+            ids = self.parts.young.get(part) or self.parts.get(part)
             if ids is None:
-                ids = tuple(x for p in self.shortest(part) for x in self.ids_of(p))
-                self._keep(self.parts, part, ids)
+                ids = tuple(self.path_ids(part))
+                self.parts.put(part, ids)
             out.extend(ids)
         return tuple(out)
 
-    @staticmethod
-    def _keep(where: dict, text: str, ids: tuple[int, ...]) -> None:
-        if len(text) <= 64:
-            if len(where) >= KEPT:
-                where.clear()
-            where[text] = ids
-
     def encode(self, text: str | None) -> list[int]:
-        norm = self.normalise(text or "")
+        if not text:
+            return []
+        text = " " * self.dummy_prefix + text
         out: list[int] = []
-        for segment in _SEGMENT.findall(norm) if self.cuts else [norm] * bool(norm):
-            ids = self.kept.get(segment)
+        kept = self.kept
+        for segment in self.segment.findall(text) if self.cuts else [text]:
+            ids = kept.young.get(segment) or kept.get(segment)
             if ids is None:
                 ids = self._solve(segment)
-                self._keep(self.kept, segment, ids)
+                kept.put(segment, ids)
             out.extend(ids)
         return out
 
@@ -209,8 +318,10 @@ class Transducer:
 
 @lru_cache(2)
 def transducer(path: str) -> Transducer:
-    """Compiled once in each Python worker."""
-    return Transducer.load(path)
+    """Compiled once in each Python worker; the collector need not look at its tables again."""
+    got = Transducer.load(path)
+    gc.freeze()
+    return got
 
 
 def encoder(path: str):
