@@ -6,13 +6,13 @@ before the added clean list), so a text present on both sides keeps label 1.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import corpus as co
 from ..operators import windows as win
+from . import versions
 
 PAIR_COLUMNS = ["clean_sentence", "dyslexic_sentence", "error_type"]
 KEY = ["essay_id", "pos"]
@@ -87,16 +87,14 @@ def pages_as_pairs(pages: DataFrame) -> DataFrame:
 
 
 def cached_dataset(spark: SparkSession, path: str, build) -> DataFrame:
-    """A3: read-through Parquet cache of a prepared corpus (written once, no index column)."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    build().write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    """A3: read-through Parquet cache of a prepared corpus; what an interrupted write left is no hit."""
+    if versions.manifest(spark, path) is None:
+        if versions.holds_files(spark, path):
+            raise FileExistsError(f"{path} holds files that are no version")
+        versions.freeze(build(), path)
+    return spark.read.parquet(f"{path}/data")
 
 
 def snapshot(df: DataFrame, path: str) -> None:
-    """A4: freeze a dataset version as columnar files (never overwrites)."""
-    df.write.mode("errorifexists").parquet(path)
+    """A4: freeze a dataset version as columnar files with a manifest (a finished one is never written again)."""
+    versions.freeze(df, path)

@@ -737,3 +737,108 @@ def synthetic_essay_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     hit = (F.coalesce(F.col("essay_label"), F.lit("")) == "DYSLEXIC ESSAY") == F.col("truth")
     return j.agg(F.count(F.lit(1)).cast("bigint").alias("essays"),
                  F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), D).alias("accuracy"))
+
+
+# ---------------------------------------------------------------------------
+# Streams of the pattern and combined calls, peeks, the bucketed store, versions
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..operators import peeks as pk  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from . import essay_store as es  # noqa: E402
+from . import versions as vs  # noqa: E402
+
+
+@register("stream_pattern_profile", O.profile_essays(D))
+def stream_pattern_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The pattern flow over the essays table read as a stream."""
+    from ..streaming.score_stream import stream_equals_batch_input
+    return stream_equals_batch_input(spark, tb.essays(spark, sf), "patterns")
+
+
+@register("stream_full_analysis", ORACLE["full_analysis"])
+def stream_full_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + C5: one stream with a sink for each result, the sinks joined by essay."""
+    from ..streaming.score_stream import staged_stream
+    out = staged_stream(spark, tb.essays(spark, sf), "full")
+    b, p = spark.read.parquet(f"{out}/binary"), spark.read.parquet(f"{out}/patterns")
+    return b.select("essay_id", "essay_label", "composite_score", F.col("error").alias("binary_error")).join(
+        p.select("essay_id", "risk_score", "risk_level", "dominant", F.col("error").alias("pattern_error")), "essay_id")
+
+
+_PEEK = 5
+_PEEK_SQL = "SELECT essay_id, CAST(pos AS INTEGER) AS pos, error_type, dyslexic_sentence"
+
+
+@register("sample_peek", f"""WITH {O.pairs_ctes()}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY error_type ORDER BY
+md5(essay_id || ':' || pos), essay_id, pos) AS INTEGER) AS place FROM pairs) {_PEEK_SQL}, place FROM r WHERE place <= {_PEEK}""")
+def sample_peek(spark: SparkSession, sf: str) -> DataFrame:
+    """random pairs of each error type (a sampling operator)."""
+    rows = tb.pairs(spark, sf).select("essay_id", "pos", "error_type", "dyslexic_sentence")
+    return pk.sample_peek(rows, _PEEK, ["essay_id", "pos"], ["error_type"])
+
+
+@register("head_peek", f"WITH {O.pairs_ctes()} {_PEEK_SQL} FROM pairs ORDER BY essay_id, pos LIMIT {_PEEK}")
+def head_peek(spark: SparkSession, sf: str) -> DataFrame:
+    """the first pairs (a top-k report)."""
+    return pk.head(tb.pairs(spark, sf).select("essay_id", "pos", "error_type", "dyslexic_sentence"), _PEEK, ["essay_id", "pos"])
+
+
+@register("tail_peek", f"WITH {O.pairs_ctes()} {_PEEK_SQL} FROM pairs ORDER BY essay_id DESC, pos DESC LIMIT {_PEEK}")
+def tail_peek(spark: SparkSession, sf: str) -> DataFrame:
+    """the last pairs (a top-k report)."""
+    return pk.tail(tb.pairs(spark, sf).select("essay_id", "pos", "error_type", "dyslexic_sentence"), _PEEK, ["essay_id", "pos"])
+
+
+_STORE_SQL = f"""WITH b AS ({O.screen_essays(D)}), {O.scored_sentences_ctes()}
+SELECT b.essay_id, b.essay_label, b.composite_score, b.total_sentences, CAST(s.sent_pos AS INTEGER) AS sent_pos, s.text,
+       round(s.probability, {D}) AS probability, CASE WHEN s.probability IS NOT NULL THEN {O.sentence_label('s.probability')} END AS label
+FROM b LEFT JOIN scored s ON s.essay_id = b.essay_id"""
+
+
+def _store(spark: SparkSession, sf: str) -> str:
+    name = f"store_{uuid.uuid4().hex}"
+    es.write_store(tb.essays(spark, sf), name, int(spark.conf.get("spark.sql.shuffle.partitions")), D)
+    return name
+
+
+def _store_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("essay_id", "essay_label", "composite_score", "total_sentences", F.col("sent_pos").cast("int").alias("sent_pos"),
+                       "text", _r("probability"), "label")
+
+
+@register("essay_with_sentences", _STORE_SQL)
+def essay_with_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """C4: every essay's verdict next to each of its sentences, joined inside the buckets."""
+    return _store_rows(es.essay_with_sentences(spark, _store(spark, sf)))
+
+
+@register("essay_lookup", _STORE_SQL + " WHERE b.essay_id IN ((SELECT min(essay_id) FROM b), (SELECT max(essay_id) FROM b))")
+def essay_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Two essays, the first and the last, looked up in the bucketed store of all of them."""
+    name = _store(spark, sf)
+    ends = spark.table(f"{name}_essays").agg(F.min("essay_id"), F.max("essay_id")).first()
+    return _store_rows(es.essay_with_sentences(spark, name, sorted({i for i in ends if i is not None})))
+
+
+_VERSION_COLS = ["clean_sentence", "dyslexic_sentence", "error_type", "essay_id", "pos"]
+_DIGEST_SQL = "md5(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in _VERSION_COLS) + ")"
+
+
+def _version_sql(name: str, rows: str) -> str:
+    lanes = [f"CAST(coalesce(sum(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)), 0) AS BIGINT)" for i in range(vs.LANES)]
+    return (f"SELECT '{name}' AS version, count(*) AS rows, concat_ws('-', count(*), {', '.join(lanes)}) AS fingerprint "
+            f"FROM (SELECT {_DIGEST_SQL} AS d FROM {rows})")
+
+
+@register("snapshot_versions", f"WITH {O.pairs_ctes()} " + _version_sql("all", "pairs") + " UNION ALL "
+          + _version_sql("tagged", "pairs WHERE error_type IS NOT NULL"))
+def snapshot_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 + A4: the pairs and their tagged part frozen as versions; what the manifests say."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    pairs = tb.pairs(spark, sf).select(*_VERSION_COLS)
+    builds = {"all": lambda df: df, "tagged": lambda df: df.where(F.col("error_type").isNotNull())}
+    found = [(name, vs.versioned(pairs, f"{base}/{name}", build)[1]) for name, build in builds.items()]
+    made = [spark.read.parquet(f"{path}/manifest").select(F.lit(name).alias("version"), "rows", "fingerprint") for name, path in found]
+    return made[0].unionByName(made[1])
