@@ -34,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
-KEPT = 120_000
+KEPT = 400_000
+#: Segments up to this length are searched side by side, so many at once.
+SIDE_BY_SIDE, TOGETHER = 48, 20_000
+#: Characters of the texts encoded together.
+BLOCK = 4_000_000
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -69,6 +74,41 @@ class Kept:
             self.young[text] = ids
 
 
+class _Table:
+    """Numbers to numbers (-1: absent), looked up for whole arrays: open addressing with linear steps."""
+
+    def __init__(self, entries: dict[int, int]):
+        self.bits = max(4, (4 * len(entries) + 1).bit_length())
+        keys = np.fromiter(entries.keys(), np.int64, len(entries))
+        values = np.fromiter(entries.values(), np.int64, len(entries))
+        self.keys = np.full((1 << self.bits), -1, np.int64)
+        self.values = np.full((1 << self.bits), -1, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several the last stays, the others go on
+            mine = self.keys[slot] == keys
+            self.values[slot[mine]] = values[mine]
+            keys, values, slot = keys[~mine], values[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        seen = self.keys[slot]
+        out = np.where(seen == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slot[open_]]
+            hit = seen == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+
 class Transducer:
     """Compiled pieces: ``pieces`` maps text to (id, score), ``bytes`` maps a byte to its id."""
 
@@ -91,6 +131,7 @@ class Transducer:
         self.segment = re.compile(f"[ {SPACE}]+[{joined}]*|[{joined}]+|." if joined else ".", re.DOTALL)
         self.joins: dict[int, bool] = {}
         self.kept, self.parts = Kept(), Kept()
+        self.together = False
         if model_type == BPE:
             self._compile()
 
@@ -137,6 +178,117 @@ class Transducer:
                     self.symbol_at.append(-1)
                 state = arcs[c]
             self.symbol_at[state] = i
+        self._arrays(chars)
+
+    def _arrays(self, chars: list[str]) -> None:
+        """The same states, arcs and merges as arrays, for many segments at once."""
+        spelt = sorted({*chars, " "} if SPACE in chars else chars)
+        self.together = self.cuts and SPACE in chars  # then a segment of several characters has letters only
+        self.letters = np.zeros(0x110000, np.int32)  # code point -> letter, 0 for what begins no symbol
+        for i, c in enumerate(spelt, 1):
+            self.letters[ord(c)] = i
+        self.alphabet = len(spelt) + 1
+        place = {c: i for i, c in enumerate(spelt, 1)}
+        self.first = np.full(self.alphabet, -1, np.int32)
+        for c, state in self.arcs_from[0].items():
+            self.first[place[c]] = state
+        self.arc_table = _Table({s * self.alphabet + place[c]: t for s, arcs in enumerate(self.arcs_from) if s for c, t in arcs.items()})
+        self.final = np.array(self.symbol_at, np.int32)
+        self.lengths = np.array(self.length, np.int32)
+        self.ranks, self.left = np.array(self.rank, np.int64), np.array([h[0] for h in self.halves], np.int64)
+        self.right, self.odds = np.array([h[1] for h in self.halves], np.int64), np.array(self.odd)
+        unsure = max(self.rank, default=0) + 1  # stands for a rank that several pieces share
+        self.union_table = _Table({k: unsure if r in self.unsure else r for k, r in self.unions.items()})
+        self.unsure_rank = unsure
+        # symbols of one id, as all are but characters that are no piece
+        self.single = np.array([x[0] if len(x) == 1 else -1 for x in self.output], np.int64)
+
+    def _joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``join`` of many pairs at once."""
+        holds = np.ones(len(a), bool)
+        at, x, y = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
+        before = np.full(len(a), np.iinfo(np.int64).max)
+        judged = []
+        while len(at):
+            union = self.union_table.get(x * self.count + y)
+            odd = self.odds[x] | self.odds[y] | (union == self.unsure_rank)
+            if odd.any():
+                judged.extend(at[odd].tolist())
+            fails = ~odd & (union >= 0) & (union < before)
+            holds[at[fails]] = False
+            rx, ry = self.ranks[x], self.ranks[y]
+            first = rx > ry
+            go = ~odd & ~fails & (first | (ry >= 0))
+            at, x, y, rx, ry, first = at[go], x[go], y[go], rx[go], ry[go], first[go]
+            before = np.where(first, rx, ry + 1)
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        for i in judged:
+            holds[i] = self.join(int(a[i]), int(b[i]))
+        return holds
+
+    def solve_many(self, segments: list[str]) -> list[tuple[int, ...]]:
+        """The ids of segments whose characters are all letters of the transducer, searched side by side."""
+        letters = self.letters[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4")]
+        sizes = np.array([len(x) for x in segments])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        limit = np.repeat(ends, sizes)
+        # compose: the symbol of each length that starts at each place, and the next shorter one's length
+        symbol = np.full((self.longest + 1, len(letters)), -1, np.int32)
+        shorter = np.zeros((self.longest + 2, len(letters)), np.int8)
+        at, state = np.arange(len(letters)), self.first[letters]
+        for n in range(1, self.longest + 1):
+            alive = state >= 0
+            at, state = at[alive], state[alive]
+            symbol[n, at] = self.final[state]
+            shorter[n + 1] = np.where(symbol[n] >= 0, n, shorter[n])
+            on = at + n < limit[at]
+            at, state = at[on], state[on]
+            state = self.arc_table.get(state * np.int64(self.alphabet) + letters[at + n])
+        untried = shorter[self.longest + 1].copy()
+        last = np.full(len(letters) + 1, -1, np.int32)  # the symbol that ends before a place
+        word, place = np.arange(len(segments)), starts.copy()
+        while len(word):
+            size = untried[place]
+            back = size == 0
+            if back.any():  # nothing leads on from these places
+                came = last[place[back]]
+                if (place[back] == starts[word[back]]).any():
+                    raise ValueError("no path")
+                place[back] -= self.lengths[came]
+            on = ~back
+            w, p, n = word[on], place[on], size[on].astype(np.int64)
+            s = symbol[n, p]
+            untried[p] = shorter[n, p]
+            inside = p > starts[w]
+            holds = np.ones(len(w), bool)
+            holds[inside] = self._joins(last[p[inside]], s[inside])
+            last[p[holds] + n[holds]] = s[holds]
+            p[holds] += n[holds]
+            place[on] = p
+            more = place < ends[word]
+            word, place = word[more], place[more]
+        # the paths, from their ends
+        found, where = [], []
+        word, place = np.arange(len(segments)), ends.copy()
+        while len(word):
+            s = last[place]
+            place = place - self.lengths[s]
+            found.append(s)
+            where.append(place)
+            more = place > starts[word]
+            word, place = word[more], place[more]
+        where, found = np.concatenate(where), np.concatenate(found)
+        order = np.argsort(where)
+        where, found = where[order], found[order]
+        cut = np.searchsorted(where, ends)
+        ids, symbols = self.single[found].tolist(), found.tolist()
+        out, i = [], 0
+        for j in cut.tolist():
+            part = tuple(ids[i:j])
+            out.append(tuple(x for k in symbols[i:j] for x in self.output[k]) if -1 in part else part)
+            i = j
+        return out
 
     @classmethod
     def load(cls, path: str) -> "Transducer":
@@ -287,21 +439,36 @@ class Transducer:
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        text = " " * self.dummy_prefix + text
-        out: list[int] = []
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of texts; what is new in them is solved together, a long segment by itself."""
+        split = self.segment.findall if self.cuts else lambda x: [x]
+        prefix = " " * self.dummy_prefix
+        segments = [split(prefix + x) if x else [] for x in texts]
         kept = self.kept
-        for segment in self.segment.findall(text) if self.cuts else [text]:
+        known: dict[str, tuple[int, ...]] = {}
+        fresh: list[str] = []
+        for segment in set(chain.from_iterable(segments)):
             ids = kept.young.get(segment) or kept.get(segment)
             if ids is None:
+                if 1 < len(segment) <= SIDE_BY_SIDE and self.together:
+                    fresh.append(segment)
+                    continue
                 ids = self._solve(segment)
                 kept.put(segment, ids)
-            out.extend(ids)
-        return out
+            known[segment] = ids
+        for i in range(0, len(fresh), TOGETHER):
+            part = fresh[i:i + TOGETHER]
+            for segment, ids in zip(part, self.solve_many(part)):
+                known[segment] = ids
+                kept.put(segment, ids)
+        return [list(chain.from_iterable(map(known.__getitem__, x))) for x in segments]
 
     def decode(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
+        if self.byte_of.keys().isdisjoint(ids) and self.unknown not in ids:
+            out, ids = list(map(self.text.__getitem__, ids)), []
         for i in ids:
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
@@ -329,7 +496,16 @@ def encoder(path: str):
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         t = transducer(path)
-        return pd.Series([np.array(t.encode(x), np.int32) for x in texts], dtype=object)
+        out: list[np.ndarray] = []
+        block: list[str | None] = []
+        size = 0
+        for i, x in enumerate(texts, 1):
+            block.append(x)
+            size += len(x or "")
+            if size >= BLOCK or i == len(texts):
+                out.extend(np.array(y, np.int32) for y in t.encode_many(block))
+                block, size = [], 0
+        return pd.Series(out, dtype=object)
     return encode
 
 
@@ -338,7 +514,7 @@ def decoder(path: str):
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         t = transducer(path)
-        return pd.Series(["" if x is None else t.decode(list(map(int, x))) for x in ids], dtype=object)
+        return pd.Series(["" if x is None else t.decode(x.tolist()) for x in ids], dtype=object)
     return decode
 
 
