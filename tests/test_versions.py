@@ -1,4 +1,6 @@
 """Peeks, the bucketed essay store, dataset versions, and streams that are cut off."""
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,15 +32,16 @@ def test_peeks_limit_before_the_shuffle(spark):
 
 def test_store_prunes_buckets_and_joins_without_exchange(spark):
     ess = essays(spark, SF_SMALL).unionByName(spark.createDataFrame([(-5, None), (-4, "")], "essay_id long, text string"))
-    essay_store.write_store(ess, "store_test", 8)
-    whole = essay_store.essay_with_sentences(spark, "store_test")
+    name = f"store_{uuid.uuid4().hex}"
+    essay_store.write_store(ess, name, 8)
+    whole = essay_store.essay_with_sentences(spark, name)
     text = plan(whole)
     assert "Exchange" not in text and "SortMergeJoin" in text
     assert whole.select("essay_id").distinct().count() == ess.count()
-    one = essay_store.essay_with_sentences(spark, "store_test", [17])
+    one = essay_store.essay_with_sentences(spark, name, [17])
     assert "SelectedBucketsCount: 1 out of 8" in plan(one)
     assert {tuple(r) for r in one.collect()} == {tuple(r) for r in whole.where("essay_id = 17").collect()}
-    none = essay_store.essay_with_sentences(spark, "store_test", [-5]).collect()
+    none = essay_store.essay_with_sentences(spark, name, [-5]).collect()
     assert len(none) == 1 and none[0].text is None and none[0].essay_label is None
 
 
