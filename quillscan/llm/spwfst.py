@@ -43,11 +43,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
-KEPT = 400_000
+KEPT = 120_000
 #: Segments up to this length are searched side by side, so many at once.
 SIDE_BY_SIDE, TOGETHER = 48, 20_000
 #: Characters of the texts encoded together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
