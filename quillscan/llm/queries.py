@@ -118,10 +118,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_sentencepiece")
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    rows = spwfst.encode_table(table(spark, sf_dir, "documents"), model)
-    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                       spwfst.round_trip(F.col("ids"), F.col("text"), model).alias("round_trip"))
+    return spwfst.encode_checked(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 #: A step of CRC-32 over the digits of the id, and the tree level by level.

@@ -38,8 +38,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
@@ -47,7 +50,7 @@ KEPT = 120_000
 #: Segments up to this length are searched side by side, so many at once.
 SIDE_BY_SIDE, TOGETHER = 48, 20_000
 #: Characters of the texts encoded together.
-BLOCK = 2_000_000
+BLOCK = 500_000
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -524,6 +527,40 @@ def encode_table(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                        encoder(model)(F.col(f"`{text_col}`")).alias("ids"))
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about BLOCK characters; a longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // BLOCK
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
+def encode_checked(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip) of every row: its ids, their number, and whether they decode to the text.
+
+    One pass: a block of texts is encoded and decoded before the next is looked at, so a
+    worker holds the ids of one block only. U+2581 in a text reads as a space.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(model)
+        for batch in batches:
+            for part in _blocks(batch):
+                texts = part.column("text").to_pylist()
+                ids = t.encode_many(texts)
+                same = [t.decode(x) == (text or "").replace(SPACE, " ") for x, text in zip(ids, texts)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes), pa.array(same)], names=schema.names)
+
+    return rows.mapInArrow(check, schema)
+
+
 def round_trip(ids: Column, text: Column, model: str) -> Column:
     """Whether the ids decode to the text, U+2581 read as a space."""
     return decoder(model)(ids) == F.translate(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -9,6 +9,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from llm_data import ODD_TEXTS, SF
 from pyspark.sql import functions as F
@@ -256,3 +257,20 @@ def test_transducer_odd_rows(make):
     got = got.select("doc_id", "ids", spwfst.round_trip(F.col("ids"), F.col("text"), MODEL).alias("ok")).collect()
     assert len(got) == len(ODD_TEXTS) and all(r.ok for r in got)
     assert spwfst.encode_table(docs.limit(0), MODEL).collect() == []
+    checked = spwfst.encode_checked(docs, MODEL)
+    assert checked.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.ids)
+    rows = sorted(checked.collect(), key=key)
+    assert [(r.doc_id, r.ids) for r in rows] == [(r.doc_id, r.ids) for r in sorted(got, key=key)]
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
+    assert spwfst.encode_checked(docs.limit(0), MODEL).collect() == []
+
+
+def test_transducer_blocks(make, monkeypatch):
+    """Texts longer than a block, and blocks of several texts, in one batch."""
+    docs = make([(i, t) for i, t in enumerate(["ab " * 300, "", None, "x", "longer " * 200, "y z"])], "doc_id long, text string")
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r.doc_id, "text": r.text} for r in docs.select("doc_id", "text").collect()])
+    monkeypatch.setattr(spwfst, "BLOCK", 500)
+    parts = list(spwfst._blocks(batch))
+    assert len(parts) > 2 and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert list(spwfst._blocks(batch.slice(0, 0))) == []
