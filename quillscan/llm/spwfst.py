@@ -528,7 +528,7 @@ def encode_table(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in parts of about BLOCK characters; a longer text is a part by itself."""
+    """``batch`` in parts that begin with the text in which a next BLOCK of characters ends."""
     ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // BLOCK
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
     for i, j in zip(cuts, cuts[1:]):
