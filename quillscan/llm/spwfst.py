@@ -33,6 +33,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -70,6 +71,25 @@ class Kept:
             self.put(text, ids)
         return ids
 
+    def take(self, texts: set[str]) -> tuple[dict[str, tuple[int, ...]], set[str]]:
+        """(the ids of those ``texts`` that are kept, the other texts)."""
+        young, old = self.young, self.old
+        fresh = texts.difference(young)
+        again = fresh.intersection(old)
+        fresh -= again
+        moved = dict(zip(again, map(old.__getitem__, again)))
+        here = texts.intersection(young)
+        found = dict(zip(here, map(young.__getitem__, here)))
+        found.update(moved)
+        self.add(moved)
+        return found, fresh
+
+    def add(self, solved: dict[str, tuple[int, ...]]) -> None:
+        """Several at once; the young half may outgrow its size by one such call's texts."""
+        if len(self.young) + len(solved) > KEPT // 2:
+            self.old, self.young = self.young, {}
+        self.young.update(solved)
+
     def put(self, text: str, ids: tuple[int, ...]) -> None:
         if len(text) <= 64:
             if len(self.young) >= KEPT // 2:
@@ -284,13 +304,12 @@ class Transducer:
         where, found = np.concatenate(where), np.concatenate(found)
         order = np.argsort(where)
         where, found = where[order], found[order]
-        cut = np.searchsorted(where, ends)
-        ids, symbols = self.single[found].tolist(), found.tolist()
-        out, i = [], 0
-        for j in cut.tolist():
-            part = tuple(ids[i:j])
-            out.append(tuple(x for k in symbols[i:j] for x in self.output[k]) if -1 in part else part)
-            i = j
+        cut = np.searchsorted(where, ends).tolist()
+        single = self.single[found]
+        ids = single.tolist()
+        out = [tuple(ids[i:j]) for i, j in zip([0, *cut], cut)]
+        for k in np.unique(np.searchsorted(cut, np.flatnonzero(single < 0), "right")).tolist():  # symbols of several ids
+            out[k] = tuple(x for s in found[cut[k - 1] if k else 0:cut[k]].tolist() for x in self.output[s])
         return out
 
     @classmethod
@@ -449,23 +468,17 @@ class Transducer:
         split = self.segment.findall if self.cuts else lambda x: [x]
         prefix = " " * self.dummy_prefix
         segments = [split(prefix + x) if x else [] for x in texts]
-        kept = self.kept
-        known: dict[str, tuple[int, ...]] = {}
-        fresh: list[str] = []
-        for segment in set(chain.from_iterable(segments)):
-            ids = kept.young.get(segment) or kept.get(segment)
-            if ids is None:
-                if 1 < len(segment) <= SIDE_BY_SIDE and self.together:
-                    fresh.append(segment)
-                    continue
-                ids = self._solve(segment)
-                kept.put(segment, ids)
-            known[segment] = ids
+        known, fresh = self.kept.take(set(chain.from_iterable(segments)))
+        alone = [x for x in fresh if not (self.together and 1 < len(x) <= SIDE_BY_SIDE)]
+        solved = dict(zip(alone, map(self._solve, alone)))
+        self.kept.add({x: ids for x, ids in solved.items() if len(x) <= 64})
+        known.update(solved)
+        fresh = list(fresh.difference(alone))
         for i in range(0, len(fresh), TOGETHER):
             part = fresh[i:i + TOGETHER]
-            for segment, ids in zip(part, self.solve_many(part)):
-                known[segment] = ids
-                kept.put(segment, ids)
+            solved = dict(zip(part, self.solve_many(part)))
+            self.kept.add(solved)
+            known.update(solved)
         return [list(chain.from_iterable(map(known.__getitem__, x))) for x in segments]
 
     def decode(self, ids: list[int]) -> str:
@@ -486,6 +499,18 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """The cycle collector at rest: coding makes many small tuples and strings, and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(2)
 def transducer(path: str) -> Transducer:
     """Compiled once in each Python worker; the collector need not look at its tables again."""
@@ -551,8 +576,9 @@ def encode_checked(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
         for batch in batches:
             for part in _blocks(batch):
                 texts = part.column("text").to_pylist()
-                ids = t.encode_many(texts)
-                same = [t.decode(x) == (text or "").replace(SPACE, " ") for x, text in zip(ids, texts)]
+                with no_collection():
+                    ids = t.encode_many(texts)
+                    same = [t.decode(x) == (text or "").replace(SPACE, " ") for x, text in zip(ids, texts)]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
