@@ -47,11 +47,11 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Segments whose ids a Python worker keeps.
-KEPT = 120_000
+KEPT = 800_000
 #: Segments up to this length are searched side by side, so many at once.
-SIDE_BY_SIDE, TOGETHER = 48, 20_000
+SIDE_BY_SIDE, TOGETHER = 48, 50_000
 #: Characters of the texts encoded together.
-BLOCK = 500_000
+BLOCK = 1_000_000
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -74,11 +74,10 @@ class Kept:
     def take(self, texts: set[str]) -> tuple[dict[str, tuple[int, ...]], set[str]]:
         """(the ids of those ``texts`` that are kept, the other texts)."""
         young, old = self.young, self.old
-        fresh = texts.difference(young)
-        again = fresh.intersection(old)
-        fresh -= again
+        missing = texts.difference(young)
+        fresh = missing.difference(old)
+        here, again = texts - missing, missing - fresh
         moved = dict(zip(again, map(old.__getitem__, again)))
-        here = texts.intersection(young)
         found = dict(zip(here, map(young.__getitem__, here)))
         found.update(moved)
         self.add(moved)
@@ -469,11 +468,12 @@ class Transducer:
         prefix = " " * self.dummy_prefix
         segments = [split(prefix + x) if x else [] for x in texts]
         known, fresh = self.kept.take(set(chain.from_iterable(segments)))
-        alone = [x for x in fresh if not (self.together and 1 < len(x) <= SIDE_BY_SIDE)]
+        most = SIDE_BY_SIDE if self.together else 0
+        alone = [x for x in fresh if not 1 < len(x) <= most]
         solved = dict(zip(alone, map(self._solve, alone)))
         self.kept.add({x: ids for x, ids in solved.items() if len(x) <= 64})
         known.update(solved)
-        fresh = list(fresh.difference(alone))
+        fresh = [x for x in fresh if 1 < len(x) <= most]
         for i in range(0, len(fresh), TOGETHER):
             part = fresh[i:i + TOGETHER]
             solved = dict(zip(part, self.solve_many(part)))
