@@ -212,6 +212,32 @@ class PatternModel:
         """``rows`` (with the structured features) with ``p_<label>`` for every label the fit knew."""
         return self.score(vectorise(rows, key, text_col, PATTERN, self.vocabularies, fx.STRUCTURED_FEATURES, self.scaler))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Vocabularies, scaler, label order, linear models and isotonic maps below ``path``; the manifest comes last."""
+        for b, v in enumerate(self.vocabularies):
+            v.write.mode("overwrite").parquet(f"{path}/vocabulary-{b}")
+        spark.createDataFrame([(c, m, d) for c, (m, d) in self.scaler.items()], "feature string, mean double, std double") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+        maps = []
+        for f, (model, steps) in enumerate(self.members):
+            model.write().overwrite().save(f"{path}/model-{f}")
+            maps += [(f, i, bounds, values) for i, (bounds, values) in enumerate(steps)]
+        spark.createDataFrame(maps, "fold int, label int, bounds array<double>, values array<double>") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/maps")
+        spark.createDataFrame([(self.labels, len(self.vocabularies))], "labels array<string>, vocabularies int") \
+            .write.mode("overwrite").parquet(f"{path}/manifest")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "PatternModel":
+        manifest = spark.read.parquet(f"{path}/manifest").first()
+        scaler = {r.feature: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scaler").collect()}  # a row a feature
+        folds: dict[int, list[tuple]] = {}
+        for r in spark.read.parquet(f"{path}/maps").orderBy("fold", "label").collect():  # a row a fold and label
+            folds.setdefault(r["fold"], []).append((list(r["bounds"]), list(r["values"])))
+        members = [(LogisticRegressionModel.load(f"{path}/model-{f}"), steps) for f, steps in folds.items()]
+        vocabularies = [spark.read.parquet(f"{path}/vocabulary-{b}") for b in range(manifest["vocabularies"])]
+        return cls(vocabularies, scaler, list(manifest["labels"]), members)
+
     def score(self, df: DataFrame) -> DataFrame:
         keep, sums = [c for c in df.columns if c != "features"], None
         for f, (model, maps) in enumerate(self.members):

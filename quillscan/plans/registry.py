@@ -92,6 +92,25 @@ def pattern_profile(spark: SparkSession, sf: str) -> DataFrame:
     return prof.profile_essays(tb.essays(spark, sf), digits=D)
 
 
+@register("pattern_profile_rounded", O.rounded_profile())
+def pattern_profile_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested result's own rounding."""
+    return prof.profile_results_nested(tb.essays(spark, sf)).select(
+        "essay_id", "risk_score", "dyslexic_ratio", "weighted_dyslexic_ratio", "max_sentence_probability")
+
+
+@register("pattern_examples", O.pattern_examples())
+def pattern_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """D8 + F3: strong sentences per essay and pattern, the first three of them."""
+    return prof.first_examples(prof.profile_results_nested(tb.essays(spark, sf)))
+
+
+@register("essay_reports", O.essay_reports())
+def essay_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """H74."""
+    return prof.report_text(prof.profile_results_nested(tb.essays(spark, sf)))
+
+
 # ---------------------------------------------------------------------------
 # I22 / I25 rule-based profile (v1)
 # ---------------------------------------------------------------------------

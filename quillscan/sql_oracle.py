@@ -323,6 +323,42 @@ r4 AS (SELECT *, {dominant} AS dominant, {explanation} AS explanation, {severity
 SELECT {out} FROM essays e LEFT JOIN r4 r3 ON e.essay_id = r3.essay_id"""
 
 
+def pattern_examples(first: int = 3) -> str:
+    """The number of strong sentences per essay and pattern, and the first of them by place."""
+    zs, ps = pattern_probs()
+    names = ", ".join(q(lab) for lab in K.ERROR_LABELS)
+    values = ", ".join(f"p_{lab.lower()}" for lab in K.ERROR_LABELS)
+    return f"""WITH {ESSAYS}, {pattern_sentences()},
+{structured_ctes()},
+sz AS (SELECT essay_id, sent_pos, text, {zs} FROM sfeat),
+sp AS (SELECT essay_id, sent_pos, text, {ps} FROM sz),
+strong AS (SELECT essay_id, sent_pos, text, unnest([{names}]) AS pattern, unnest([{values}]) AS p FROM sp)
+SELECT essay_id, pattern, count(*) AS n_examples, array_to_string(list(text ORDER BY sent_pos)[1:{first}], chr(10)) AS first_examples
+FROM strong WHERE p > {K.STRONG_PATTERN_THRESHOLD} GROUP BY essay_id, pattern"""
+
+
+def rounded_profile() -> str:
+    """Presentation rounding (half-even by the exact binary value): 2 places of the risk, 4 of ratios."""
+    fixed = lambda c, n: f"CAST(printf('%.{n}f', {c}) AS DOUBLE) AS {c}"
+    ratios = ["dyslexic_ratio", "weighted_dyslexic_ratio", "max_sentence_probability"]
+    return f"SELECT essay_id, {fixed('risk_score', 2)}, {', '.join(fixed(c, 4) for c in ratios)} FROM ({profile_essays(12)})"
+
+
+def essay_reports() -> str:
+    dist = " || chr(10) || ".join(f"'{lab}: ' || printf('%.3f', dist_{lab.lower()})" for lab in K.PATTERN_LABELS)
+    dens = " || chr(10) || ".join(f"'{lab}: ' || printf('%.1f', density_{lab.lower()}) || '%'" for lab in K.ERROR_LABELS)
+    order = "CASE pattern " + " ".join(f"WHEN {q(lab)} THEN {i}" for i, lab in enumerate(K.ERROR_LABELS)) + " END"
+    return f"""WITH prof AS ({profile_essays(12)}), ex AS ({pattern_examples()}),
+lists AS (SELECT essay_id, string_agg(chr(10) || pattern || ' Pattern Sentences:' || chr(10) || '- '
+          || replace(first_examples, chr(10), chr(10) || '- '), chr(10) ORDER BY {order}) AS body FROM ex GROUP BY essay_id)
+SELECT p.essay_id, CASE WHEN error IS NULL THEN 'Dominant Pattern: ' || dominant || chr(10) || 'Severity Level: ' || severity || chr(10)
+       || 'Risk Level: ' || risk_level || chr(10) || 'Risk Score: ' || printf('%.2f', risk_score) || '%' || chr(10)
+       || chr(10) || 'Explanation:' || chr(10) || explanation || chr(10) || chr(10) || 'Pattern Distribution:' || chr(10) || {dist} || chr(10)
+       || chr(10) || 'Pattern Density (% of essay strongly affected):' || chr(10) || {dens} || chr(10)
+       || chr(10) || 'Strong Pattern Sentences:' || chr(10) || coalesce(body, '') END AS report
+FROM prof p LEFT JOIN lists l ON l.essay_id = p.essay_id"""
+
+
 # ---------------------------------------------------------------------------
 # pairs view, rule-based (v1) flows with the edit twin
 # ---------------------------------------------------------------------------

@@ -71,7 +71,7 @@ def test_only_solver_rows_are_bounded_pattern(spark, fit_on_all):
     assert all(abs(model.scaler[c][0] - means[f"{c}__mean"]) < 1e-9 for c in md.fx.STRUCTURED_FEATURES)
 
 
-def test_pattern_probabilities(spark):
+def test_pattern_probabilities(spark, tmp_path):
     essays = tb.essays(spark, SF_SMALL).where("essay_id < 12")
     corpus = cb.pattern_corpus([tb.pairs_from_essays(essays)], keep_key=True)
     test, model = md.fit_pattern(corpus, folds=2, max_iter=15)
@@ -79,6 +79,15 @@ def test_pattern_probabilities(spark):
     names = [f"p_{lab.lower()}" for lab in model.labels]
     assert p and all(abs(sum(r[n] for n in names) - 1) < 1e-9 and min(r[n] for n in names) >= 0 for r in p)
 
+    model.save(spark, str(tmp_path / "pattern"))
+    model.save(spark, str(tmp_path / "pattern"))  # written over
+    again = md.PatternModel.load(spark, str(tmp_path / "pattern"))
+    assert again.labels == model.labels and again.scaler == model.scaler
+    rows = md.fx.with_structured_features(corpus.withColumnRenamed("dyslexic_sentence", "text"), "text").select("row_key", "text", *md.fx.STRUCTURED_FEATURES)
+    scored = [{r.row_key: [r[n] for n in names] for r in m.probabilities(rows, ["row_key"], "text").collect()} for m in (model, again)]
+    assert scored[0] and scored[0].keys() == scored[1].keys()
+    assert all(abs(a - b) < 1e-9 for k in scored[0] for a, b in zip(scored[0][k], scored[1][k]))
+
 
 def test_isotonic_step(spark):
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 1.0, 2.0, 3.0, 9.0)], "x double")
