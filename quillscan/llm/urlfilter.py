@@ -11,8 +11,9 @@ so on until a level lets nothing wrong through. A key's membership is then exact
 whole universe: it is decided by the first level that does not hold it. URLs are judged
 in their own partitions, without a join.
 
-The filters are broadcast behind a check of their size (``MAX_BITS``); a list too long
-for that is looked up by a join instead.
+The filters of one pass are broadcast, and their size is checked (``MAX_BITS`` for a list):
+the keys of a list whose cascade would be larger are halved by hash, and halved again, until
+each part's cascade fits. Parts are looked up in passes one after the other, all alike.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits
 no rule; of rules with equal keys a block wins; of several that fit, the longest key
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import frozen
 
-#: Largest size of a cascade that is broadcast.
+#: Largest size of a cascade that is broadcast; a longer list is cut into parts.
 MAX_BITS = 1 << 26
 LATER_RATE = 1 / 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,7 +132,7 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
 def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> list | None:
     """Levels that decide membership in ``listed`` (key) for every key of ``universe`` (key).
 
-    None when they would be too large to broadcast.
+    None when they would be too large to broadcast, unless only one key is listed.
     """
     yes = frozen(_hashed(listed, "key").distinct(), "bloom-listed")
     n = yes.count()
@@ -138,6 +140,8 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
         return []
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * n / max(1, size)))
+    if n == 1:
+        max_bits = MAX_BITS
     if Level.size(n, rate) > max_bits:
         return None
     levels = [Level(yes, n, rate, 0)]
@@ -153,6 +157,32 @@ def cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) ->
         inside, outside = outside, frozen(inside.where(_passes(levels)("h1", "h2")), "bloom-level")
 
 
+def parts(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS, modulus: int = 1, rest: int = 0) -> list[tuple[int, int, list]]:
+    """(modulus, rest, cascade) of the parts of ``listed`` by the first hash of its keys, each of a size to broadcast."""
+    mine = lambda df: df.where(F.pmod(hashes(F.col("key"))[0], F.lit(modulus)) == rest) if modulus > 1 else df
+    levels = cascade(mine(listed), mine(universe), max_bits)
+    if levels is not None:
+        return [(modulus, rest, levels)]
+    return [x for r in (rest, rest + modulus) for x in parts(listed, universe, max_bits, 2 * modulus, r)]
+
+
+def _coder(block: tuple[int, int, list] | None, allow: tuple[int, int, list] | None) -> Callable:
+    """Column function of the keys' hashes: 1 for a key in the block part, 2 for one in the allow part, else 0."""
+    @F.pandas_udf("array<int>")
+    def codes(first: pd.Series, second: pd.Series) -> pd.Series:
+        if not len(first):
+            return pd.Series([], dtype=object)
+        sizes = first.map(len).to_numpy()
+        h1, h2 = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (first, second))
+        code = np.zeros(len(h1), np.int64)
+        for value, part in ((2, allow), (1, block)):
+            if part is not None:
+                at = np.flatnonzero(h1 % part[0] == part[1])
+                code[at[member(part[2], h1[at], h2[at])]] = value
+        return pd.Series([x.tolist() for x in np.split(code, np.cumsum(sizes)[:-1])], dtype=object)
+    return codes
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url",
           default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row; rules are (verdict, host, path).
@@ -167,34 +197,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     block = {h + p for v, h, p in rules if v == "block"}
     lists = {"block": block, "allow": {h + p for v, h, p in rules if v == "allow"} - block}
     tables = {v: spark.createDataFrame([(k,) for k in sorted(keys)], "key string") for v, keys in lists.items()}
-    cascades = {v: cascade(t, universe, max_bits) for v, t in tables.items()}
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(rows, tables, default)
+    passes = zip_longest(*[parts(tables[v], universe, max_bits) for v in ("block", "allow")])
+    first, second = F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])
 
-    @F.pandas_udf("array<int>")
-    def verdicts(first: pd.Series, second: pd.Series) -> pd.Series:
-        """1 for a listed block key, 2 for a listed allow key, 0 for others."""
-        if not len(first):
-            return pd.Series([], dtype=object)
-        sizes = first.map(len).to_numpy()
-        h1, h2 = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (first, second))
-        code = np.where(member(cascades["block"], h1, h2), 1, np.where(member(cascades["allow"], h1, h2), 2, 0)) if len(h1) else h1
-        return pd.Series([x.tolist() for x in np.split(code, np.cumsum(sizes)[:-1])], dtype=object)
-
-    coded = rows.withColumn("codes", verdicts(F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])))
+    coded = rows.withColumn("codes", _coder(*next(passes))(first, second))
+    for both in passes:
+        coded = frozen(coded, "url-codes").withColumn("more", _coder(*both)(first, second))
+        coded = coded.withColumn("codes", F.zip_with("codes", "more", lambda a, b: F.greatest(a, b))).drop("more")
     fits = F.filter(F.transform(F.arrays_zip("keys", "codes"), lambda x: F.struct(
         F.length(x["keys"]).alias("n"), x["keys"].alias("key"), x["codes"].alias("code"))), lambda x: x["code"] > 0)
     best = F.array_max(fits)
     return coded.withColumn("best", best).select(
         "page_id", "host", "path", F.col("best.key").alias("rule"),
         F.when(F.col("best.code") == 1, "block").when(F.col("best.code") == 2, "allow").otherwise(default).alias("verdict"))
-
-
-def _judge_by_join(rows: DataFrame, tables: dict[str, DataFrame], default: str) -> DataFrame:
-    listed = tables["block"].withColumn("v", F.lit("block")).unionByName(tables["allow"].withColumn("v", F.lit("allow")))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    rows = frozen(rows, "url-rows")
-    best = (rows.select("row", F.explode("keys").alias("key")).join(listed, "key").groupBy("row")
-            .agg(F.max(F.struct(F.length("key"), "key", "v")).alias("best")))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"),
-                                                 F.coalesce("best.v", F.lit(default)).alias("verdict"))

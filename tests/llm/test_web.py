@@ -137,6 +137,19 @@ def test_cascade_is_exact(spark):
     assert (got == want).all()
 
 
+def test_rules_in_parts(spark):
+    """Lists far over the bound: parts of several levels, passes one after the other, the same verdicts."""
+    urls = spark.range(4_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 900, F.lit(".org/p"), F.col("id") % 7).alias("url"))
+    rules = [("block" if i % 3 else "allow", f"h{i}.org", "/p" if i % 2 else "/") for i in range(0, 900, 2)]
+    host, path = urlfilter.host_and_path(F.col("url"))
+    universe = urls.select(F.explode(urlfilter.url_keys(host, path, urlfilter.shapes(rules))).alias("key"))
+    listed = spark.createDataFrame([(h + p,) for v, h, p in rules if v == "block"], "key string")
+    got = urlfilter.parts(listed, universe, 1_000)
+    assert len(got) > 1 and all(sum(x.bits for x in levels) <= 1_000 for _, _, levels in got) and max(len(levels) for _, _, levels in got) > 1
+    rows = {r.page_id: tuple(r)[1:] for r in urlfilter.judge(urls, rules, max_bits=1_000).collect()}
+    assert rows == {r.page_id: judge(r.url, rules) for r in urls.collect()}
+
+
 # ------------------------------------------------------------------ tool calls
 
 def test_tool_calls_whole_table(spark):
