@@ -19,7 +19,7 @@ input row gives one result row; other columns are ignored.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,8 @@ N = 3
 DIMENSIONS = 1024
 #: N-gram vectors that a Python worker keeps at once (4 kB each).
 KEPT = 12_000
+#: N-grams of texts that a Python worker holds beside their sums before it adds them up.
+COUNTED = 200_000
 BITS = 21  # of a code point
 
 
@@ -63,6 +65,24 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code, return_counts=True)
 
 
+def counted(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of all texts' n-grams together, each code once."""
+    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+    def add_up() -> list[tuple[np.ndarray, np.ndarray]]:
+        codes, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        n = np.zeros(len(codes), np.int64)
+        np.add.at(n, inverse, np.concatenate([h[1] for h in held]))
+        return [(codes, n)]
+
+    for text in texts:
+        held.append(ngrams(text))
+        size += len(held[-1][0])
+        if size > COUNTED:
+            held, size = add_up(), 0
+    return add_up()[0]
+
+
 @lru_cache(20_000)
 def _letter_vector(point: int, place: int, dimensions: int) -> np.ndarray:
     v = np.random.Generator(np.random.PCG64(point)).integers(0, 2, dimensions, np.int8) * 2 - 1
@@ -120,11 +140,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(lang, *ngrams(text)) for lang, text in zip(pdf["lang"], pdf["text"])]
-            if got:
-                yield (pd.DataFrame({"lang": np.repeat([g[0] for g in got], [len(g[1]) for g in got]),
-                                     "code": np.concatenate([g[1] for g in got]), "n": np.concatenate([g[2] for g in got])})
-                       .groupby(["lang", "code"], as_index=False, sort=False).sum())
+            for lang, texts in pdf.groupby("lang", sort=False)["text"]:
+                codes, n = counted(texts)
+                yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

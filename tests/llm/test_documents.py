@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -132,6 +133,24 @@ def test_language_vectors():
     assert all(np.array_equal(small(*langid.ngrams(t)), f) for t, f in zip(texts, fresh))
 
 
+def test_language_counts_hold_few_texts():
+    """The n-grams of a batch's texts are added up as they come, not held side by side."""
+    rng = np.random.default_rng(0)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 300)) for _ in range(2000)]
+    tracemalloc.start()
+    codes, n = langid.counted(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = collections.Counter()
+    for t in texts:
+        c, k = langid.ngrams(t)
+        want.update(dict(zip(c.tolist(), k.tolist())))
+    assert dict(zip(codes.tolist(), n.tolist())) == want
+    assert peak < 25e6, peak
+    assert [len(x) for x in langid.counted([])] == [0, 0]
+
+
 def test_language_odd_rows(make):
     docs = make([(i, t, "en" if i else None) for i, t in ODD_TEXTS], "doc_id long, text string, lang string")
     got = langid.identify(docs).collect()
