@@ -128,3 +128,16 @@ def test_vocabulary_is_summed_by_batch(spark):
     plain = vz.fit_vocabulary(docs.select("doc_id", vz.term_counts(grams).alias("counts")), 6, 5)
     assert sorted(vz.fit_gram_vocabulary(docs.select(grams.alias("grams")), 6, 5).collect()) == sorted(plain.collect())
     assert vz.fit_gram_vocabulary(docs.limit(0).select(grams.alias("grams"))).collect() == []
+
+
+def test_pattern_corpus_drops_duplicates_once(spark):
+    rows = [(1, 0, "ක්‍ෂ අ ආ ඇ", "ක අ ආ ඇ", "Spelling"), (1, 1, "ක්‍ෂ අ ආ ඈ", "ක අ ආ ඇ", "Grammar"),
+            (2, 0, "ගම ගම ගම", None, "Spelling"), (2, 1, None, None, "Spelling"), (3, 0, "මල මල මල", "<a>", "Spelling"),
+            (4, 0, None, "තල තල", "tense_error"), (5, 0, "සල සල සල", "සල", "unheard of")]
+    pairs = spark.createDataFrame(rows, tables.PAIRS_SCHEMA)
+    got = corpus_builds.pattern_corpus([pairs], keep_key=True)
+    # the null text that comes first stays for the class Normal and leaves the others; junk goes
+    assert sorted((r.row_key, r.dyslexic_sentence, r.macro_label) for r in got.collect()) == [
+        ("d:0:1:0", "ක අ ආ ඇ", "Spelling"), ("d:0:4:0", "තල තල", "Grammar"),
+        ("n:0:1:0", "ක්‍ෂ අ ආ ඇ", "Normal"), ("n:0:2:0", "ගම ගම ගම", "Normal"), ("n:0:5:0", "සල සල සල", "Normal")]
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
