@@ -69,13 +69,15 @@ def freeze(df: DataFrame, path: str) -> None:
     fingerprint(spark.read.parquet(f"{path}/data")).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
-def versioned(source: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str]:
+def versioned(source: DataFrame, path: str, build: Callable[[DataFrame], DataFrame],
+              known: str | None = None) -> tuple[DataFrame, str]:
     """A3: ``build(source)`` from the version that this content of ``source`` has, made if it is missing.
 
-    Returns the rows and the version's path.
+    Returns the rows and the version's path. ``known`` is the fingerprint of a ``source`` that is itself
+    a finished version: its manifest was made from the stored rows, so they aren't read once more for it.
     """
     spark = source.sparkSession
-    own = f"{path.rstrip('/')}/{fingerprint(source).first()['fingerprint']}"
+    own = f"{path.rstrip('/')}/{known or fingerprint(source).first()['fingerprint']}"
     if manifest(spark, own) is None:
         freeze(build(source), own)
     return spark.read.parquet(f"{own}/data"), own
