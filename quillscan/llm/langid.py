@@ -11,8 +11,8 @@ vectors: the counts are aggregated over the corpus by Spark, by (language, n-gra
 only then turned into vectors, in blocks of n-grams.
 
 Defined results: ``und`` with score 0 for a null text, a text without letters, and when
-there is no training row; documents with a null id take no part in training and are not
-held out; ties go to the language that sorts first; a score below 0 is given as 0; each
+there is no training row; in ``identify`` documents with a null id take no part in training
+and are not held out; ties go to the language that sorts first; a score below 0 is given as 0; each
 input row gives one result row; other columns are ignored.
 """
 
@@ -222,6 +222,6 @@ def keep_known(docs: DataFrame, least: float, id_col: str = "doc_id", text_col:
     Cosines fall with a text's length, so ``least`` is meant to reject only what has no
     letters or is far from every language.
     """
-    prototypes = train(training_rows(docs, id_col), text_col, lang_col)
+    prototypes = train(docs, text_col, lang_col)  # nothing is held out: no row is left to be tested on
     judged = predict(docs, prototypes, text_col, "__prediction")
     return judged.where((F.col("__prediction.lang") != UNKNOWN) & (F.col("__prediction.score") >= least)).drop("__prediction")
